@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that count as white space, and phrases of compaction glue.
-SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85   -     　"
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 COMPACT_GLUE = (
     "this session is being continued",
     "ran out of context",

@@ -81,6 +81,14 @@ class PlainGroups:
         self.keys = list(keys)
         self.order = order
 
+    def sub(self, *keys: str) -> PlainGroups:
+        """The same engine on finer groups; the shuffle of the coarser key is reused."""
+        return PlainGroups([*self.keys, *keys], self.order)
+
+    def reorder(self, order: str, block: int | None = None) -> PlainGroups:
+        """The same groups ordered by another integer column."""
+        return PlainGroups(self.keys, order)
+
     def running(self, df: DataFrame, runs: Mapping[str, Run]) -> DataFrame:
         cols = {}
         for name, r in runs.items():
@@ -113,6 +121,12 @@ class BlockedGroups:
         self.order = order
         self.block = int(block)
 
+    def sub(self, *keys: str) -> BlockedGroups:
+        return BlockedGroups([*self.keys, *keys], self.order, self.block)
+
+    def reorder(self, order: str, block: int | None = None) -> BlockedGroups:
+        return BlockedGroups(self.keys, order, block or self.block)
+
     def _tag(self, df: DataFrame) -> DataFrame:
         return df.withColumn(_BLOCK, F.floor(F.col(self.order) / F.lit(self.block)).cast("long"))
 

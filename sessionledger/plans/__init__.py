@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pricing", "period"]
+MODULES = ["pricing", "period", "sessionize", "text"]
 
 
 def load_all():

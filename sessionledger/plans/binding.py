@@ -31,8 +31,12 @@ def v_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turn = c("event_type") == "purchase"
     tool = c("event_type").isin("click", "error")
+    signup = c("event_type") == "signup"
     kind = (
-        F.when(c("event_type") == "signup", "user_message_chunk")
+        F.when(signup & (c("k") % 25 == 0), "auto_compact_completed")
+        .when(signup & (c("k") % 25 == 1), "session_recap")
+        .when(signup & (c("k") % 25 == 2), "hook_execution")
+        .when(signup, "user_message_chunk")
         .when((c("event_type") == "view") & (c("k") % 3 == 2), "agent_message_chunk")
         .when(c("event_type") == "view", "agent_thought_chunk")
         .when(c("event_type") == "click", "tool_call")
@@ -55,6 +59,7 @@ def v_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(turn, 1 + c("k") % 5).alias("calls"), F.when(turn, c("k") * 17).alias("api_ms"),
         F.when(turn, F.when(c("k") % 4 == 0, F.lit(0).cast("long"))
                .otherwise(F.floor(c("value") * 1e8).cast("long"))).alias("ticks"),
+        F.when(c("event_type") == "signup", c("k") * 200).alias("tokens_after"),
         F.when(turn & (c("k") % 3 == 0), F.lit("build-4.6")).when(turn & (c("k") % 3 == 1), F.lit("build_4.5"))
         .alias("model"),
     )
@@ -128,6 +133,39 @@ def v_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bound log written back as JSON lines, with the format's loose ends.
+
+    Meta data sits in either of two places, clocks come in several units, content is a string
+    or an object, every 29th line is cut off and every 31st is blank.
+    """
+    u = v_updates(spark, sf_dir)
+    k = c("k")
+    meta = F.struct(c("context_tokens").alias("totalTokens"), c("agent_ms").alias("agentTimestampMs"),
+                    c("stream_ms").alias("streamStartMs"), c("prompt_id").alias("promptId"), k.alias("chunkId"))
+    usage = F.when(c("kind") == "turn_completed", F.struct(
+        c("input").alias("inputTokens"), c("output").alias("outputTokens"), c("cached").alias("cachedReadTokens"),
+        c("reasoning").alias("reasoningTokens"), c("total").alias("totalTokens"), c("ticks").alias("costUsdTicks"),
+        c("calls").alias("modelCalls"), c("api_ms").alias("apiDurationMs"),
+        F.when(c("model").isNotNull(), F.create_map(c("model"), F.lit(1))).alias("modelUsage")))
+    stamp = F.when(k % 4 == 0, c("agent_ms").cast("double")).when(k % 4 == 1, F.floor(c("agent_ms") / 1000).cast("double")).when(
+        k % 4 == 3, F.lit(12.0))
+    body = F.concat(F.lit("line "), k.cast("string"), F.lit("\nrest"), F.when(k % 2 == 0, "\n").otherwise(""))
+    head = [stamp.alias("timestamp"), F.lit("session/update").alias("method")]
+    upd = [c("kind").alias("sessionUpdate"), c("tool_call_id").alias("toolCallId"),
+           F.when(c("tool_call_id").isNotNull(), F.concat(F.lit("Read `file"), k.cast("string"), F.lit("`"))).alias("title"),
+           usage.alias("usage"), c("tokens_after").alias("tokens_after")]
+    sid = c("session_id").cast("string").alias("sessionId")
+    outer = F.when(k % 3 != 0, meta).alias("_meta")
+    inner = F.when(k % 3 == 0, meta).alias("_meta")
+    as_text = F.to_json(F.struct(*head, F.struct(sid, outer, F.struct(*upd, inner, body.alias("content")).alias("update")).alias("params")))
+    as_object = F.to_json(F.struct(*head, F.struct(sid, outer, F.struct(
+        *upd, inner, F.struct(body.alias("text")).alias("content")).alias("update")).alias("params")))
+    line = F.when(k % 5 == 0, as_text).otherwise(as_object)
+    bad = F.when(c("line_no") % 29 == 0, F.substring(line, 1, 60)).when(c("line_no") % 31 == 0, F.lit("   ")).otherwise(line)
+    return u.select("session_id", "line_no", bad.alias("value"))
+
+
 # DuckDB twins.
 VIEWS: dict[str, str] = {
     "v_updates": """
@@ -142,12 +180,15 @@ VIEWS: dict[str, str] = {
     CASE WHEN turn THEN inp + outp END AS total,
     CASE WHEN turn THEN 1 + k % 5 END AS calls, CASE WHEN turn THEN k * 17 END AS api_ms,
     CASE WHEN turn THEN (CASE WHEN k % 4 = 0 THEN 0 ELSE CAST(floor(value * 1e8) AS BIGINT) END) END AS ticks,
+    CASE WHEN event_type = 'signup' THEN k * 200 END AS tokens_after,
     CASE WHEN turn AND k % 3 = 0 THEN 'build-4.6' WHEN turn AND k % 3 = 1 THEN 'build_4.5' END AS model
   FROM (SELECT user_id AS session_id, event_id AS line_no, event_type, value,
-      CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, epoch_ms(ts) AS agent_ms,
+      CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, epoch_us(ts) // 1000 AS agent_ms,
       epoch_ms(date_trunc('hour', ts)) AS hour_ms, event_type = 'purchase' AS turn,
       CAST(floor(value * 1000) AS BIGINT) AS inp, CAST(floor(value * 10) AS BIGINT) AS outp,
-      CASE WHEN event_type = 'signup' THEN 'user_message_chunk'
+      CASE WHEN event_type = 'signup' THEN (CASE CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 25
+          WHEN 0 THEN 'auto_compact_completed' WHEN 1 THEN 'session_recap' WHEN 2 THEN 'hook_execution'
+          ELSE 'user_message_chunk' END)
         WHEN event_type = 'view' AND CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 3 = 2 THEN 'agent_message_chunk'
         WHEN event_type = 'view' THEN 'agent_thought_chunk' WHEN event_type = 'click' THEN 'tool_call'
         WHEN event_type = 'error' THEN 'tool_call_update' ELSE 'turn_completed' END AS kind
@@ -164,7 +205,7 @@ VIEWS: dict[str, str] = {
       || ' with a deliberately long tail that has to be cut somewhere' END AS generated_title,
     'C:\\work\\proj' || (session_id % 10) AS cwd,
     CASE WHEN session_id % 10 = 9 THEN 'reviewer' WHEN session_id % 5 = 4 THEN 'general-purpose' END AS agent_name
-  FROM (SELECT user_id AS session_id, min(epoch_ms(ts)) AS created_ms, max(epoch_ms(ts)) AS active_ms
+  FROM (SELECT user_id AS session_id, min(epoch_us(ts) // 1000) AS created_ms, max(epoch_us(ts) // 1000) AS active_ms
         FROM events GROUP BY user_id)""",
     "v_history_old": """
   SELECT conv_id AS session_id, turn AS idx, role AS type, text,

@@ -31,12 +31,22 @@ def billed(spark, sf):
 
 
 @query("hourly_priced_buckets", "S2 J6 A4 A5 C3 F2 F3 F4 J7", f"""
+WITH w AS (SELECT DISTINCT epoch_ms(date_trunc('day', ts)) AS start_ms FROM events),
+spine AS (SELECT unnest(range(start_ms, start_ms + 86400000, 3600000)) AS bucket_ms FROM w)
+SELECT strftime(make_timestamp(bucket_ms * 1000), '%Y-%m-%dT%H') AS bucket_key, bucket_ms, {SUMS_SQL}
+FROM spine LEFT JOIN v_billed v ON v.event_ms // 3600000 * 3600000 = bucket_ms GROUP BY bucket_ms""")
+def hourly_priced_buckets(spark, sf):
+    d = o.bucket_usage(billed(spark, sf), windows(spark, sf, "daily"), "daily", "hour")
+    return d.drop("start_ms", "end_ms", "bucket_end_ms", "bucket_label")
+
+
+@query("month_day_buckets", "A5 C3 J7", f"""
 WITH w AS (SELECT DISTINCT epoch_ms(date_trunc('month', ts)) AS start_ms,
     epoch_ms(date_trunc('month', ts) + INTERVAL 1 MONTH) AS end_ms FROM events),
 spine AS (SELECT start_ms, unnest(range(start_ms, end_ms, 86400000)) AS bucket_ms FROM w)
 SELECT strftime(make_timestamp(bucket_ms * 1000), '%Y-%m-%d') AS bucket_key, bucket_ms, {SUMS_SQL}
-FROM spine LEFT JOIN v_billed v ON v.event_ms >= bucket_ms AND v.event_ms < bucket_ms + 86400000 GROUP BY bucket_ms""")
-def hourly_priced_buckets(spark, sf):
+FROM spine LEFT JOIN v_billed v ON v.event_ms // 86400000 * 86400000 = bucket_ms GROUP BY bucket_ms""")
+def month_day_buckets(spark, sf):
     d = o.bucket_usage(billed(spark, sf), windows(spark, sf, "monthly"), "monthly", "day")
     return d.drop("start_ms", "end_ms", "bucket_end_ms", "bucket_label")
 

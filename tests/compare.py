@@ -36,8 +36,7 @@ def canon(v):
 
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted(tuple(canon(r[i]) for i in order) for r in rows) if False else sorted(
-        (tuple(canon(r[i]) for i in order) for r in rows), key=repr)
+    return sorted((tuple(canon(r[i]) for i in order) for r in rows), key=repr)
 
 
 def check(spark, con, sf_dir, q):
@@ -71,7 +70,7 @@ def main(argv):
     from sessionledger.session import spark_session
 
     spark = spark_session("compare", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
         "spark.sql.session.timeZone": "UTC"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
