@@ -76,44 +76,83 @@ def mentions(value: Column, *needles: str) -> Column:
     return hit
 
 
+def _struct(*fields: tuple[str, str]) -> str:
+    return "struct<" + ",".join(f"`{n}`:{ty}" for n, ty in fields) + ">"
+
+
+# (column, camel-case name, snake-case name)
+USAGE = [
+    ("input", "inputTokens", "input_tokens"), ("output", "outputTokens", "output_tokens"),
+    ("reasoning", "reasoningTokens", "reasoning_tokens"), ("cached", "cachedReadTokens", "cached_read_tokens"),
+    ("total", "totalTokens", "total_tokens"), ("ticks", "costUsdTicks", "cost_usd_ticks"),
+    ("api_ms", "apiDurationMs", "api_duration_ms"), ("calls", "modelCalls", "model_calls"),
+    ("num_turns", "numTurns", "num_turns"),
+]
+HINTS = [*[(k, "string") for k in ID_KEYS], ("modelUsage", "map<string,variant>"), ("modelsUsed", "array<string>")]
+STAMPS = [(k, "bigint") for k in ("agentTimestampMs", "streamStartMs", "turnStartMs", "totalTokens", "chunkId")]
+TEXTS = [(k, "string") for k in ("promptId", "eventId", "updateType")]
+META = [*STAMPS, *TEXTS, *HINTS]
+LINE_SCHEMA = _struct(
+    ("_bad", "string"), ("timestamp", "double"), ("method", "string"), *HINTS,
+    ("params", _struct(
+        ("sessionId", "string"), *HINTS, ("_meta", _struct(*META)),
+        ("update", _struct(
+            *[(k, "string") for k in ("sessionUpdate", "toolCallId", "title", "kind", "status", "stop_reason", "event_name", "prompt_id", "summary")],
+            ("content", "variant"), ("rawInput", "variant"), ("rawOutput", "variant"), ("tokens_before", "bigint"), ("tokens_after", "bigint"),
+            ("auto", "boolean"), *HINTS,
+            ("runs", "array<struct<name:string,status:struct<elapsed_ms:bigint>>>"),
+            ("_meta", _struct(*META, (TOOL_META, _struct(("name", "string"), ("input", "variant"))))),
+            ("usage", _struct(*[(n, "bigint") for _, a, b in USAGE for n in (a, b)], *HINTS, ("model_usage", "map<string,variant>"))),
+        )),
+    )),
+)
+
+
+def compute_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a costly column through a generator, so that the optimizer cannot copy its
+    expression into every column derived from it."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Add ``j``, the parsed line, and drop blank lines. NULL ``j`` marks a bad line."""
+    """Add ``j``, the parsed line as a struct, and ``bad``; blank lines are dropped."""
     d = lines.withColumn("value", t.strip(c("value"))).filter(F.length("value") > 0)
-    return d.withColumn("j", F.try_parse_json("value"))
+    d = compute_once(d, "j", F.from_json("value", LINE_SCHEMA, {"columnNameOfCorruptRecord": "_bad"}))
+    # A field of another type also marks the record; only text that is no JSON at all is bad.
+    return d.withColumn("bad", c("j._bad").isNotNull() & F.try_parse_json("value").isNull())
 
 
 def normalize(lines: DataFrame, preview: int = 120) -> DataFrame:
     """One flat event per log line; a fixed set of columns, NULL where a line has no value."""
     d = parse_lines(lines)
-    keep = [x for x in d.columns if x not in ("value", "j")]
-    p, u = "$.params._meta", "$.params.update"
+    keep = [x for x in d.columns if x not in ("value", "j", "bad")]
+    p, u = "j.params._meta", "j.params.update"
     um = f"{u}._meta"
 
-    def meta(key: str, dtype: str = "bigint") -> Column:
-        return F.coalesce(get("j", f"{p}.{key}", dtype), get("j", f"{um}.{key}", dtype))
+    def meta(key: str) -> Column:
+        return F.coalesce(c(f"{p}.{key}"), c(f"{um}.{key}"))
 
+    usage = c(f"{u}.usage")
     d = d.select(
-        *keep, "value", "j",
-        F.when(c("j").isNull(), "parse_error").otherwise(get("j", f"{u}.sessionUpdate")).alias("kind"),
-        F.when(c("j").isNull(), F.substring("value", 1, 200)).alias("raw_preview"),
-        get("j", "$.method").alias("method"), get("j", "$.params.sessionId").alias("log_session_id"),
-        get("j", f"{p}.eventId").alias("event_id"),
-        F.coalesce(meta("promptId", "string"), get("j", f"{u}.prompt_id")).alias("prompt_id"),
-        get("j", "$.timestamp", "double").alias("file_timestamp"),
+        *keep,
+        F.when(c("bad"), "parse_error").otherwise(F.nullif(c(f"{u}.sessionUpdate"), F.lit(""))).alias("kind"),
+        F.when(c("bad"), F.substring("value", 1, 200)).alias("raw_preview"),
+        c("j.method").alias("method"), c("j.params.sessionId").alias("log_session_id"), c(f"{p}.eventId").alias("event_id"),
+        F.coalesce(meta("promptId"), c(f"{u}.prompt_id")).alias("prompt_id"), c("j.timestamp").alias("file_timestamp"),
         meta("agentTimestampMs").alias("agent_ms"), meta("streamStartMs").alias("stream_ms"),
         meta("turnStartMs").alias("turn_ms"), meta("totalTokens").alias("context_tokens"),
-        t.epoch_of(get("j", "$.timestamp", "double"), get("j", f"{p}.agentTimestampMs"), get("j", f"{um}.agentTimestampMs")).alias("epoch"),
-        get("j", f"{p}.chunkId", "bigint").alias("chunk_id"), get("j", f"{p}.updateType").alias("update_type"),
-        get("j", f"{um}.modelId").alias("model_id"),
-        text_of(F.try_variant_get(c("j"), f"{u}.content", "variant")).alias("text"),
-        get("j", f"{u}.toolCallId").alias("tool_call_id"), get("j", f"{u}.title").alias("title"),
-        get("j", f"{u}.kind").alias("tool_kind"), get("j", f"{u}.status").alias("status"),
-        get("j", f"{um}['{TOOL_META}'].name").alias("tool_meta_name"),
-        get("j", f"{u}.stop_reason").alias("stop_reason"), get("j", f"{u}.event_name").alias("event_name"),
-        get("j", f"{u}.tokens_before", "bigint").alias("tokens_before"), get("j", f"{u}.tokens_after", "bigint").alias("tokens_after"),
-        get("j", f"{u}.summary").alias("summary"),
-        *[F.coalesce(get("j", f"{u}.usage.{a}", "bigint"), get("j", f"{u}.usage.{s}", "bigint")).alias(n) for n, a, s in USAGE],
-        F.when(c("value").contains("modelUsage"), F.element_at(F.json_object_keys(F.get_json_object("value", f"{u}.usage.modelUsage")), 1)).alias("model"),
+        t.epoch_of(c("j.timestamp"), c(f"{p}.agentTimestampMs"), c(f"{um}.agentTimestampMs")).alias("epoch"),
+        c(f"{p}.chunkId").alias("chunk_id"), c(f"{p}.updateType").alias("update_type"), c(f"{um}.modelId").alias("model_id"),
+        text_of(c(f"{u}.content")).alias("text"), c(f"{u}.content").alias("content"),
+        c(f"{u}.rawInput").alias("raw_input"), c(f"{u}.rawOutput").alias("raw_output"),
+        c(um)[TOOL_META]["input"].alias("meta_input"), c(um)[TOOL_META]["name"].alias("tool_meta_name"),
+        c(f"{u}.toolCallId").alias("tool_call_id"), c(f"{u}.title").alias("title"),
+        c(f"{u}.kind").alias("tool_kind"), c(f"{u}.status").alias("status"), c(f"{u}.stop_reason").alias("stop_reason"),
+        c(f"{u}.event_name").alias("event_name"),
+        F.aggregate(c(f"{u}.runs"), F.lit(0).cast("long"), lambda a, r: a + F.coalesce(r["status"]["elapsed_ms"], F.lit(0))).alias("hook_elapsed_ms"),
+        c(f"{u}.tokens_before").alias("tokens_before"), c(f"{u}.tokens_after").alias("tokens_after"), c(f"{u}.summary").alias("summary"),
+        *[F.coalesce(usage[a], usage[s]).alias(n) for n, a, s in USAGE],
+        F.get(F.map_keys(F.coalesce(usage["modelUsage"], usage["model_usage"])), F.lit(0)).alias("model"),
     ).filter(c("kind").isNotNull())
     return d.withColumns({
         "ms_since_stream": c("agent_ms") - c("stream_ms"), "ms_since_turn": c("agent_ms") - c("turn_ms"),
@@ -122,26 +161,21 @@ def normalize(lines: DataFrame, preview: int = 120) -> DataFrame:
     })
 
 
-# (column, camel-case name, snake-case name)
-USAGE = [
-    ("input", "inputTokens", "input_tokens"), ("output", "outputTokens", "output_tokens"),
-    ("reasoning", "reasoningTokens", "reasoning_tokens"), ("cached", "cachedReadTokens", "cached_read_tokens"),
-    ("total", "totalTokens", "total_tokens"), ("ticks", "costUsdTicks", "cost_usd_ticks"),
-    ("api_ms", "apiDurationMs", "api_duration_ms"), ("calls", "modelCalls", "model_calls"),
-    ("num_turns", "numTurns", "num_turns"),
-]
+def may_name_model(value: Column) -> Column:
+    """Text test: only such lines can name a model."""
+    return mentions(value, *ID_KEYS, "modelUsage", "modelsUsed")
 
 
-def model_hints(v: str, value: str) -> Column:
-    """Model ids named anywhere in a line's known places, in order of appearance."""
-    places = ["$", "$.params", "$.params.update", "$.params.update._meta", "$.params.update.usage", "$.params._meta"]
-    out = []
-    for place in places:
-        out += [F.array(t.nonempty(get(v, f"{place}.{k}"))) for k in ID_KEYS]
-        out.append(F.json_object_keys(F.get_json_object(c(value), f"{place}.modelUsage")))
-        out.append(F.try_variant_get(c(v), f"{place}.modelsUsed", "array<string>"))
+def model_hints(j: str = "j") -> Column:
+    """Model ids named in a parsed line's known places, in order of appearance."""
     none = F.array().cast("array<string>")
-    return F.array_distinct(F.array_compact(F.concat(*[F.coalesce(x, none) for x in out])))
+    out = []
+    for place in ("", ".params", ".params.update", ".params.update._meta", ".params.update.usage", ".params._meta"):
+        at = f"{j}{place}"
+        out.append(F.array(*[t.nonempty(c(f"{at}.{k}")) for k in ID_KEYS]))
+        out.append(F.coalesce(F.map_keys(c(f"{at}.modelUsage")), none))
+        out.append(F.coalesce(c(f"{at}.modelsUsed"), none))
+    return F.array_distinct(F.array_compact(F.concat(*out)))
 
 
 def model_per_session(hints: DataFrame) -> DataFrame:

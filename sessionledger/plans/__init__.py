@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pricing", "period", "sessionize", "text"]
+MODULES = ["pricing", "period", "sessionize", "text", "session"]
 
 
 def load_all():

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionledger.functions.logline import compute_once
+
 c = F.col
 
 
@@ -26,9 +28,10 @@ def v_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per row of ``events``; a session is a user."""
     k = F.regexp_extract(c("props"), "([0-9]+)", 1).cast("long")
     e = table(spark, sf_dir, "events").select(
-        c("user_id").alias("session_id"), c("event_id").alias("line_no"), "event_type", "value", k.alias("k"),
+        c("user_id").alias("session_id"), c("event_id").alias("line_no"), "event_type", "value", "props",
         ms(c("ts")).alias("agent_ms"), ms(F.date_trunc("hour", c("ts"))).alias("hour_ms"),
     )
+    e = compute_once(e, "k", k).drop("props")
     turn = c("event_type") == "purchase"
     tool = c("event_type").isin("click", "error")
     signup = c("event_type") == "signup"
@@ -162,8 +165,8 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_object = F.to_json(F.struct(*head, F.struct(sid, outer, F.struct(
         *upd, inner, F.struct(body.alias("text")).alias("content")).alias("update")).alias("params")))
     line = F.when(k % 5 == 0, as_text).otherwise(as_object)
-    bad = F.when(c("line_no") % 29 == 0, F.substring(line, 1, 60)).when(c("line_no") % 31 == 0, F.lit("   ")).otherwise(line)
-    return u.select("session_id", "line_no", bad.alias("value"))
+    bad = F.when(c("line_no") % 29 == 0, F.substring("line", 1, 60)).when(c("line_no") % 31 == 0, F.lit("   ")).otherwise(c("line"))
+    return compute_once(compute_once(u, "line", line).drop(*[x for x in u.columns if x not in ("session_id", "line_no")]), "value", bad).drop("line")
 
 
 # DuckDB twins.

@@ -42,7 +42,7 @@ SELECT session_id, line_no, CASE WHEN bad THEN 'parse_error' ELSE kind END AS ki
     ELSE substr('line ' || k || chr(10) || 'rest' || CASE WHEN k % 2 = 0 THEN chr(10) ELSE '' END, 1, 10) || '…[+'
       || (length('line ' || k) + 5 + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END - 10) || ' chars]' END END AS text_preview,
   CASE WHEN NOT bad THEN CASE k % 4 WHEN 1 THEN agent_ms // 1000 ELSE agent_ms / 1000 END END AS epoch,
-  CASE WHEN NOT bad THEN strftime(make_timestamp(agent_ms * 1000), CASE WHEN agent_ms % 1000 = 0 THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S.%f' END) || '+00:00' END AS agent_iso,
+  CASE WHEN NOT bad THEN CASE WHEN agent_ms % 1000 = 0 THEN strftime(make_timestamp(agent_ms * 1000), '%Y-%m-%dT%H:%M:%S') ELSE strftime(make_timestamp(agent_ms * 1000), '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' END AS agent_iso,
   CASE WHEN NOT bad THEN model END AS model, CASE WHEN NOT bad THEN input END AS input, CASE WHEN NOT bad THEN ticks END AS ticks
 FROM (SELECT *, line_no % 29 = 0 AS bad FROM v_updates) WHERE line_no % 29 = 0 OR line_no % 31 <> 0""")
 def normalized_events(spark, sf):
@@ -65,8 +65,8 @@ def kind_scan_before_parse(spark, sf):
 SELECT session_id, arg_min(model, line_no) AS first_id, arg_min(CASE k % 3 WHEN 0 THEN '4.6' ELSE '4.5' END, line_no) AS family, false AS assumed
 FROM v_turns WHERE model IS NOT NULL AND line_no % 29 <> 0 AND line_no % 31 <> 0 GROUP BY session_id""")
 def model_hints(spark, sf):
-    d = ll.parse_lines(b.raw_lines(spark, sf)).filter(c("j").isNotNull())
-    hints = d.select("session_id", F.lit(3).alias("source_rank"), "line_no", ll.model_hints("j", "value").alias("ids"))
+    d = ll.parse_lines(b.raw_lines(spark, sf).filter(ll.may_name_model(c("value")))).filter(~c("bad"))
+    hints = d.select("session_id", F.lit(3).alias("source_rank"), "line_no", ll.model_hints().alias("ids"))
     return ll.model_per_session(hints).select("session_id", "first_id", "family", "assumed")
 
 
@@ -89,7 +89,7 @@ def clock_resolution(spark, sf):
 
 
 @query("text_measures", "P7 P9 P10 P8", f"""
-WITH d AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS u, text, {collapse_sql('text')} AS one FROM documents)
+WITH d AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS u, text, n_chars, {collapse_sql('text')} AS one FROM documents)
 SELECT doc_id, CASE WHEN length(u) <= 120 THEN u ELSE substr(u, 1, 120) || '…[+' || (length(u) - 120) || ' chars]' END AS counted,
   CASE WHEN length(one) <= 160 THEN one ELSE substr(one, 1, 159) || '…' END AS collapsed,
   CASE WHEN length(s) <= 80 THEN s ELSE substr(s, 1, 80) || '…' END AS stripped,
