@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sessionledger.session import materialize
+
 HOT_ROWS = 2_000_000
 BLOCK_ROWS = 262_144
 
@@ -128,7 +130,12 @@ class BlockedGroups:
         return BlockedGroups(self.keys, order, block or self.block)
 
     def _tag(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(_BLOCK, F.floor(F.col(self.order) / F.lit(self.block)).cast("long"))
+        """Rows with their block, written to the shared scratch folder.
+
+        Every step reads its input twice (rows and block sums). Without the cut, chained steps
+        would double the plan each time.
+        """
+        return materialize(df.withColumn(_BLOCK, F.floor(F.col(self.order) / F.lit(self.block)).cast("long")))
 
     def running(self, df: DataFrame, runs: Mapping[str, Run]) -> DataFrame:
         plain = {}
@@ -189,25 +196,25 @@ class BlockedGroups:
         ``(value, block)`` give each block its first position among equal values; only
         rows of one value and one block are numbered by a window.
         """
-        tagged = self._tag(df).withColumn("__v", value)
-        cell = [*self.keys, "__v", _BLOCK]
-        cells = tagged.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
+        tagged = self._tag(df).withColumn("__rk_v", value)
+        cell = [*self.keys, "__rk_v", _BLOCK]
+        cells = tagged.groupBy(*cell).agg(F.count(F.lit(1)).alias("__rk_n"))
         ties = cells.withColumn(
-            "__tie",
-            F.coalesce(F.sum("__n").over(
-                W.partitionBy(*self.keys, "__v").orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+            "__rk_tie",
+            F.coalesce(F.sum("__rk_n").over(
+                W.partitionBy(*self.keys, "__rk_v").orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
         )
-        values = cells.groupBy(*self.keys, "__v").agg(F.sum("__n").alias("__nv")).withColumn(
-            "__above",
-            F.coalesce(F.sum("__nv").over(
-                W.partitionBy(*self.keys).orderBy(F.col("__v").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        values = cells.groupBy(*self.keys, "__rk_v").agg(F.sum("__rk_n").alias("__rk_nv")).withColumn(
+            "__rk_above",
+            F.coalesce(F.sum("__rk_nv").over(
+                W.partitionBy(*self.keys).orderBy(F.col("__rk_v").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
         )
-        base = ties.join(values, [*self.keys, "__v"]).select(*cell, (F.col("__tie") + F.col("__above")).alias("__base"))
+        base = ties.join(values, [*self.keys, "__rk_v"]).select(*cell, (F.col("__rk_tie") + F.col("__rk_above")).alias("__rk_base"))
         here = F.row_number().over(W.partitionBy(*cell).orderBy(self.order))
         return (
-            tagged.withColumn("__here", here).join(base, cell)
-            .withColumn(name, (F.col("__base") + F.col("__here")).cast("long"))
-            .drop("__v", _BLOCK, "__here", "__base")
+            tagged.withColumn("__rk_here", here).join(base, cell)
+            .withColumn(name, (F.col("__rk_base") + F.col("__rk_here")).cast("long"))
+            .drop("__rk_v", _BLOCK, "__rk_here", "__rk_base")
         )
 
 

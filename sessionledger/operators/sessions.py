@@ -198,7 +198,6 @@ def zoom_sessions(listed: DataFrame, spans: DataFrame, start_ms: Column, end_ms:
         listed.join(by_span, "session_id", "left_semi").select("session_id", "parent_id")).distinct()
     ids = hits.select("session_id").unionByName(hits.filter(c("parent_id").isNotNull()).select(c("parent_id").alias("session_id"))).distinct()
     d = listed.join(ids.withColumn("__hit", F.lit(1)), "session_id", "left").fillna(0, ["__hit"])
-    d = materialize(d)
     d = groups.running(d, {"__up": Run("adjacent", c("__hit")), "__down": Run("adjacent", c("__hit"), "after")})
     d = groups.totals(d, {"__any": _total("max", "__hit")})
     return d.filter((c("__hit") == 1) | (c("__up") == 1) | (c("__down") == 1) | (c("__any") == 0)).drop("__hit", "__up", "__down", "__any")

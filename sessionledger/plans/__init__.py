@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pricing", "period", "sessionize", "text", "session"]
+MODULES = ["pricing", "period", "sessionize", "text", "session", "allocation"]
 
 
 def load_all():
