@@ -18,6 +18,11 @@ def floor0(x: Column) -> Column:
     return F.greatest(F.coalesce(x, F.lit(0)), F.lit(0))
 
 
+def with_only(d: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame:
+    """The columns of the input plus the new ones; helper columns go in the same step."""
+    return d.select(*[x for x in keep if x not in new], *[e.alias(n) for n, e in new.items()])
+
+
 def split_exact(df: DataFrame, g: Groups, out: str, weight: Column, target: Column, only: Column | None = None) -> DataFrame:
     """Largest-remainder split of an integer by weights.
 
@@ -32,14 +37,11 @@ def split_exact(df: DataFrame, g: Groups, out: str, weight: Column, target: Colu
     d = g.totals(d, {"__al_sum": Total("sum", c("__al_w")), "__al_rows": Total("count", c("__al_w"))})
     even = F.floor(c("__al_t") / c("__al_rows")).cast("double")
     share = F.when(c("__al_w").isNull(), 0.0).when(c("__al_sum") > 0, c("__al_w") / c("__al_sum") * c("__al_t")).otherwise(even)
-    d = d.withColumn("__al_share", share)
-    d = d.withColumn("__al_base", F.floor("__al_share").cast("long"))
-    d = g.totals(d, {"__al_given": Total("sum", c("__al_base"))})
-    frac = F.when(c("__al_w").isNull(), -1.0).otherwise(c("__al_share") - c("__al_base"))
-    d = g.rank(d, "__al_rank", frac)
+    base = F.floor(share).cast("long")
+    d = d.withColumns({"__al_base": base, "__al_frac": F.when(c("__al_w").isNull(), -1.0).otherwise(share - base)})
+    d = g.totals_and_rank(d, {"__al_given": Total("sum", c("__al_base"))}, "__al_rank", c("__al_frac"))
     extra = F.when(c("__al_w").isNotNull() & (c("__al_rank") <= c("__al_t") - c("__al_given")), 1).otherwise(0)
-    return d.withColumn(out, (c("__al_base") + extra).cast("long")).drop(
-        "__al_w", "__al_t", "__al_sum", "__al_rows", "__al_share", "__al_base", "__al_given", "__al_rank")
+    return with_only(d, df.columns, {out: (c("__al_base") + extra).cast("long")})
 
 
 def split_pair(first: Column, second: Column, target: Column) -> tuple[Column, Column]:
@@ -62,22 +64,29 @@ def split_usd(df: DataFrame, g: Groups, out: str, part: Column, target: Column)
     d = g.rank(g.totals(d, {"__al_sx": Total("sum", c("__al_x"))}), "__al_r", c("__al_x"))
     drift = target - c("__al_sx")
     fix = (c("__al_r") == 1) & (target > 0) & (c("__al_s") > 0) & (F.abs(drift) > 1e-12)
-    return d.withColumn(out, c("__al_x") + F.when(fix, drift).otherwise(0.0)).drop("__al_p", "__al_s", "__al_no", "__al_x", "__al_sx", "__al_r")
+    return with_only(d, df.columns, {out: c("__al_x") + F.when(fix, drift).otherwise(0.0)})
 
 
-def fit_row(parts: list[Column], target: Column) -> list[Column]:
-    """Scale a few dollar columns of one row to a target; drift on the first largest."""
-    s = sum(parts[1:], parts[0])
-    scaled = [F.when(target <= 0, 0.0).when(s > 0, p * target / s).otherwise(target if i == 0 else F.lit(0.0)) for i, p in enumerate(parts)]
-    drift = F.when((target > 0) & (s > 0), target - sum(scaled[1:], scaled[0])).otherwise(0.0)
-    top = F.greatest(*scaled)
-    out = []
-    for i, x in enumerate(scaled):
-        is_top = x == top
-        for y in scaled[:i]:
-            is_top = is_top & (y != top)
-        out.append(x + F.when(is_top & (F.abs(drift) > 1e-12), drift).otherwise(0.0))
-    return out
+def fit_columns(df: DataFrame, parts: dict[str, str], target: str) -> DataFrame:
+    """Scale a few dollar columns of one row to a target column; drift on the first largest.
+
+    ``parts`` maps result names to the columns they are scaled from.
+    """
+    s = sum((c(x) for x in parts.values()), F.lit(0.0))
+    d = df.withColumn("__al_s", s)
+    t = c(target)
+    d = d.withColumns({
+        n: F.when(t <= 0, 0.0).when(c("__al_s") > 0, c(x) * t / c("__al_s")).otherwise(t if k == 0 else F.lit(0.0))
+        for k, (n, x) in enumerate(parts.items())})
+    names = list(parts)
+    d = d.withColumns({"__al_top": F.greatest(*names), "__al_drift": F.when(
+        (t > 0) & (c("__al_s") > 0), t - sum((c(n) for n in names), F.lit(0.0))).otherwise(0.0)})
+    first = F.lit(None).cast("string")
+    for n in reversed(names):
+        first = F.when(c(n) == c("__al_top"), F.lit(n)).otherwise(first)
+    d = d.withColumn("__al_first", first)
+    fixed = {n: c(n) + F.when((c("__al_first") == n) & (F.abs("__al_drift") > 1e-12), c("__al_drift")).otherwise(0.0) for n in names}
+    return with_only(d, [*df.columns, *[n for n in names if n not in df.columns]], fixed)
 
 
 def split_rounded(df: DataFrame, g: Groups, out: str, weight: Column, pool: Column) -> DataFrame:
@@ -91,17 +100,16 @@ def split_rounded(df: DataFrame, g: Groups, out: str, weight: Column, pool: Colu
     d = g.totals(d, {"__al_others": Total("sum", c("__al_x"))})
     rest = floor0(c("__al_pool") - c("__al_others"))
     val = F.when((c("__al_pool") <= 0) | (c("__al_w") <= 0), 0).when(is_last, rest).otherwise(floor0(c("__al_x")))
-    return d.withColumn(out, val.cast("long")).drop("__al_w", "__al_pool", "__al_s", "__al_last", "__al_x", "__al_others")
+    return with_only(d, df.columns, {out: val.cast("long")})
 
 
 def cap_and_push(df: DataFrame, g: Groups, out: str, amount: Column, limit: Column) -> DataFrame:
     """Cap amounts at a limit per row; the overflow fills the latest rows with room."""
-    d = df.withColumns({"__al_a": F.least(amount, limit), "__al_over": F.greatest(amount - limit, F.lit(0))})
-    d = d.withColumn("__al_room", limit - c("__al_a"))
+    d = df.withColumns({"__al_a": F.least(amount, limit), "__al_over": F.greatest(amount - limit, F.lit(0)), "__al_room": limit - F.least(amount, limit)})
     d = g.totals(d, {"__al_left": Total("sum", c("__al_over"))})
     d = g.running(d, {"__al_later": Run("sum", c("__al_room"), "after")})
     take = F.least(c("__al_room"), floor0(c("__al_left") - c("__al_later")))
-    return d.withColumn(out, (c("__al_a") + take).cast("long")).drop("__al_a", "__al_over", "__al_room", "__al_left", "__al_later")
+    return with_only(d, df.columns, {out: (c("__al_a") + take).cast("long")})
 
 
 def take_down(df: DataFrame, g: Groups, out: str, amount: Column, need: Column) -> DataFrame:
@@ -109,4 +117,4 @@ def take_down(df: DataFrame, g: Groups, out: str, amount: Column, need: Column)
     d = g.rank(df.withColumns({"__al_a": amount, "__al_need": need}), "__al_r", c("__al_a"))
     d = g.reorder("__al_r").running(d, {"__al_before": Run("sum", c("__al_a"))})
     take = F.least(c("__al_a"), floor0(c("__al_need") - c("__al_before")))
-    return d.withColumn(out, (c("__al_a") - take).cast("long")).drop("__al_a", "__al_need", "__al_r", "__al_before")
+    return with_only(d, df.columns, {out: (c("__al_a") - take).cast("long")})

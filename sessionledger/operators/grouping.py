@@ -109,6 +109,14 @@ class PlainGroups:
     def number(self, df: DataFrame, name: str) -> DataFrame:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*self.keys).orderBy(self.order)).cast("long"))
 
+    def totals_and_rank(self, df: DataFrame, totals: Mapping[str, Total], name: str, value: Column) -> DataFrame:
+        """:meth:`totals` and :meth:`rank` in one step."""
+        w = W.partitionBy(*self.keys)
+        o = F.col(self.order)
+        return df.withColumns({
+            **{n: _zero(t.fn, _agg(t.fn, t.expr, o).over(w)) for n, t in totals.items()},
+            name: F.row_number().over(w.orderBy(value.desc(), o)).cast("long")})
+
     def rank(self, df: DataFrame, name: str, value: Column) -> DataFrame:
         """1-based position by ``value`` descending, ties by the order column."""
         w = W.partitionBy(*self.keys).orderBy(value.desc(), F.col(self.order))
@@ -186,6 +194,9 @@ class BlockedGroups:
         ])
         return tagged.join(whole, keys).drop(_BLOCK)
 
+    def totals_and_rank(self, df: DataFrame, totals: Mapping[str, Total], name: str, value: Column) -> DataFrame:
+        return self.rank(self.totals(df, totals), name, value)
+
     def number(self, df: DataFrame, name: str) -> DataFrame:
         return self.running(df, {name: Run("count", F.lit(1), "upto")})
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionledger.functions import pricing as p
-from sessionledger.operators.allocate import cap_and_push, fit_row, floor0, split_exact, split_pair, take_down
+from sessionledger.operators.allocate import cap_and_push, fit_columns, floor0, split_exact, split_pair, take_down
 from sessionledger.operators.grouping import Groups, Run, Total
 
 c = F.col
@@ -174,19 +174,20 @@ def price_calls(d: DataFrame) -> DataFrame:
     """Price every call at the tier of its own prompt."""
     ctx = p.call_tier_context(F.when(c("input") > 0, c("input")).otherwise(1), c("context_start") if "context_start" in d.columns else c("start"), c("start"), c("input"))
     d = d.withColumn("tier_ctx", ctx)
-    fam = c("family")
+    d = d.withColumns({f"__rate_{k}": p.unit_rate(k, c("family"), c("tier_ctx")) for k in ("input", "cached", "output")})
 
-    def usd(kind: str, tokens: Column) -> Column:
-        return p.price_tokens(kind, tokens, fam, c("tier_ctx"))
+    def usd(kind: str, tokens: str) -> Column:
+        return F.when(c(tokens) > 0, c(tokens) * c(f"__rate_{kind}") / F.lit(1_000_000.0)).otherwise(0.0)
 
     d = d.withColumns({
-        "in_usd": usd("input", c("harness_in")), "paid_usd": usd("input", c("paid")), "cache_usd": usd("cached", c("cache")),
-        "out_usd": usd("output", c("output")), "out_in_usd": usd("input", c("out_in"))})
-    parts = fit_row([usd("output", c(x)) for x in ("o_thought", "o_reason", "o_emit", "o_message")], c("out_usd"))
-    return d.withColumns({
-        **dict(zip(("thought_usd", "reason_usd", "emit_usd", "message_usd"), parts, strict=True)),
-        "call_usd": c("in_usd") + c("cache_usd") + c("out_usd"), "api_usd": c("paid_usd") + c("cache_usd") + c("out_usd"),
-        "tier": p.tier_name(c("tier_ctx"))})
+        "in_usd": usd("input", "harness_in"), "paid_usd": usd("input", "paid"), "cache_usd": usd("cached", "cache"),
+        "out_usd": usd("output", "output"), "out_in_usd": usd("input", "out_in"),
+        **{f"__{x}": usd("output", x) for x in ("o_thought", "o_reason", "o_emit", "o_message")}})
+    d = fit_columns(d, {"thought_usd": "__o_thought", "reason_usd": "__o_reason", "emit_usd": "__o_emit", "message_usd": "__o_message"}, "out_usd")
+    keep = [x for x in d.columns if not x.startswith("__")]
+    return d.select(
+        *keep, (c("in_usd") + c("cache_usd") + c("out_usd")).alias("call_usd"),
+        (c("paid_usd") + c("cache_usd") + c("out_usd")).alias("api_usd"), p.tier_name(c("tier_ctx")).alias("tier"))
 
 
 def context_growth(d: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pricing", "period", "sessionize", "text", "session", "allocation"]
+MODULES = ["pricing", "period", "sessionize", "text", "session", "allocation", "event", "segment"]
 
 
 def load_all():
