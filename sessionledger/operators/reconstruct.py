@@ -218,8 +218,11 @@ def display_windows(calls: DataFrame, g: Groups) -> DataFrame:
     return d.withColumns({"skip_context": last & ~single, "shown_start": long(start), "shown_end": long(end), "shown_growth": long(growth)}).drop("__ns", "__ne")
 
 
-def round_breakdown(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Round totals of the reconstructed calls: In, Cached, Out and what they are made of."""
+def round_breakdown(calls: DataFrame, keys: list[str], extra: list[Column] | None = None) -> DataFrame:
+    """Round totals of the reconstructed calls: In, Cached, Out and what they are made of.
+
+    ``extra``: further aggregates to take in the same pass.
+    """
     s = lambda x, n: F.sum(x).alias(n)
     return calls.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"), s("input", "input_tokens"), s("paid", "uncached_tokens"), s("cache", "cached_tokens"), s("output", "output_tokens"),
@@ -228,7 +231,7 @@ def round_breakdown(calls: DataFrame, keys: list[str]) -> DataFrame:
         F.max("cache_omitted").alias("cache_omitted"), F.max("user_cache_share").alias("user_cache_share"), F.max("user_reserved").alias("user_reserved"),
         s("in_usd", "harness_usd"), s("paid_usd", "paid_usd"), s("cache_usd", "cached_usd"), s("out_usd", "output_usd"), s("out_in_usd", "out_in_usd"),
         s("emit_usd", "out_to_harness_usd"), s("message_usd", "out_to_user_usd"), s("reason_usd", "reasoning_usd"), s("thought_usd", "thought_usd"),
-        s("api_usd", "api_usd"), F.bool_or("cold").alias("cold"))
+        s("api_usd", "api_usd"), F.bool_or("cold").alias("cold"), *(extra or []))
 
 
 def system_bucket(rounds: DataFrame) -> DataFrame:

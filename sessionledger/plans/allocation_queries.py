@@ -205,12 +205,12 @@ _BCOLS = ["calls", *_SUMS, "cache_omitted", "user_cache_share", "user_reserved",
 
 def breakdown(spark, sf):
     d = reconstructed(spark, sf)
-    facts = d.groupBy("round_id").agg(
+    facts = [
         F.first("session_id").alias("session_id"), F.first("family").alias("family"), F.bool_or("missed").alias("missed"), F.max("prior").alias("prior"), F.max("reread").alias("reread"),
         F.max("off_in").alias("off_in"), F.max("off_cache").alias("off_cache"), F.max("user_unc").alias("user_unc"), F.max("system_unc").alias("system_unc"),
         F.max("end").alias("context_end"), F.min(F.when(c("i") == 1, c("start"))).alias("start0"),
-        F.max(F.when(c("is_last"), c("o_thought") + c("o_reason") + c("o_message"))).alias("answer"))
-    return r.round_breakdown(d, ["round_id"]).join(facts, "round_id")
+        F.max(F.when(c("is_last"), c("o_thought") + c("o_reason") + c("o_message"))).alias("answer")]
+    return r.round_breakdown(d, ["round_id"], facts)
 
 
 @query("round_breakdown", "A19", f"SELECT round_id, {', '.join(_BCOLS)}, {', '.join(b.r6(x) + ' AS ' + x for x in _USD)} FROM v_breakdown")
@@ -286,7 +286,7 @@ SELECT round_id, answer_in, coalesce(fits AND NOT missed, false) AS from_user_po
 FROM (SELECT *, u > 0 AND u >= answer_in AND answer_in > 0 AS fits FROM (SELECT *, user_unc * 10 AS u, lag(answer) OVER (PARTITION BY session_id ORDER BY round_id) AS answer_in FROM v_breakdown))""")
 def previous_answers(spark, sf):
     d = breakdown(spark, sf).withColumn("user_in", c("user_unc") * 10)
-    d = skew_safe(d, ["session_id"], "round_id", r.previous_answer, mode="plain")
+    d = skew_safe(d, ["session_id"], "round_id", r.previous_answer)
     return d.select("round_id", "answer_in", "from_user_pool", "prompt_in", "absorbed")
 
 
@@ -392,9 +392,8 @@ h AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx
 m AS (SELECT h.session_id, least(h.n, z.calls) AS n, CAST(sum(tok) AS BIGINT) AS tok, CAST(sum(ch) AS BIGINT) AS ch FROM h JOIN (SELECT DISTINCT session_id, calls FROM k) z USING (session_id) GROUP BY ALL)
 SELECT k.session_id, line_no, coalesce(tok, 0) AS enc_tokens, coalesce(ch, 0) AS enc_chars FROM k LEFT JOIN m USING (session_id, n)""")
 def reasoning_on_calls(spark, sf):
-    from sessionledger.operators.grouping import PlainGroups
     from sessionledger.plans.sessionize_queries import calls
 
     rec = b.v_history(spark, sf, "old").select("session_id", "idx", F.floor(F.octet_length("text") / 4).cast("long").alias("encrypted_tokens"), F.length("text").cast("long").alias("encrypted_chars"))
     k = calls(spark, sf).filter(c("line_no") % 3 == 0).select("session_id", "line_no")
-    return skew_safe(k, ["session_id"], "line_no", lambda x, g: r.stamp_reasoning(x, rec, g, PlainGroups(["session_id"], "idx")), mode="plain")
+    return skew_safe(k, ["session_id"], "line_no", lambda x, g: r.stamp_reasoning(x, rec, g, g.reorder("idx")))

@@ -26,8 +26,13 @@ def ms(col):
 
 def v_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per row of ``events``; a session is a user."""
+    return updates_of(table(spark, sf_dir, "events"))
+
+
+def updates_of(events: DataFrame) -> DataFrame:
+    """Log lines of an ``events`` frame, batch or streaming."""
     k = F.regexp_extract(c("props"), "([0-9]+)", 1).cast("long")
-    e = table(spark, sf_dir, "events").select(
+    e = events.select(
         c("user_id").alias("session_id"), c("event_id").alias("line_no"), "event_type", "value", "props",
         ms(c("ts")).alias("agent_ms"), ms(F.date_trunc("hour", c("ts"))).alias("hour_ms"),
     )

@@ -181,7 +181,7 @@ def peel_increments(spark, sf):
     both = w.withColumn("wait", F.lit(True)).unionByName(t.withColumn("wait", F.lit(False)), allowMissingColumns=True)
     cum = skew_safe(both, ["child_id"], "line_no", lambda x, g: g.running(x, {f"cum_{y}": Run("sum", c(y)) for y in _CNT}))
     cum = cum.filter("wait").select("session_id", "child_id", "line_no", *[c(f"cum_{y}").alias(y) for y in _CNT])
-    return skew_safe(cum, ["session_id", "child_id"], "line_no", pl.increments, mode="plain").select("session_id", "child_id", "line_no", *_CNT)
+    return skew_safe(cum, ["session_id", "child_id"], "line_no", pl.increments).select("session_id", "child_id", "line_no", *_CNT)
 
 
 b.VIEWS["v_child_cards"] = """
@@ -201,7 +201,7 @@ def child_cards(spark, sf):
     spawns = tool.filter(c("k") % 10 == 1).withColumn("child_id", c("session_id") + 1 + c("k") % 3).select(*cols)
     kids = pl.distinct_children(waits.unionByName(spawns), ["session_id", "round_no"])
     last = d.groupBy("session_id", "round_no").agg(F.max("call_no").alias("last_call"))
-    return skew_safe(kids, ["session_id", "round_no"], "line_no", lambda x, g: pl.place_cards(waits, x, last, g), mode="plain")
+    return skew_safe(kids, ["session_id", "round_no"], "line_no", lambda x, g: pl.place_cards(waits, x, last, g))
 
 
 @query("child_cards", "J11 U2", "SELECT session_id, round_no, child_id, call_no, waited, n, 'Sub Agent ' || n AS label FROM v_child_cards")

@@ -156,7 +156,7 @@ FROM v_tools JOIN (SELECT session_id, round_no, call_no, max(call_start) AS phas
 def tool_chain(spark, sf):
     rows = s.by_session(b.v_updates(spark, sf), s.sessionized)
     starts = rows.groupBy("session_id", "round_no", "call_no").agg(F.max("call_start").alias("phase_start"))
-    out = s.skew_safe(s.tool_rollup(rows), ["session_id"], "tool_no", lambda t, g: s.serial_chain(t, starts, g), mode="plain")
+    out = s.skew_safe(s.tool_rollup(rows), ["session_id"], "tool_no", lambda t, g: s.serial_chain(t, starts, g))
     return out.select("session_id", "round_no", "call_no", "tool_no", "ctx_before", "ctx_after")
 
 

@@ -1,0 +1,91 @@
+"""A streaming source over files that grow: complete lines only, by byte position.
+
+A line belongs to the range its newline falls into, so an unfinished tail simply waits for a
+later range. A file that became shorter is read again from its start.
+"""
+
+from __future__ import annotations
+
+import glob
+import os
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+
+STEP = 1_500_000
+BACK = 65_536
+
+
+class Piece(InputPartition):
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
+
+
+def pieces(start: dict[str, int], end: dict[str, int], step: int) -> list[Piece]:
+    """Byte ranges to read between two offsets, at most ``step`` bytes each."""
+    out = []
+    for path, stop in end.items():
+        lo = start.get(path, 0)
+        lo = 0 if stop < lo else lo
+        out += [Piece(path, a, min(a + step, stop)) for a in range(lo, stop, step)]
+    return out
+
+
+def lines_of(piece: Piece) -> Iterator[tuple[int, str]]:
+    """(start byte, text) of each line whose newline lies in the range."""
+    with open(piece.path, "rb") as f:
+        begin = piece.start
+        while begin > 0:  # back to the start of the line that is under way
+            lo = max(0, begin - BACK)
+            f.seek(lo)
+            cut = f.read(begin - lo).rfind(b"\n")
+            if cut >= 0:
+                begin = lo + cut + 1
+                break
+            begin = lo
+        f.seek(begin)
+        at = begin
+        while at < piece.end:
+            raw = f.readline()
+            if not raw.endswith(b"\n") or at + len(raw) > piece.end:
+                return
+            if at + len(raw) > piece.start:
+                yield at, raw[:-1].decode("utf-8", errors="replace")
+            at += len(raw)
+
+
+class AppendedReader(DataSourceStreamReader):
+    def __init__(self, pattern: str, step: int):
+        self.pattern, self.step = pattern, step
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return {p: os.path.getsize(p) for p in sorted(glob.glob(self.pattern, recursive=True))}
+
+    def partitions(self, start: dict, end: dict):
+        return pieces(start, end, self.step)
+
+    def read(self, partition: Piece):
+        session = os.path.basename(os.path.dirname(partition.path))
+        for at, text in lines_of(partition):
+            yield (session, partition.path, at, text)
+
+    def commit(self, end: dict) -> None:
+        return None
+
+
+class AppendedLines(DataSource):
+    """``spark.readStream.format("appended_lines").option("pattern", …)``; the files must be
+    visible to every executor (a shared file system)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "appended_lines"
+
+    def schema(self) -> str:
+        return "session_id string, source_file string, line_no long, value string"
+
+    def streamReader(self, schema) -> AppendedReader:
+        return AppendedReader(self.options["pattern"], int(self.options.get("maxbytes", STEP)))
