@@ -253,7 +253,8 @@ def skew_safe(
     """Run ``body`` with native windows on ordinary groups and blocked ones on hot groups.
 
     ``mode``: ``probe`` counts rows per key first and leaves the hot branch out of the
-    plan when there is none; ``lazy`` always plans both branches (no action is run);
+    plan when there is none (call it on stored tables: the count reads only the keys there,
+    but would run the whole lineage of a derived frame); ``lazy`` always plans both branches (no action is run);
     ``blocked`` / ``plain`` force one engine. The broadcast list of hot keys is bounded
     by ``rows / hot_rows``.
     """

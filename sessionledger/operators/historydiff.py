@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionledger.functions.text import is_compact_glue
 from sessionledger.operators.grouping import skew_safe
+from sessionledger.session import materialize
 
 c = F.col
 MAX_CHANGES = 48
@@ -58,7 +59,8 @@ def align_changes(old: DataFrame, new: DataFrame, compared: DataFrame) -> DataFr
     def rest(x: DataFrame, p: str) -> DataFrame:
         d = x.join(cut, "session_id").filter(c("idx") >= c("prefix")).select("session_id", "idx", *fields)
         keyed = d.withColumn("__k", F.coalesce(F.nullif("key", F.lit("")), F.concat(F.lit("#"), c("idx").cast("string"))))
-        d = skew_safe(keyed, ["session_id", "__k"], "idx", lambda y, g: g.number(y, "__occ")).drop("__k")
+        # The changed tail only: written once, read by the size probe and the numbering.
+        d = skew_safe(materialize(keyed), ["session_id", "__k"], "idx", lambda y, g: g.number(y, "__occ")).drop("__k")
         return d.select("session_id", c("idx").alias(f"{p}idx"), "__occ", *[c(x).alias(f"{p}{x}") for x in fields])
 
     o, n = rest(old, "o_"), rest(new, "n_")
@@ -83,7 +85,7 @@ def align_changes(old: DataFrame, new: DataFrame, compared: DataFrame) -> DataFr
 def first_changes(changes: DataFrame, keep: int = MAX_CHANGES) -> DataFrame:
     """The change list shown for a snapshot: by index, then operation; the first ``keep``."""
     d = changes.withColumn("__pos", c("idx") * 3 + F.when(c("op") == "delete", 0).when(c("op") == "edit", 1).otherwise(2))
-    d = skew_safe(d, ["session_id"], "__pos", lambda y, g: g.number(y, "change_no"))
+    d = skew_safe(materialize(d), ["session_id"], "__pos", lambda y, g: g.number(y, "change_no"))
     return d.filter(c("change_no") <= keep).drop("__pos")
 
 
@@ -94,7 +96,7 @@ def new_glue(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def diff_summary(old: DataFrame, new: DataFrame) -> DataFrame:
     """Kind, counts of changes, and whether the rewrite looks like a compaction."""
-    compared = compare_snapshots(old, new)
+    compared = materialize(compare_snapshots(old, new))
     ch = align_changes(old, new, compared)
     blob = F.concat_ws(" ", "new_preview", "old_preview", "key")
     sums = ch.groupBy("session_id").agg(

@@ -285,7 +285,9 @@ def round_bills(spark, sf):
 SELECT round_id, answer_in, coalesce(fits AND NOT missed, false) AS from_user_pool, CASE WHEN fits THEN u - answer_in ELSE u END AS prompt_in, missed AND answer_in > 0 AS absorbed
 FROM (SELECT *, u > 0 AND u >= answer_in AND answer_in > 0 AS fits FROM (SELECT *, user_unc * 10 AS u, lag(answer) OVER (PARTITION BY session_id ORDER BY round_id) AS answer_in FROM v_breakdown))""")
 def previous_answers(spark, sf):
-    d = breakdown(spark, sf).withColumn("user_in", c("user_unc") * 10)
+    from sessionledger.session import materialize
+
+    d = materialize(breakdown(spark, sf).withColumn("user_in", c("user_unc") * 10))
     d = skew_safe(d, ["session_id"], "round_id", r.previous_answer)
     return d.select("round_id", "answer_in", "from_user_pool", "prompt_in", "absorbed")
 

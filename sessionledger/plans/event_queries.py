@@ -12,6 +12,7 @@ from sessionledger.operators import sessionize as s
 from sessionledger.operators.grouping import skew_safe
 from sessionledger.plans import binding as b
 from sessionledger.plans.registry import query
+from sessionledger.session import materialize
 
 c = F.col
 
@@ -180,7 +181,7 @@ def peel_increments(spark, sf):
     t = b.v_turns(spark, sf).select(c("session_id").alias("child_id"), "line_no", *_CNT)
     both = w.withColumn("wait", F.lit(True)).unionByName(t.withColumn("wait", F.lit(False)), allowMissingColumns=True)
     cum = skew_safe(both, ["child_id"], "line_no", lambda x, g: g.running(x, {f"cum_{y}": Run("sum", c(y)) for y in _CNT}))
-    cum = cum.filter("wait").select("session_id", "child_id", "line_no", *[c(f"cum_{y}").alias(y) for y in _CNT])
+    cum = materialize(cum.filter("wait")).select("session_id", "child_id", "line_no", *[c(f"cum_{y}").alias(y) for y in _CNT])
     return skew_safe(cum, ["session_id", "child_id"], "line_no", pl.increments).select("session_id", "child_id", "line_no", *_CNT)
 
 
@@ -199,7 +200,7 @@ def child_cards(spark, sf):
     cols = ["session_id", "round_no", "call_no", "line_no", "child_id"]
     waits = tool.filter(c("k") % 10 == 0).withColumn("child_id", c("session_id") + 1).select(*cols)
     spawns = tool.filter(c("k") % 10 == 1).withColumn("child_id", c("session_id") + 1 + c("k") % 3).select(*cols)
-    kids = pl.distinct_children(waits.unionByName(spawns), ["session_id", "round_no"])
+    kids = materialize(pl.distinct_children(waits.unionByName(spawns), ["session_id", "round_no"]))
     last = d.groupBy("session_id", "round_no").agg(F.max("call_no").alias("last_call"))
     return skew_safe(kids, ["session_id", "round_no"], "line_no", lambda x, g: pl.place_cards(waits, x, last, g))
 

@@ -34,15 +34,15 @@ def streamed_rounds(spark, sf):
 
 
 @query("streamed_hour_buckets", "ST7 ST8 ST9", f"""
-SELECT event_ms // 3600000 * 3600000 AS bucket_ms, {SUMS_SQL.replace('tokens_all', 'tokens_all')} FROM v_priced GROUP BY 1
-HAVING (event_ms // 3600000 + 1) * 3600000 <= (SELECT max(agent_ms) - 600000 FROM v_turns)""")
+SELECT bucket_ms, {SUMS_SQL} FROM (SELECT *, event_ms // 3600000 * 3600000 AS bucket_ms FROM v_priced) GROUP BY bucket_ms
+HAVING bucket_ms + 3600000 <= (SELECT max(agent_ms) - 600000 FROM v_turns)""")
 def streamed_hour_buckets(spark, sf):
     """Final hourly buckets: every hour the watermark has passed."""
     from sessionledger.operators.period import rounded_usage
 
     lines = live.once_per_line(line_stream(spark, sf).filter(c("kind") == "turn_completed"))
     turns = p.price_turns(lines).filter(p.has_usage())
-    return rounded_usage(live.run_to_table(live.bucket_stream(turns, "1 hour"), scratch_dir(spark)))
+    return rounded_usage(live.run_to_table(live.bucket_stream(turns, "1 hour", delay=None), scratch_dir(spark)))
 
 
 @query("sliding_windows", "ST7", """

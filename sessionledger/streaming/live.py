@@ -21,15 +21,16 @@ def once_per_line(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return lines.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["session_id", "source_file", "line_no"])
 
 
-def bucket_stream(turns: DataFrame, length: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+def bucket_stream(turns: DataFrame, length: str, slide: str | None = None, delay: str | None = "10 minutes") -> DataFrame:
     """Usage per time bucket; a bucket is final once the watermark has passed it.
 
-    With ``slide`` the windows overlap.
+    With ``slide`` the windows overlap. ``delay`` None: the input has its watermark already.
     """
     from sessionledger.operators.period import usage_sums
 
     w = F.window("event_ts", length, slide) if slide else F.window("event_ts", length)
-    d = turns.withWatermark("event_ts", delay).groupBy(w.alias("w")).agg(*usage_sums())
+    marked = turns.withWatermark("event_ts", delay) if delay else turns
+    d = marked.groupBy(w.alias("w")).agg(*usage_sums())
     return d.select(F.unix_millis("w.start").alias("bucket_ms"), *[x for x in d.columns if x != "w"])
 
 
@@ -59,7 +60,7 @@ def _int(v):
     return None if v is None or pd.isna(v) else int(v)
 
 
-def _assemble(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _assemble(key, frames: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
     """Rows of one session in one micro-batch: closed rounds, then the open one as a preview."""
     if state.hasTimedOut:
         state.remove()
@@ -108,23 +109,29 @@ def _assemble(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterato
             st.update(round_no=int(no), active=True, started_ms=started, first_ctx=first, max_ctx=top, call_count=count,
                       stream_ms=stream if stream is not None else (st["stream_ms"] if mine else None), baseline=base, **sums)
     state.update(tuple(st[f] for f in STATE_FIELDS))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
     yield pd.DataFrame(out, columns=[x.split()[0] for x in ROUND_SCHEMA.split(", ")])
 
 
 STATE_FIELDS = [x.split()[0] for x in STATE_SCHEMA.split(", ")]
 
 
-def round_stream(lines: DataFrame) -> DataFrame:
+def round_stream(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Rounds while they happen: a row per closed round and a preview of the open one.
 
     State per session is a handful of counters; lengths are kept, never texts. How many lines
-    of a session one task sees is bounded by the trigger's ``maxBytesPerTrigger``. Idle
-    sessions leave the state after a day.
+    of a session one task sees is bounded by the trigger's ``maxBytesPerTrigger``. With
+    ``ttl_ms`` idle sessions leave the state after that time (for queries that run on; a query
+    that drains what is there needs none).
     """
+    def assemble(key, frames, state):
+        yield from _assemble(key, frames, state, ttl_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     cols = ["session_id", "line_no", "kind", "context_tokens", "stream_ms", "agent_ms", "chars"]
     return lines.select(*cols).groupBy("session_id").applyInPandasWithState(
-        _assemble, ROUND_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout)
+        assemble, ROUND_SCHEMA, STATE_SCHEMA, "update", timeout)
 
 
 def history_watch(snapshots: DataFrame, store: str, checkpoint: str):
