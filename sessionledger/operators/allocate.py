@@ -114,7 +114,6 @@ def cap_and_push(df: DataFrame, g: Groups, out: str, amount: Column, limit: Colu
 
 def take_down(df: DataFrame, g: Groups, out: str, amount: Column, need: Column) -> DataFrame:
     """Take ``need`` (one value per group) off the largest amounts first."""
-    d = g.rank(df.withColumns({"__al_a": amount, "__al_need": need}), "__al_r", c("__al_a"))
-    d = g.reorder("__al_r").running(d, {"__al_before": Run("sum", c("__al_a"))})
+    d = g.sum_of_larger(df.withColumns({"__al_a": amount, "__al_need": need}), "__al_before", c("__al_a"))
     take = F.least(c("__al_a"), floor0(c("__al_need") - c("__al_before")))
     return with_only(d, df.columns, {out: (c("__al_a") - take).cast("long")})

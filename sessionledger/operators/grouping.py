@@ -109,6 +109,19 @@ class PlainGroups:
     def number(self, df: DataFrame, name: str) -> DataFrame:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*self.keys).orderBy(self.order)).cast("long"))
 
+    def sum_of_larger(self, df: DataFrame, name: str, value: Column) -> DataFrame:
+        """Sum of the values ranked before the row (largest first, ties by the order column)."""
+        w = W.partitionBy(*self.keys).orderBy(value.desc(), F.col(self.order)).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+    def describe(self, df: DataFrame, number: str, totals: Mapping[str, Total], runs: Mapping[str, Run]) -> DataFrame:
+        """:meth:`number`, :meth:`totals` and neighbours of ``runs`` in one step."""
+        w, o = W.partitionBy(*self.keys), F.col(self.order)
+        return df.withColumns({
+            number: F.row_number().over(w.orderBy(self.order)).cast("long"),
+            **{n: _zero(t.fn, _agg(t.fn, t.expr, o).over(w)) for n, t in totals.items()},
+            **{n: (F.lag if r.forward else F.lead)(r.expr, 1).over(w.orderBy(self.order)) for n, r in runs.items() if r.fn == "adjacent"}})
+
     def totals_and_rank(self, df: DataFrame, totals: Mapping[str, Total], name: str, value: Column) -> DataFrame:
         """:meth:`totals` and :meth:`rank` in one step."""
         w = W.partitionBy(*self.keys)
@@ -194,6 +207,13 @@ class BlockedGroups:
         ])
         return tagged.join(whole, keys).drop(_BLOCK)
 
+    def sum_of_larger(self, df: DataFrame, name: str, value: Column) -> DataFrame:
+        d = self.rank(df, "__rk_pos", value)
+        return self.reorder("__rk_pos").running(d, {name: Run("sum", value)}).drop("__rk_pos")
+
+    def describe(self, df: DataFrame, number: str, totals: Mapping[str, Total], runs: Mapping[str, Run]) -> DataFrame:
+        return self.running(self.totals(self.number(df, number), totals), runs)
+
     def totals_and_rank(self, df: DataFrame, totals: Mapping[str, Total], name: str, value: Column) -> DataFrame:
         return self.rank(self.totals(df, totals), name, value)
 

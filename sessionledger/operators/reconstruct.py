@@ -60,10 +60,8 @@ def call_weights(calls: DataFrame, tools: DataFrame, keys: list[str]) -> DataFra
 
 def round_facts(calls: DataFrame, g: Groups) -> DataFrame:
     """Position of each call, its neighbours, and whether the round starts cold."""
-    d = g.number(calls, "i")
-    d = g.totals(d, {"n": Total("count", F.lit(1))})
     out = floor0(c("w_thought")) + floor0(c("w_enc")) + floor0(c("w_emit")) + floor0(c("w_message"))
-    d = g.running(d.withColumn("__out", out), {
+    d = g.describe(calls.withColumn("__out", out), "i", {"n": Total("count", F.lit(1))}, {
         "prev_end": Run("adjacent", c("end")), "prev_out": Run("adjacent", c("__out")), "prev_h": Run("adjacent", c("w_harness"))})
     unc = F.when(c("off_cache").isNotNull(), floor0(c("off_in") - F.least("off_cache", "off_in"))).otherwise(c("off_in"))
     return d.drop("__out").withColumns({

@@ -148,6 +148,9 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     or an object, every 29th line is cut off and every 31st is blank.
     """
     u = v_updates(spark, sf_dir)
+    cores = spark.sparkContext.defaultParallelism
+    if u.rdd.getNumPartitions() < cores:  # one small file: writing and parsing JSON would be one task
+        u = u.repartition(cores)
     k = c("k")
     meta = F.struct(c("context_tokens").alias("totalTokens"), c("agent_ms").alias("agentTimestampMs"),
                     c("stream_ms").alias("streamStartMs"), c("prompt_id").alias("promptId"), k.alias("chunkId"))

@@ -84,13 +84,13 @@ def test_display_shift(spark):
 
 
 def test_misses(spark):
-    rows = [("collapsed", 192000, 200000, 1000, 6607, 192100), ("warm", 126000, 500000, 462000, 126800, 200000),
-            ("first", 126446, 3802792, 3637888, 126446, 126500), ("classic", 100000, 91000, 1000, 100000, 100000)]
+    rows = [("collapsed", 192000, 244535, 203264, 6607, 39805), ("warm", 126000, 438000, 400000, 126800, 163000),
+            ("first", 126446, 3802792, 3637888, 126824, 163599), ("classic", 100000, 91000, 1000, 100500, 101000)]
     df = spark.createDataFrame([(n, True, False, off_in, cache, prior, end, start, None) for n, prior, off_in, cache, start, end in rows],
                                "name string, completed boolean, is_first boolean, off_in long, off_cache long, prior long, context_end long, start0 long, idle_gap_ms long")
     got = {x.name: x for x in an.detect_miss(df).collect()}
     assert got["collapsed"].miss_kind is None and got["warm"].miss_kind is None
-    assert (got["first"].miss_kind, got["first"].off_unc) == ("first_call_reread", 164904) and got["first"].reread <= 126446
+    assert (got["first"].miss_kind, got["first"].off_unc) == ("first_call_reread", 164904) and got["first"].reread == 126446
     assert (got["classic"].miss_kind, got["classic"].off_unc) == ("classic_cache_miss", 90000)
 
 
