@@ -121,6 +121,13 @@ def recap_prompt(messages: Column) -> Column:
     return F.when(F.size(hits) > 0, body(F.element_at(hits, -1))).otherwise(F.lit(""))
 
 
+def last_recap_prompt(messages: DataFrame) -> DataFrame:
+    """The same choice over message rows (``session_id, idx, type, text``)."""
+    low = F.lower("text")
+    fits = F.lower("type").isin("user", "system") & (low.contains("recap") | low.contains("system-reminder") | low.contains("returning from idle"))
+    return messages.groupBy("session_id").agg(F.coalesce(F.max_by("text", F.when(fits, c("idx"))), F.lit("")).alias("prompt"))
+
+
 def drop_mid_write(records: DataFrame) -> DataFrame:
     """Leave out snapshots whose last line does not parse; other bad lines are skipped.
 

@@ -135,12 +135,17 @@ def match_requests(recaps: DataFrame, requests: DataFrame, head: int = 80) -> Da
     def prefixes(x: str) -> Column:
         return F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length(x)), lambda n: F.substr(c(x), F.lit(1), n)))
 
-    pairs = r.withColumn("k", long_key("a")).join(q.withColumn("k", long_key("b")), ["session_id", "k"])
-    short_r = r.filter(F.length("a") < head).withColumn("k", c("a")).join(q.withColumn("k", prefixes("b")), ["session_id", "k"])
-    short_q = r.withColumn("k", prefixes("a")).join(q.filter(F.length("b") < head).withColumn("k", c("b")), ["session_id", "k"])
-    cols = ["session_id", "line_no", "request_id", "mtime"]
-    found = pairs.select(*cols).unionByName(short_r.select(*cols)).unionByName(short_q.select(*cols))
-    return found.groupBy("session_id", "line_no").agg(F.max_by("request_id", F.struct("mtime", "request_id")).alias("request_id"))
+    def newest(side: DataFrame) -> DataFrame:
+        """Only the newest request per key can win, so copies never multiply."""
+        return side.groupBy("session_id", "k").agg(F.max(F.struct("mtime", "request_id")).alias("__q"))
+
+    found = [
+        r.withColumn("k", long_key("a")).join(newest(q.withColumn("k", long_key("b"))), ["session_id", "k"]),
+        r.filter(F.length("a") < head).withColumn("k", c("a")).join(newest(q.withColumn("k", prefixes("b"))), ["session_id", "k"]),
+        r.withColumn("k", prefixes("a")).join(newest(q.filter(F.length("b") < head).withColumn("k", c("b"))), ["session_id", "k"])]
+    cols = ["session_id", "line_no", "__q"]
+    hits = found[0].select(*cols).unionByName(found[1].select(*cols)).unionByName(found[2].select(*cols))
+    return hits.groupBy("session_id", "line_no").agg(F.max("__q").alias("__q")).select("session_id", "line_no", "__q.request_id")
 
 
 def attach_cards(lines: DataFrame, g: Groups) -> DataFrame:

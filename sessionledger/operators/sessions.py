@@ -26,6 +26,25 @@ def session_models(lines: DataFrame) -> DataFrame:
     )
 
 
+def hint_lines(lines: DataFrame, groups, first: int = 40, last: int = 20) -> DataFrame:
+    """The lines of a log that are asked for a model id: its head, then its tail."""
+    from sessionledger.operators.grouping import Run
+
+    d = groups.running(lines, {"__pos": Run("count", F.lit(1), "upto"), "__age": Run("count", F.lit(1), "from")})
+    d = d.filter((c("__pos") <= first) | (c("__age") <= last))
+    return d.withColumn("source_rank", F.when(c("__pos") <= first, 3).otherwise(4)).drop("__pos", "__age")
+
+
+def round_families(turns: DataFrame, groups) -> DataFrame:
+    """Price family of each round: the latest one known; rounds before the first use that one."""
+    from sessionledger.functions.pricing import DEFAULT_FAMILY
+    from sessionledger.operators.grouping import Run, Total
+
+    d = turns.withColumn("__fam", price_family(c("model")))
+    d = groups.totals(groups.running(d, {"__held": Run("last", c("__fam"), "upto")}), {"__first": Total("first", c("__fam"))})
+    return d.withColumn("family", F.coalesce("__held", "__first", F.lit(DEFAULT_FAMILY))).drop("__fam", "__held", "__first")
+
+
 def session_title(summary: Column, generated: Column, last_turn: Column, extra: Column, cwd: Column,
                   session_id: Column, max_len: int = 72) -> Column:
     """First non-blank title; else the working folder's name, else the head of the id."""

@@ -74,7 +74,7 @@ def updates_of(events: DataFrame) -> DataFrame:
 
 
 def v_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v_updates(spark, sf_dir).filter(c("kind") == "turn_completed")
+    return updates_of(table(spark, sf_dir, "events").filter(c("event_type") == "purchase"))
 
 
 def v_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,11 +303,35 @@ def reasoning_records(spark, sf):
 @query("recap_prompts", "P45 S7", """
 SELECT session_id, coalesce(arg_max(text || ' recap', idx) FILTER (type IN ('user', 'system') AND idx % 2 = 0), '') AS prompt FROM v_history_old GROUP BY session_id""")
 def recap_prompts(spark, sf):
-    msg = F.struct(c("idx"), c("type"), F.when(c("idx") % 2 == 0, F.concat(c("text"), F.lit(" recap"))).otherwise(
-        F.regexp_replace(F.lower(c("text")), "recap|system-reminder", "")).alias("content"))
-    d = b.v_history(spark, sf, "old").groupBy("session_id").agg(F.to_json(F.array_sort(F.collect_list(msg))).alias("chat"))
-    d = d.select("session_id", F.try_variant_get(F.try_parse_json("chat"), "$", "array<variant>").alias("m"))
-    return d.select("session_id", h.recap_prompt(c("m")).alias("prompt"))
+    x = F.when(c("idx") % 2 == 0, F.concat(c("text"), F.lit(" recap"))).otherwise(F.regexp_replace(F.lower(c("text")), "recap|system-reminder|returning from idle", ""))
+    return h.last_recap_prompt(b.v_history(spark, sf, "old").withColumn("text", x))
+
+
+@query("model_hint_window", "S9", """
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS pos, row_number() OVER (PARTITION BY session_id ORDER BY line_no DESC) AS age FROM v_updates),
+h AS (SELECT session_id, model, CAST(CASE WHEN pos <= 40 THEN 3 ELSE 4 END AS BIGINT) * 1000000000 + line_no AS o FROM p WHERE (pos <= 40 OR age <= 20) AND model IS NOT NULL)
+SELECT s.session_id, CASE WHEN m LIKE '%4.6%' THEN '4.6' WHEN m LIKE '%4.5%' THEN '4.5' END AS family, m AS first_id FROM (SELECT session_id, arg_min(model, o) AS m FROM h GROUP BY 1) s""")
+def model_hint_window(spark, sf):
+    """Only the first 40 and the last 20 lines of a log are asked for a model."""
+    from sessionledger.operators.sessions import hint_lines
+    from sessionledger.operators.sessionize import by_session
+
+    d = by_session(b.v_updates(spark, sf), hint_lines).filter(c("model").isNotNull())
+    return ll.model_per_session(d.select("session_id", "source_rank", "line_no", F.array("model").alias("ids"))).select("session_id", "family", "first_id")
+
+
+@query("round_families", "W9", """
+WITH f AS (SELECT session_id, round_no, line_no, CASE k % 3 WHEN 0 THEN '4.6' WHEN 1 THEN '4.5' END AS fam FROM v_lines WHERE kind = 'turn_completed'),
+g AS (SELECT *, last_value(fam IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM f)
+SELECT session_id, round_no, coalesce(held, arg_min(fam, line_no) FILTER (fam IS NOT NULL) OVER (PARTITION BY session_id), '4.5') AS family FROM g""")
+def round_families(spark, sf):
+    from sessionledger.operators import sessionize as s
+    from sessionledger.operators.sessions import round_families as op
+
+    def body(x, g):
+        return op(s.assign_rounds(x, g).filter(c("kind") == s.TURN), g)
+
+    return s.by_session(b.v_updates(spark, sf), body).select("session_id", "round_no", "family")
 
 
 @query("token_counter", "P11 X1", """SELECT doc_id, len(regexp_extract_all(text, '[^ ]+')) AS tokens, strlen(text) // 4 AS estimate FROM documents""")

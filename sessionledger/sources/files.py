@@ -52,13 +52,22 @@ def histories_to_watch(spark: SparkSession, root: str) -> DataFrame:
 def read_log(spark: SparkSession, root: str, name: str = "updates.jsonl") -> DataFrame:
     """Lines of all logs with their 1-based line number inside the file.
 
-    A growing log is split only by sessions here; at scale land logs as chunk files that carry
-    their line numbers, or use the byte position from the appended-lines source as the order.
+    One file is one task here. For logs of any size use :func:`read_log_by_position` (splits
+    files by byte range) or chunk files that carry their line numbers.
     """
     d = _files(spark, root, name, whole=True).filter(c("depth") <= 2)
     return d.select("session_id", c("path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value")).withColumn("line_no", c("line_no").cast("long") + 1)
 
 
+def read_log_by_position(spark: SparkSession, pattern: str, max_bytes: int = 64 << 20) -> DataFrame:
+    """Lines of all matching logs, files split into byte ranges; ``line_no`` is the position of
+    the line in its file. The files must be visible to every executor."""
+    from sessionledger.streaming.appended import AppendedLines
+
+    spark.dataSource.register(AppendedLines)
+    return spark.read.format("appended_lines").option("pattern", pattern).option("maxbytes", str(max_bytes)).load()
+
+
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     """Splittable landing zone: JSON lines wrapped with ``session_id`` and ``line_no``."""
     return spark.read.schema("session_id string, source_file string, line_no long, value string").json(path)
@@ -89,7 +98,7 @@ def read_lifecycle(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_recap_requests(spark: SparkSession, root: str, keep: int = 80) -> DataFrame:
-    """Recap request files of a session, newest first, at most ``keep`` (the reference's look-back)."""
+    """Recap request files of a session, newest first, at most ``keep`` (the look-back of the matching rule)."""
     from pyspark.sql import Window as W
 
     r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)

@@ -10,15 +10,15 @@ import glob
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 STEP = 1_500_000
 BACK = 65_536
 
 
 class Piece(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, final: bool = False):
+        self.path, self.start, self.end, self.final = path, start, end, final
 
 
 def pieces(start: dict[str, int], end: dict[str, int], step: int) -> list[Piece]:
@@ -47,6 +47,9 @@ def lines_of(piece: Piece) -> Iterator[tuple[int, str]]:
         at = begin
         while at < piece.end:
             raw = f.readline()
+            if piece.final and raw and not raw.endswith(b"\n"):
+                yield at, raw.decode("utf-8", errors="replace")
+                return
             if not raw.endswith(b"\n") or at + len(raw) > piece.end:
                 return
             if at + len(raw) > piece.start:
@@ -54,6 +57,25 @@ def lines_of(piece: Piece) -> Iterator[tuple[int, str]]:
             at += len(raw)
 
 
+class WholeReader(DataSourceReader):
+    """Batch read of the same files: byte ranges, an unfinished last line included."""
+
+    def __init__(self, pattern: str, step: int):
+        self.pattern, self.step = pattern, step
+
+    def partitions(self):
+        sizes = {p: os.path.getsize(p) for p in sorted(glob.glob(self.pattern, recursive=True))}
+        out = pieces({}, sizes, self.step)
+        for p in out:
+            p.final = p.end == sizes[p.path]
+        return out
+
+    def read(self, partition: Piece):
+        session = os.path.basename(os.path.dirname(partition.path))
+        for at, text in lines_of(partition):
+            yield (session, partition.path, at, text)
+
+
 class AppendedReader(DataSourceStreamReader):
     def __init__(self, pattern: str, step: int):
         self.pattern, self.step = pattern, step
@@ -87,5 +109,8 @@ class AppendedLines(DataSource):
     def schema(self) -> str:
         return "session_id string, source_file string, line_no long, value string"
 
+    def reader(self, schema) -> WholeReader:
+        return WholeReader(self.options["pattern"], int(self.options.get("maxbytes", STEP)))
+
     def streamReader(self, schema) -> AppendedReader:
         return AppendedReader(self.options["pattern"], int(self.options.get("maxbytes", STEP)))

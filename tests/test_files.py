@@ -65,6 +65,8 @@ def test_appended_lines(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     rows = sorted((r.session_id, r.line_no, r.value) for r in spark.table("tailed").collect())
+    batch = files.read_log_by_position(spark, f"{tmp_path}/*/updates.jsonl", 3)
+    assert sorted((r.session_id, r.line_no, r.value) for r in batch.collect()) == rows
     assert rows == [("s1", 0, "one"), ("s1", 4, "two"), ("s1", 8, "partial"), ("s1", 16, "next")]
 
 
