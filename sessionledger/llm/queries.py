@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionledger.llm import chat, packing, sharding
+from sessionledger.llm import chat, licenses, packing, quality, sharding
 from sessionledger.llm.common import table
 from sessionledger.plans.registry import Plan, Query
 
@@ -46,3 +46,15 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{chat.CLOSE}{chat.OPEN}assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.digests(chat.segments(turns.unionByName(more)))
+
+
+@query("op10_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.judge(docs).select("doc_id", "quality.*")
+
+
+@query("op9_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", "licence.*")
