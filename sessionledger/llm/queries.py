@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionledger.llm import chat, licenses, packing, quality, sharding
+from sessionledger.llm import chat, language, licenses, packing, quality, sharding
 from sessionledger.llm.common import table
 from sessionledger.plans.registry import Plan, Query
 
@@ -58,3 +58,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs).select("doc_id", "licence.*")
+
+
+@query("op1_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))
+    model = language.train(docs.filter(~held).select("text", "lang"))
+    return language.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "language.*")
