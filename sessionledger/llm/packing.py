@@ -151,64 +151,53 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, key: str
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     """(times, lengths of the bin) in order; counts: pieces of each length from 1 to capacity."""
-    left = np.zeros(capacity + 2, dtype=np.int64)
+    free = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in counts.items():
-        left[n] = c
-    live = sorted((n for n, c in counts.items() if c), reverse=True)
+        free[n] = c
     out = []
-    while live:
-        lens = np.array(live[::-1])  # ascending
-        use: dict[int, int] = {}
+    while True:
+        held = free.copy()
         gap, bin_ = capacity, []
-        while True:
-            i = int(np.searchsorted(lens, gap, side="right")) - 1
-            while i >= 0 and left[lens[i]] <= use.get(int(lens[i]), 0):
-                i -= 1
-            if i < 0:
+        while gap > 0:
+            fits = np.flatnonzero(held[:gap + 1])
+            if not len(fits):
                 break
-            n = int(lens[i])
-            # as many of it as fit, for a short plan
-            k = min(gap // n, int(left[n]) - use.get(n, 0))
-            use[n] = use.get(n, 0) + k
+            n = int(fits[-1])
+            k = min(gap // n, int(held[n]))
+            held[n] -= k
             bin_ += [n] * k
             gap -= n * k
-        reach = dict(use)
-        if gap > 0 and bin_:
+        if not bin_:
+            return out
+        need = free - held
+        if gap > 0:
             small = bin_[-1]
-            use[small] -= 1
-            pair = _best_two(lens, left, use, small, gap + small)
+            held[small] += 1
+            pair = _best_two(held, small, gap + small)
             if pair:
                 bin_ = sorted([*bin_[:-1], *pair], reverse=True)
                 for n in pair:
-                    use[n] = use.get(n, 0) + 1
-                for n, c in use.items():
-                    reach[n] = max(reach.get(n, 0), c)
+                    held[n] -= 1
+                need = np.maximum(need, free - held)
             else:
-                use[small] += 1
-        times = max(1, min(int(left[n]) // c for n, c in reach.items() if c))
-        for n, c in use.items():
-            left[n] -= c * times
+                held[small] -= 1
+        used = np.flatnonzero(need)
+        # the same choices are made again as long as the pieces they need are there
+        times = max(1, int((free[used] // need[used]).min()))
+        free -= (free - held) * times
         out.append((times, bin_))
-        live = [n for n in live if left[n] > 0]
-    return out
 
 
-def _best_two(lens: np.ndarray, left: np.ndarray, use: dict[int, int], small: int, room: int) -> tuple[int, int] | None:
+def _best_two(held: np.ndarray, small: int, room: int) -> tuple[int, int] | None:
     """The two unpacked lengths with the largest sum that is over ``small`` and within ``room``."""
-    free = np.array([left[n] - use.get(int(n), 0) for n in lens])
-    own = lens[free > 0]
-    twice = set(lens[free > 1].tolist())
-    own = own[own < room]
+    own = np.flatnonzero(held[:room])
     if not len(own):
         return None
     at = np.searchsorted(own, np.minimum(room - own, own), side="right") - 1
-    best, pair = small, None
-    for a, i in zip(own.tolist(), at.tolist()):
-        if i >= 0 and int(own[i]) == a and a not in twice:
-            i -= 1
-        if i >= 0 and a + int(own[i]) > best:
-            best, pair = a + int(own[i]), (a, int(own[i]))
-    return pair
+    at = np.where((at >= 0) & (own[at] == own) & (held[own] < 2), at - 1, at)
+    sums = np.where(at >= 0, own + own[at], 0)
+    i = int(sums.argmax())
+    return (int(own[i]), int(own[at[i]])) if sums[i] > small else None
 
 
 def _places(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
