@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionledger.llm import chat, language, licenses, packing, quality, sharding
+from sessionledger.llm import bpe, chat, hamming, language, licenses, linededup, packing, quality, sharding
 from sessionledger.llm.common import table
 from sessionledger.plans.registry import Plan, Query
 
@@ -66,3 +66,38 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))
     model = language.train(docs.filter(~held).select("text", "lang"))
     return language.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "language.*")
+
+
+NEIGHBORS = 10
+
+
+def _sign_distance(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), i -> CASE WHEN (({a})[i] > 0) <> (({b})[i] > 0) THEN 1 ELSE 0 END))"
+
+
+@query("op3_exact_top_k_search", f"""
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, CAST(distance AS INTEGER) AS distance FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM (
+        SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id, {_sign_distance("q.embedding", "v.embedding")} AS distance
+        FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id))
+    WHERE rank <= {NEIGHBORS}""")
+def exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming.top_k(vectors, F.col("vec_id") % 100 == 0, NEIGHBORS)
+
+
+@query("op7_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids"))
+    # the generator keeps the encoder from running once for the ids and once more below the decoder
+    stored = docs.select("doc_id", F.inline(F.array(F.struct("ids"))))
+    return stored.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks, public_tokenizers.PATTERN), 256).alias("decoded_sha256"))
+
+
+@query("op8_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_repeats(docs)
