@@ -5,7 +5,7 @@ Second tier, for the rest: the pre-token's bytes form a doubly linked list; a he
 neighbouring pairs, the lowest is merged, and its neighbours' new pairs go on the heap.
 
 Pre-tokens are the matches of the pattern. A text is first cut where a match must begin: at line feeds and
-single blanks between other characters. Each distinct piece is matched and encoded once per worker; texts
+single blanks between other characters (with the pattern of public_tokenizers, which allows it). Each distinct piece is matched and encoded once per worker; texts
 with other blanks are matched as a whole. Ids are little-endian unsigned 32-bit integers.
 
 A null text is empty and has no ids. Very long texts are encoded piece by piece. Repeated rows get the same
@@ -23,10 +23,11 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
+from public_tokenizers import PATTERN
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PIECES_KEPT = 400_000  # of a worker's memory of encoded pieces
+PIECES_KEPT = 500_000  # of a worker's memory of encoded pieces, and of pre-tokens
 MASK = (1 << 64) - 1
 
 
@@ -34,11 +35,12 @@ class PerfectHash:
     """Hash and displace: every key of a fixed set has a place of its own in 0 .. n - 1.
 
     Keys are put in buckets by one part of a 64-bit hash. Buckets are served from the largest to the smallest;
-    each tries displacements until all its keys fall on free places. ``find`` gives a key's place; the caller
-    compares the key stored there, as a foreign key falls on some place too.
+    each tries displacements until all its keys fall on free places, and a lone key is sent straight to a
+    free place, written as a negative displacement. ``find`` gives a key's place; the caller compares the key
+    stored there, as a foreign key falls on some place too.
     """
 
-    PER_BUCKET = 4
+    PER_BUCKET = 3
 
     def __init__(self, keys: list[bytes]):
         n = len(keys)
@@ -50,7 +52,11 @@ class PerfectHash:
         for h in hashes:
             by_bucket.setdefault(h % self.buckets, []).append(h)
         taken, self.shift = bytearray(n), [0] * self.buckets
+        lone = []
         for b, own in sorted(by_bucket.items(), key=lambda x: (-len(x[1]), x[0])):
+            if len(own) == 1:
+                lone.append(b)
+                continue
             d = 0
             while True:
                 places = [self._place(h, d) for h in own]
@@ -60,12 +66,16 @@ class PerfectHash:
             self.shift[b] = d
             for p in places:
                 taken[p] = 1
+        for b, p in zip(lone, (p for p in range(n) if not taken[p])):
+            self.shift[b] = -p - 1
         self.keys: list[bytes] = [b""] * n
         self.values = [0] * n
         for k in keys:
             self.keys[self.find(k)] = k
 
     def _place(self, h: int, d: int) -> int:
+        if d < 0:
+            return -d - 1
         x = ((h ^ (d * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9) & MASK
         return (x ^ (x >> 31)) % self.n
 
@@ -87,28 +97,34 @@ class Codec:
         self.matches = regex.compile(pattern).findall
         self.after_blank: dict[str, bytes] = {}  # pieces that follow a single blank, without it
         self.first: dict[str, bytes] = {}  # pieces that begin a line, and line feeds
+        self.tokens: dict[str, bytes] = {}  # pre-tokens
+        self.parted = pattern == PATTERN
 
     def token(self, t: str) -> bytes:
-        raw = t.encode()
-        at = self.whole.find(raw)
-        if self.whole.keys[at] == raw:
-            return struct.pack("<I", self.whole.values[at])
-        ids = self.merge(raw)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        found = self.tokens.get(t)
+        if found is None:
+            raw = t.encode()
+            at = self.whole.find(raw)
+            ids = [self.whole.values[at]] if self.whole.keys[at] == raw else self.merge(raw)
+            if len(self.tokens) > PIECES_KEPT:
+                self.tokens.clear()
+            found = self.tokens[t] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of bytes that are no entry as a whole."""
         rank, n = self.ranks.get, len(raw)
-        ends = list(range(1, n + 1))  # of the part that begins here; 0 if none does any more
-        before = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            r = rank(raw[i:i + 2])
-            if r is not None:
-                heap.append((r, i, i + 2))
+        ends = list(range(1, n + 2))  # end of the part that begins here; 0 if none does any more
+        before = list(range(-1, n))
+        bits = (n + 1).bit_length()
+        low = (1 << bits) - 1
+        # heap entries are rank, start and end of a pair in one number
+        heap = [r << 2 * bits | i << bits | i + 2 for i in range(n - 1) if (r := rank(raw[i:i + 2])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, end = heapq.heappop(heap)
+            x = pop(heap)
+            i, end = x >> bits & low, x & low
             mid = ends[i]
             # stale unless the two parts are still as they were
             if not mid or mid >= n or ends[mid] != end:
@@ -119,12 +135,12 @@ class Codec:
                 before[end] = i
                 r = rank(raw[i:ends[end]])
                 if r is not None:
-                    heapq.heappush(heap, (r, i, ends[end]))
+                    push(heap, r << 2 * bits | i << bits | ends[end])
             j = before[i]
             if j >= 0:
                 r = rank(raw[j:end])
                 if r is not None:
-                    heapq.heappush(heap, (r, j, end))
+                    push(heap, r << 2 * bits | j << bits | end)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[raw[i:ends[i]]])
@@ -135,6 +151,8 @@ class Codec:
         # only blanks and line feeds that stand alone between other characters part the text
         if not text:
             return b""
+        if not self.parted:
+            return b"".join([self.token(t) for t in self.matches(text)])
         lines = text.split("\n")
         after, first = self.after_blank, self.first
         if len(after) + len(first) > PIECES_KEPT:
