@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionledger.llm import bpe, chat, hamming, language, licenses, linededup, packing, quality, sharding
+from sessionledger.llm import bpe, chat, hamming, jaccard, language, licenses, linededup, packing, quality, sharding
 from sessionledger.llm.common import table
 from sessionledger.plans.registry import Plan, Query
 
@@ -30,7 +30,28 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARDS = 16
 
 
-@query("op4_sharding")
+OP4_SQL = f"""
+    WITH crc AS (
+      SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    bytes AS (
+      SELECT doc_id, source, list_transform(range(octet_length(encode(coalesce(text, '')))), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) AS b
+      FROM (SELECT *, hex(encode(coalesce(text, ''))) AS x FROM documents)),
+    sized AS (
+      SELECT doc_id, coalesce('=' || source, '-') AS stratum, CAST(len(b) + 1 AS BIGINT) AS size,
+        CAST(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS BIGINT) AS text_crc32
+      FROM bytes, crc),
+    hashed AS (
+      SELECT *, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || text_crc32 || '|' || size), 1, 15) AS BIGINT) AS h,
+        CAST('0x' || substr(md5('17|' || stratum), 1, 15) AS BIGINT) / 1152921504606846976.0::DOUBLE AS shift FROM sized),
+    placed AS (
+      SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, text_crc32, size) - 1 + shift) / count(*) OVER (PARTITION BY stratum) AS spot FROM hashed),
+    pos AS (
+      SELECT *, row_number() OVER (ORDER BY spot, stratum, h, doc_id, text_crc32, size) - 1 AS p, count(*) OVER () AS n FROM placed)
+    SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p * {SHARDS} // n AS INTEGER) AS shard,
+      CAST(p - ((p * {SHARDS} // n) * n + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM pos"""
+
+
+@query("op4_sharding", OP4_SQL)
 def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
@@ -40,7 +61,22 @@ def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op5_chat_formatting")
+OP5_SQL = r"""
+    WITH turns AS (
+      SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    sized AS (
+      SELECT *, length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24 AS chars FROM turns),
+    sums AS (
+      SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn) AS upto, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM sized)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(CASE WHEN role = 'assistant' OR last THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
+    FROM sums GROUP BY conv_id"""
+
+
+@query("op5_chat_formatting", OP5_SQL)
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = f"{chat.CLOSE}{chat.OPEN}assistant ok"
@@ -72,7 +108,7 @@ NEIGHBORS = 10
 
 
 def _sign_distance(a: str, b: str) -> str:
-    return f"list_sum(list_transform(range(1, len({a}) + 1), i -> CASE WHEN (({a})[i] > 0) <> (({b})[i] > 0) THEN 1 ELSE 0 END))"
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: CASE WHEN (({a})[i] > 0) <> (({b})[i] > 0) THEN 1 ELSE 0 END))"
 
 
 @query("op3_exact_top_k_search", f"""
@@ -101,3 +137,23 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.drop_repeats(docs)
+
+
+OP6_SQL = r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    grams AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM words),
+    sizes AS (SELECT doc_id, len(g) AS n FROM grams),
+    flat AS (SELECT doc_id, unnest(g) AS s FROM grams),
+    common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    link AS (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+    ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+    reach AS (SELECT doc_id AS x, doc_id AS y FROM sizes UNION SELECT r.x, b.y FROM reach r JOIN ways b ON r.y = b.x)
+    SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, m.c AS component_id FROM sizes s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON m.x = s.doc_id"""
+
+
+@query("op6_ngram_jaccard_join", OP6_SQL)
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
