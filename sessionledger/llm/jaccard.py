@@ -343,3 +343,20 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     rows = classes(docs, text, key, size, percent)
     least = rows.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     return rows.join(least, "component", "left").select(F.col("id").alias(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4, percent: int = 85) -> DataFrame:
+    """``docs`` with one row of every class: the one of the smallest id. Rows with an empty set all stay."""
+    rows = classes(docs, text, key, size, percent).filter("component is not null")
+    rows = materialize(rows.groupBy("component", "h").agg(F.min("id").alias("id"), F.count("*").alias("m")))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("best"))
+    chosen = materialize(rows.join(best, "component").select("h", "m", (F.col("best.h") == F.col("h")).alias("stays")).filter("m > 1 or not stays"))
+    h = F.xxhash64(F.col(key), F.col(text))
+    own = [F.col(f"d.`{c}`").alias(c) for c in docs.columns]
+    rest = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), h.alias("h"))
+    single = rest.join(_sent(chosen.select("h")), "h", "left_anti")
+    repeated = chosen.filter("stays").select("h")
+    if repeated.isEmpty():
+        return single.select(*own)
+    # equal rows, of which one stays
+    return single.unionByName(rest.join(_sent(repeated), "h").dropDuplicates(["h"]).select("d", "h")).select(*own)
