@@ -1,7 +1,8 @@
 """Licence scan with a positional rare-token index.
 
 Every template is a licence statement as words, with a key phrase that must be there. The index keeps, per
-template, its ``RARE`` words of highest inverse document frequency over all documents, with their places.
+template, the key phrase's ``RARE`` words of highest inverse document frequency over all documents, with
+their places in the statement.
 In a document the places of those words, less their places in the template, are the starts at which the
 template could stand; the starts of all its rare words are intersected, and at what is left the key phrase
 must stand word for word. The score is the share of the template's words found in place.
@@ -10,7 +11,7 @@ Words are runs of ASCII letters and digits and of all characters above ASCII, wi
 the templates, fixed phrases are counted wherever their words follow each other.
 
 Nulls: a null text has no words, no labels and score 0. Very long texts cost one pass; only places of
-licence words are kept. Repeated rows get the same answer. An empty table gives an empty result. Only
+licence words are kept. A column named ``licence`` is replaced, others pass through untouched. Repeated rows get the same answer. An empty table gives an empty result. Only
 built-in functions are used and nothing is shuffled but one count per licence word and task.
 """
 
@@ -46,7 +47,7 @@ BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general p
 
 def words_of(text: Column) -> Column:
     # of all capitals outside ASCII only these two turn into ASCII letters
-    t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı"))
+    t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131"))
     return F.array_remove(F.split(F.lower(t), SEPARATORS), "")
 
 
@@ -59,10 +60,15 @@ def word_counts(docs: DataFrame, vocabulary: list[str], text: str = "text") -> d
     return {w: found.get(i + 1, 0) for i, w in enumerate(vocabulary)}
 
 
-def rare_places(statement: list[str], idf: dict[str, float]) -> list[tuple[str, int]]:
-    """The statement's words of highest idf with their first places."""
-    order = sorted(set(statement), key=lambda w: (-idf[w], w))
-    return [(w, statement.index(w)) for w in order[:RARE]]
+def rare_places(statement: list[str], key: list[str], idf: dict[str, float]) -> list[tuple[str, int]]:
+    """The key phrase's words of highest idf with their first places in the statement."""
+    at = key_place(statement, key)
+    order = sorted(set(key), key=lambda w: (-idf[w], w))
+    return [(w, at + key.index(w)) for w in order[:RARE]]
+
+
+def key_place(statement: list[str], key: list[str]) -> int:
+    return next(i for i in range(len(statement)) if statement[i:i + len(key)] == key)
 
 
 def _standing(words: Column, start: Column, phrase: list[str], least: int = 0) -> Column:
@@ -88,10 +94,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     vocabulary = sorted({w for _, s, _ in statements for w in s})
     n = docs.count()
     idf = {w: math.log((1 + n) / (1 + c)) for w, c in word_counts(docs, vocabulary, text).items()}
-    index = [(label, s, key, rare_places(s, idf)) for label, s, key in statements]
+    index = [(label, s, key, rare_places(s, key, idf)) for label, s, key in statements]
     wanted = sorted({w for *_, rare in index for w, _ in rare} | {p.split()[0] for _, p in BASE})
 
-    own = docs.columns
+    own = [c for c in docs.columns if c != "licence"]
     split = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("d"), F.inline(F.array(F.struct(words_of(F.col(text)).alias("w")))))
     words = F.col("w")
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(wanted))
@@ -103,7 +109,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def template(statement: list[str], key: list[str], rare: list[tuple[str, int]]) -> Column:
         """Best share of the statement in place over the starts where the key phrase stands; null if there is none."""
-        at = next(i for i in range(len(statement)) if statement[i:i + len(key)] == key)
+        at = key_place(statement, key)
         starts = F.filter(_starts(F.col("hits"), rare), lambda s: _standing(words, s + at, key))
 
         def share(s: Column) -> Column:

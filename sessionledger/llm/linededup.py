@@ -12,7 +12,8 @@ well, and a hash pair that stands for two different texts is left alone.
 
 Nulls: a null text stays null; rows with a null id come last in the order. Rows equal in id and text count
 as one document and keep the same lines. Chunks are as long as the texts make them; nothing is cut short.
-Other columns pass through untouched. An empty table gives an empty result.
+A column named ``n_removed`` is replaced,
+others pass through untouched. An empty table gives an empty result.
 
 The lists of repeated hashes and of what to remove are broadcast when they are counted and short; beyond
 that the same joins shuffle.
@@ -95,5 +96,5 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         return F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
 
     left = F.when(F.col("removed").isNull(), F.col("d")[text]).otherwise(without(F.col("parts"), F.col("removed")))
-    cols = [left.alias(c) if c == text else F.col("d")[c].alias(c) for c in docs.columns]
+    cols = [left.alias(c) if c == text else F.col("d")[c].alias(c) for c in docs.columns if c != "n_removed"]
     return rows.select(*cols, F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("n_removed"))

@@ -39,9 +39,9 @@ END = 0  # follows each document
 WORDS_KEPT = 500_000  # of a worker's memory of encoded words
 _words: dict[str, tuple] = {}  # by tokenizer file: word -> its ids as little-endian unsigned 32-bit integers, and the encoders
 MARKS = ".,!?;:%$#&*|"
-plain = re.compile("[A-Za-zÀ-ÖØ-öø-ž]+").fullmatch  # letters that NFC leaves alone
+plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+").fullmatch  # letters that NFC leaves alone
 # a text with a rare blank is encoded as a whole
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -223,7 +223,7 @@ def best_two_fit(pieces: DataFrame, capacity: int = 2048, length: str = "length"
     Lengths must be whole numbers from 1 to ``capacity``. ``keys`` tell pieces apart. ``pieces`` is read
     several times, so it should be a stored table.
     """
-    names = pieces.columns
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     given = {n: f"c{i}" for i, n in enumerate(names)}
     counts = {int(r["n"]): int(r["m"]) for r in pieces.groupBy(F.col(length).alias("n")).agg(F.count("*").alias("m")).collect()}  # at most capacity rows
     if any(not 1 <= n <= capacity for n in counts):

@@ -9,7 +9,7 @@ only counts from a minimum length on.
 A document whose language is null is held against all documents together. A language with fewer words in
 the corpus than ``MIN_REFERENCE_WORDS`` has no word reference: only the character classes are compared.
 A null text has no words. Repeated rows are judged alike. An empty table gives an empty result. Only
-built-in functions are used; other columns pass through untouched.
+built-in functions are used; other columns pass through untouched, but for one named ``quality``.
 """
 
 from __future__ import annotations
@@ -72,11 +72,12 @@ def _classes(text: Column, word_chars: Column) -> list[Column]:
     return [*some, n - word_chars, n]
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``m`` of the counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, joined."""
+def measures(docs: DataFrame, text: str, keep: dict[str, Column]) -> DataFrame:
+    """The columns of ``keep`` and a struct ``m`` of the counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, joined."""
     t = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select("*", F.inline(F.array(F.struct(words_of(t).alias("__w")))))  # the generator keeps the split from being copied
-    w = F.col("__w")
+    # the generator keeps the split from being copied
+    split = docs.select(*(c.alias(n) for n, c in keep.items()), t.alias("t"), F.inline(F.array(F.struct(words_of(t).alias("w")))))
+    t, w = F.col("t"), F.col("w")
     lines = F.transform(F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.xxhash64(x))
     chars = F.length(F.array_join(w, "")).cast("long")
     upper, digits, marks, symbols, blanks, n = _classes(t, chars)
@@ -86,7 +87,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         repeated_words(w).alias("n_repeat_words"),
         F.array(upper, digits, blanks, marks, symbols, n).alias("classes"),
         F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" ")).alias("joined"))
-    return split.select(*(F.col(f"`{c}`") for c in docs.columns), F.inline(F.array(F.struct(row.alias("m")))))
+    return split.select(*keep, F.inline(F.array(F.struct(row.alias("m")))))
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -150,12 +151,12 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
     A distance is null where a minimum length guards it.
     """
-    own = docs.columns
+    own = [c for c in docs.columns if c != "quality"]
     stored = materialize(references(docs, text, lang))
     refs = F.broadcast(stored) if stored.count() <= LANGUAGES_SENT else stored
     key = F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit(ANY))
     # the struct keeps names of the caller apart from the ones used here
-    packed = measures(docs, text).select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("d"), "m", key.alias("ref_lang")).join(refs, "ref_lang")
+    packed = measures(docs, text, {"d": F.struct(*(F.col(f"`{c}`") for c in own)), "ref_lang": key}).join(refs, "ref_lang")
     m = F.col("m")
     by_char = F.when(m.classes[5] >= MIN_CHARS, js_distance(_class_shares(m.classes), _class_shares(F.col("ref_classes"))))
     by_word = F.when((m.n_words >= MIN_WORDS) & (F.col("ref_total") >= MIN_REFERENCE_WORDS),

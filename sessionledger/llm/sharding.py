@@ -3,15 +3,16 @@
 Rows are shuffled inside each source by a seeded hash. The r-th of a source's n rows stands at the
 fraction (r + u) / n, with u in [0, 1) drawn once per source, so a source's rows are evenly spread over
 [0, 1). Sorting everything by that fraction interleaves the sources in proportion, and equal cuts of
-the sorted order give shards whose row counts differ by one at most and whose share of every source
-differs by a row or two at most.
+the sorted order give shards whose row counts differ by one at most. A shard's rows of one source differ from
+its proportion by a row or two, and by a few more where there are very many tiny sources.
 
 No group is ordered in one task: a rank is a row number inside a block of a source's hash range plus
 the rows of the blocks before it, and the position in the whole order is counted the same way. The
 number of blocks grows with the rows; u keeps thousands of one-row sources from meeting at one place.
 
 Nulls: a null source is a source of its own; a null text has no bytes (size 1, checksum 0); a null id
-is hashed as such. Repeated rows are placed as rows of their own. Other columns are not touched.
+is hashed as such. Repeated rows are placed as rows of their own. Columns named
+``shard`` or ``slot`` are replaced, others pass through untouched.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def interleave(rows: DataFrame, n_shards: int, source: str = "source", keys: tup
     ``keys`` name the columns that tell rows apart; rows equal in all of them are interchangeable.
     An empty table gives an empty result.
     """
-    names = rows.columns
+    names = [c for c in rows.columns if c not in ("shard", "slot")]
     given = {n: f"c{i}" for i, n in enumerate(names)}  # own names cannot clash with the columns below
     stored = materialize(rows.select(
         *(F.col(f"`{n}`").alias(c) for n, c in given.items()),
