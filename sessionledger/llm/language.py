@@ -72,7 +72,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict:
                 for n in range(1, MAX_N + 1):
                     for g in grams(w, n):
                         tables[n - 1][g] += m
-            for n, t in enumerate([c, *tables]):
+            for n, t in enumerate([c, *tables] if c else []):
                 yield pd.DataFrame({"lang": k, "n": n, "token": list(t), "m": list(t.values())})
 
     counts = sample.mapInPandas(count, "lang string, n int, token string, m long").groupBy("lang", "n", "token").agg(F.sum("m").alias("m"))

@@ -39,7 +39,7 @@ END = 0  # follows each document
 WORDS_KEPT = 500_000  # of a worker's memory of encoded words
 _words: dict[str, tuple] = {}  # by tokenizer file: word -> its ids as little-endian unsigned 32-bit integers, and the encoders
 MARKS = ".,!?;:%$#&*|"
-plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+").fullmatch  # letters that NFC leaves alone
+plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+").fullmatch  # letters that NFC leaves alone and that have one small letter
 # a text with a rare blank is encoded as a whole
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
