@@ -119,11 +119,10 @@ def recap_cards(recaps: DataFrame) -> DataFrame:
 
 
 def match_requests(recaps: DataFrame, requests: DataFrame, head: int = 80) -> DataFrame:
-    """Recap to its newest request file of the session: same summary, or one starts with the
-    first ``head`` characters of the other.
+    """Recap to its newest request file of the session: one summary is a prefix of the other, whole texts.
 
-    The prefix test becomes three equi joins: on the first ``head`` characters, and for texts
-    shorter than that on the prefix of their own length.
+    Texts of ``head`` characters and more meet by their first ``head`` ones and are then compared in full;
+    a shorter one meets the prefixes of its own length. ``head`` is a matter of speed alone.
     """
     r = recaps.select("session_id", "line_no", F.trim("summary").alias("a")).filter(F.length("a") > 0)
     q = requests.select("session_id", "request_id", "mtime", F.trim("summary").alias("b")).filter(F.length("b") > 0)
@@ -135,12 +134,14 @@ def match_requests(recaps: DataFrame, requests: DataFrame, head: int = 80) -> Da
     def prefixes(x: str) -> Column:
         return F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length(x)), lambda n: F.substr(c(x), F.lit(1), n)))
 
-    def newest(side: DataFrame) -> DataFrame:
+    def newest(side: DataFrame, *more: str) -> DataFrame:
         """Only the newest request per key can win, so copies never multiply."""
-        return side.groupBy("session_id", "k").agg(F.max(F.struct("mtime", "request_id")).alias("__q"))
+        return side.groupBy("session_id", "k", *more).agg(F.max(F.struct("mtime", "request_id")).alias("__q"))
+
+    long_a, long_b = r.filter(F.length("a") >= head), q.filter(F.length("b") >= head)
 
     found = [
-        r.withColumn("k", long_key("a")).join(newest(q.withColumn("k", long_key("b"))), ["session_id", "k"]),
+        long_a.withColumn("k", long_key("a")).join(newest(long_b.withColumn("k", long_key("b")), "b"), ["session_id", "k"]).filter(F.startswith("a", "b") | F.startswith("b", "a")),
         r.filter(F.length("a") < head).withColumn("k", c("a")).join(newest(q.withColumn("k", prefixes("b"))), ["session_id", "k"]),
         r.withColumn("k", prefixes("a")).join(newest(q.filter(F.length("b") < head).withColumn("k", c("b"))), ["session_id", "k"])]
     cols = ["session_id", "line_no", "__q"]

@@ -13,7 +13,6 @@ from sessionledger.operators.grouping import skew_safe
 from sessionledger.session import materialize
 
 c = F.col
-MAX_CHANGES = 48
 
 
 def snapshot_kind(n: Column, m: Column, prefix: Column, last_user: Column) -> Column:
@@ -82,11 +81,11 @@ def align_changes(old: DataFrame, new: DataFrame, compared: DataFrame) -> DataFr
         c("o_hash").alias("old_hash"), c("n_hash").alias("new_hash"), (F.coalesce("n_compact", F.lit(False)) | F.coalesce("o_compact", F.lit(False))).alias("compact"))
 
 
-def first_changes(changes: DataFrame, keep: int = MAX_CHANGES) -> DataFrame:
-    """The change list shown for a snapshot: by index, then operation; the first ``keep``."""
+def numbered_changes(changes: DataFrame) -> DataFrame:
+    """The change list of a snapshot, numbered by index, then operation."""
     d = changes.withColumn("__pos", c("idx") * 3 + F.when(c("op") == "delete", 0).when(c("op") == "edit", 1).otherwise(2))
     d = skew_safe(materialize(d), ["session_id"], "__pos", lambda y, g: g.number(y, "change_no"))
-    return d.filter(c("change_no") <= keep).drop("__pos")
+    return d.drop("__pos")
 
 
 def new_glue(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -116,8 +115,3 @@ def watch_counters(diffs: DataFrame) -> DataFrame:
     kinds = ["append", "mutate", "tail", "truncate"]
     a = diffs.groupBy("session_id").pivot("kind", kinds).count().fillna(0, kinds)
     return a.withColumn("mutations", c("mutate") + c("truncate"))
-
-
-def watched(counters: DataFrame, keep: int = 80) -> DataFrame:
-    """The watch list: most rewritten first, then the newest (a top-k report)."""
-    return counters.orderBy(c("mutations").desc(), c("seen_ms").desc(), "session_id").limit(keep)

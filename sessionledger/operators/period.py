@@ -122,10 +122,14 @@ def rounded_usage(df: DataFrame) -> DataFrame:
 
 
 def bucket_usage(turns: DataFrame, windows: DataFrame, period: str, grain: str, offset_ms: int = 0) -> DataFrame:
-    """Usage per bucket of each window, gap-filled. ``windows`` is small: one row per window shown."""
+    """Usage per bucket of each calendar window of the period, gap-filled.
+
+    A turn's window is computed from its clock, so turns meet the buckets by equality and no window list
+    is sent around.
+    """
     grain = normalize_grain(period, grain)
     spine = bucket_spine(windows, period, grain, offset_ms)
-    placed = turns.join(F.broadcast(windows), (c("event_ms") >= c("start_ms")) & (c("event_ms") < c("end_ms")))
+    placed = turns.withColumn("start_ms", period_window(c("event_ms"), period, 0, offset_ms)["start_ms"])
     sums = placed.withColumn("bucket_ms", bucket_start(c("event_ms"), grain, c("start_ms"), offset_ms)).groupBy(
         "start_ms", "bucket_ms").agg(*usage_sums())
     filled = spine.join(sums, ["start_ms", "bucket_ms"], "left")

@@ -46,11 +46,11 @@ def context_deltas(lines: DataFrame, g: Groups) -> DataFrame:
     return d.withColumn("ctx_delta", c("context_tokens") - c("prev_ctx"))
 
 
-def context_series(lines: DataFrame, g: Groups, keep: int = 200) -> DataFrame:
-    """Context samples without consecutive duplicates; the newest ``keep`` of a session."""
+def context_series(lines: DataFrame, g: Groups) -> DataFrame:
+    """Context samples without consecutive duplicates, with their ``age`` in the session (1: the newest)."""
     d = context_deltas(lines.filter(c("context_tokens").isNotNull()), g)
     d = d.filter(c("prev_ctx").isNull() | (c("ctx_delta") != 0))
-    return g.running(d, {"age": Run("count", F.lit(1), "from")}).filter(c("age") <= keep)
+    return g.running(d, {"age": Run("count", F.lit(1), "from")})
 
 
 def stream_phases(lines: DataFrame, g: Groups) -> DataFrame:
@@ -285,9 +285,9 @@ def turn_peaks(lines: DataFrame, g: Groups) -> DataFrame:
     return g.sub("turn_seg").running(d, {"turn_peak": Run("max", F.when(~user, c("context_tokens")), "upto")})
 
 
-def newest(rows: DataFrame, g: Groups, keep: int) -> DataFrame:
-    """The newest ``keep`` rows of each group."""
-    return g.running(rows, {"age": Run("count", F.lit(1), "from")}).filter(c("age") <= keep)
+def aged(rows: DataFrame, g: Groups) -> DataFrame:
+    """Rows with their ``age`` in the group (1: the newest); who shows a few filters by it."""
+    return g.running(rows, {"age": Run("count", F.lit(1), "from")})
 
 
 def counts_by_kind(lines: DataFrame) -> DataFrame:

@@ -26,13 +26,9 @@ def session_models(lines: DataFrame) -> DataFrame:
     )
 
 
-def hint_lines(lines: DataFrame, groups, first: int = 40, last: int = 20) -> DataFrame:
-    """The lines of a log that are asked for a model id: its head, then its tail."""
-    from sessionledger.operators.grouping import Run
-
-    d = groups.running(lines, {"__pos": Run("count", F.lit(1), "upto"), "__age": Run("count", F.lit(1), "from")})
-    d = d.filter((c("__pos") <= first) | (c("__age") <= last))
-    return d.withColumn("source_rank", F.when(c("__pos") <= first, 3).otherwise(4)).drop("__pos", "__age")
+def hint_lines(lines: DataFrame) -> DataFrame:
+    """The lines of a log as a source of model ids: all of them, the earliest first."""
+    return lines.withColumn("source_rank", F.lit(3))
 
 
 def round_families(turns: DataFrame, groups) -> DataFrame:
@@ -248,13 +244,9 @@ def group_bounds(first_ms: Column, last_ms: Column, start_ms: Column, end_ms: Co
                     F.when(early, F.least(end_ms, start_ms + span)).otherwise(hi1).alias("hi_ms"))
 
 
-def list_sessions(sessions: DataFrame, keep: int = 30) -> DataFrame:
-    """Active sessions first, then the newest; at most ``keep`` inactive ones (a top-k report)."""
-    recency = F.coalesce("active_ms", "mtime_ms")
-    d = sessions.withColumn("recency_ms", recency)
-    active = d.filter("active")
-    rest = d.filter(~c("active")).orderBy(c("recency_ms").desc(), "session_id").limit(keep)
-    return active.unionByName(rest)
+def list_sessions(sessions: DataFrame) -> DataFrame:
+    """All sessions with what orders the list: active ones first, then by ``recency_ms``, newest first."""
+    return sessions.withColumn("recency_ms", F.coalesce("active_ms", "mtime_ms"))
 
 
 def latest_session(sessions: DataFrame, scope: list[str]) -> DataFrame:

@@ -36,13 +36,13 @@ def exact_split(spark, sf):
     return by_round(b.v_calls(spark, sf), lambda d, g: a.split_exact(d, g, "x", w, c("off_in"))).select("round_id", "call_no", "x")
 
 
-@query("exact_split_of_a_hot_key", "L1", f"SELECT round_id, call_no, x FROM ({split_sql('(SELECT call_no, round_id, weight FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS call_no, 0 AS round_id, CAST(floor(l_quantity) AS BIGINT) AS weight FROM lineitem WHERE l_linenumber = 1))', 'x', 'weight', '1000003')})")
+@query("exact_split_of_a_hot_key", "L1", f"SELECT round_id, call_no, x FROM ({split_sql('(SELECT call_no, round_id, weight FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS call_no, 0 AS round_id, CAST(floor(l_quantity) AS BIGINT) AS weight FROM lineitem))', 'x', 'weight', '1000003')})")
 def exact_split_of_a_hot_key(spark, sf):
     """One group over the whole table, split by the blocked engine."""
     from sessionledger.operators.sessions import global_numbers
 
-    d = b.table(spark, sf, "lineitem").filter(c("l_linenumber") == 1).select(
-        "l_orderkey", F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("tie"), F.floor("l_quantity").cast("long").alias("weight"))
+    d = b.table(spark, sf, "lineitem").select(
+        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("tie"), F.floor("l_quantity").cast("long").alias("weight"))
     d = global_numbers(d, "l_orderkey", "tie", "call_no").withColumn("round_id", F.lit(0))
     return by_round(d, lambda x, g: a.split_exact(x, g, "x", c("weight"), F.lit(1_000_003)), mode="blocked", block=4096).select("round_id", "call_no", "x")
 
@@ -389,7 +389,7 @@ def history_tool_results(spark, sf):
 
 
 @query("reasoning_on_calls", "J3", """
-WITH k AS (SELECT session_id, line_no, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS n, count(*) OVER (PARTITION BY session_id) AS calls FROM v_call_sum WHERE line_no % 3 = 0),
+WITH k AS (SELECT session_id, line_no, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS n, count(*) OVER (PARTITION BY session_id) AS calls FROM v_call_sum),
 h AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS n, strlen(text) // 4 AS tok, length(text) AS ch FROM v_history_old),
 m AS (SELECT h.session_id, least(h.n, z.calls) AS n, CAST(sum(tok) AS BIGINT) AS tok, CAST(sum(ch) AS BIGINT) AS ch FROM h JOIN (SELECT DISTINCT session_id, calls FROM k) z USING (session_id) GROUP BY ALL)
 SELECT k.session_id, line_no, coalesce(tok, 0) AS enc_tokens, coalesce(ch, 0) AS enc_chars FROM k LEFT JOIN m USING (session_id, n)""")
@@ -397,5 +397,5 @@ def reasoning_on_calls(spark, sf):
     from sessionledger.plans.sessionize_queries import calls
 
     rec = b.v_history(spark, sf, "old").select("session_id", "idx", F.floor(F.octet_length("text") / 4).cast("long").alias("encrypted_tokens"), F.length("text").cast("long").alias("encrypted_chars"))
-    k = calls(spark, sf).filter(c("line_no") % 3 == 0).select("session_id", "line_no")
+    k = calls(spark, sf).select("session_id", "line_no")
     return skew_safe(k, ["session_id"], "line_no", lambda x, g: r.stamp_reasoning(x, rec, g, g.reorder("idx")))

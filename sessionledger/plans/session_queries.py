@@ -174,8 +174,8 @@ f AS (SELECT l.*, session_id IN (SELECT session_id FROM hit UNION SELECT parent_
 SELECT session_id, list_no FROM (SELECT *, lag(h) OVER (ORDER BY list_no) AS u, lead(h) OVER (ORDER BY list_no) AS d, bool_or(h) OVER () AS a FROM f) WHERE h OR u OR d OR NOT a""")
 def zoomed_sessions(spark, sf):
     d = ordered(spark, sf)
-    # List position: root number times a stride no tree can exceed, plus the child number.
-    pos = o.global_numbers(d.withColumn("__pos", c("n") * 1_000_000 + F.coalesce("child_n", F.lit(0))), "__pos", "session_id", "list_no").drop("__pos")
+    place = F.struct(F.coalesce("child_n", F.lit(0)), "session_id")
+    pos = o.global_numbers(d.withColumn("__place", place), "n", "__place", "list_no").drop("__place")
     pos = pos.withColumn("list_id", F.lit(0))
     out = skew_safe(pos, ["list_id"], "list_no", lambda x, g: o.zoom_sessions(x, spans(spark, sf), F.lit(DAY10), F.lit(DAY10 + 3_600_000), g), mode="blocked")
     return out.select("session_id", "list_no")
@@ -207,7 +207,7 @@ def group_bounds(spark, sf):
 
 @query("session_list", "T1 D7", """
 WITH s AS (SELECT session_id, session_id % 17 = 0 AS active, coalesce(active_ms, created_ms) AS recency_ms FROM v_sessions)
-SELECT * FROM s WHERE active UNION ALL SELECT * FROM (SELECT * FROM s WHERE NOT active ORDER BY recency_ms DESC, session_id LIMIT 30)""")
+SELECT * FROM s""")
 def session_list(spark, sf):
     s = b.v_sessions(spark, sf).select("session_id", (c("session_id") % 17 == 0).alias("active"), "active_ms", c("created_ms").alias("mtime_ms"))
     return o.list_sessions(s).select("session_id", "active", "recency_ms")
@@ -239,18 +239,18 @@ def cache_health(spark, sf):
 
 
 @query("session_bills", "A13", f"""
-WITH off AS (SELECT session_id, sum(official_usd) AS o, count(*) AS turns FROM v_priced GROUP BY 1),
+WITH off AS (SELECT session_id, sum(official_usd) AS o, CAST(sum(coalesce(ticks, 0)) AS BIGINT) AS official_ticks, count(*) AS turns FROM v_priced JOIN (SELECT line_no, ticks FROM v_turns) USING (line_no) GROUP BY 1),
 est AS (SELECT session_id, sum(u) AS e FROM (SELECT session_id, estimate_usd AS u FROM v_priced UNION ALL SELECT session_id, k * 0.001 FROM v_updates WHERE kind = 'session_recap') GROUP BY 1),
 kid AS (SELECT parent_id AS session_id, sum(o) AS ch, count(*) AS n FROM v_edges JOIN off USING (session_id) WHERE parent_id IS NOT NULL GROUP BY 1)
-SELECT session_id, turns, coalesce(n, 0) AS children, {b.r6('o')} AS official_usd, {b.r6('e')} AS estimate_usd, {b.r6('coalesce(ch, 0)')} AS children_usd,
+SELECT session_id, turns, coalesce(n, 0) AS children, official_ticks, {b.r6('o')} AS official_usd, {b.r6('e')} AS estimate_usd, {b.r6('coalesce(ch, 0)')} AS children_usd,
   {b.r6('greatest(o - coalesce(ch, 0), 0)')} AS parent_only_usd FROM off LEFT JOIN est USING (session_id) LEFT JOIN kid USING (session_id)""")
 def session_bills(spark, sf):
     from sessionledger.functions.pricing import gold
 
     t_ = priced(spark, sf)
     recaps = b.v_updates(spark, sf).filter(c("kind") == "session_recap").select("session_id", (c("k") * 0.001).alias("cost_usd"))
-    d = o.session_bill(t_.drop("ticks").withColumn("ticks", F.lit(0)), t_.select("session_id", c("estimate_usd").alias("api_usd")), recaps, edges(spark, sf))
-    return d.select("session_id", "turns", "children", *[gold(c(x)).alias(x) for x in ("official_usd", "estimate_usd", "children_usd", "parent_only_usd")])
+    d = o.session_bill(t_, t_.select("session_id", c("estimate_usd").alias("api_usd")), recaps, edges(spark, sf))
+    return d.select("session_id", "turns", "children", "official_ticks", *[gold(c(x)).alias(x) for x in ("official_usd", "estimate_usd", "children_usd", "parent_only_usd")])
 
 
 @query("child_session_lookup", "J17", """

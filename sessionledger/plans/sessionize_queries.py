@@ -81,12 +81,12 @@ def context_jumps(spark, sf):
 
 
 @query("context_series", "W11 T2", f"""
-SELECT session_id, line_no, agent_ms, context_tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no DESC) AS rn
+SELECT session_id, line_no, agent_ms, context_tokens, rn AS age FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no DESC) AS rn
   FROM (SELECT *, lag(context_tokens) OVER (PARTITION BY session_id ORDER BY line_no) AS prev FROM v_updates WHERE context_tokens IS NOT NULL)
-  WHERE prev IS NULL OR prev <> context_tokens) WHERE rn <= 40""")
+  WHERE prev IS NULL OR prev <> context_tokens)""")
 def context_series(spark, sf):
-    d = s.by_session(b.v_updates(spark, sf), lambda x, g: s.context_series(x, g, 40))
-    return d.select("session_id", "line_no", "agent_ms", "context_tokens")
+    d = s.by_session(b.v_updates(spark, sf), s.context_series)
+    return d.select("session_id", "line_no", "agent_ms", "context_tokens", "age")
 
 
 @query("stream_phases", "W2 A2", f"""
@@ -232,12 +232,12 @@ def round_rollup(spark, sf):
 
 
 @query("retained_rounds", "T2", """
-SELECT session_id, round_no FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round_no DESC) AS age FROM v_round_sum) WHERE age <= 5""")
+SELECT session_id, round_no, row_number() OVER (PARTITION BY session_id ORDER BY round_no DESC) AS age FROM v_round_sum""")
 def retained_rounds(spark, sf):
     def body(x, g):
-        return s.newest(s.round_rollup(s.cache_baselines(s.assign_calls(s.assign_rounds(x, g), g), g)), g.reorder("round_no"), 5)
+        return s.aged(s.round_rollup(s.cache_baselines(s.assign_calls(s.assign_rounds(x, g), g), g)), g.reorder("round_no"))
 
-    return s.by_session(b.v_updates(spark, sf), body).select("session_id", "round_no")
+    return s.by_session(b.v_updates(spark, sf), body).select("session_id", "round_no", "age")
 
 
 @query("char_rates", "W15", f"""

@@ -14,9 +14,21 @@ from sessionledger.streaming import live
 c = F.col
 
 
-def line_stream(spark, sf):
-    schema = b.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+BATCHES = 3
+
+
+def line_stream(spark, sf, batches=1):
+    """The log as a stream; with ``batches`` it arrives in that many files, one per micro-batch."""
+    table = b.table(spark, sf, "events")
+    if batches == 1:
+        events = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    else:
+        path = scratch_dir(spark)
+        for i in range(batches):
+            lo, hi = table.agg(F.min("event_id"), F.max("event_id")).first() if i == 0 else (lo, hi)
+            part = F.least(F.floor((c("event_id") - lo) * batches / (hi - lo + 1)), F.lit(batches - 1)) == i
+            table.filter(part).coalesce(1).write.parquet(f"{path}/part={i}")
+        events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
     d = b.updates_of(events)
     return d.withColumns({"event_ts": F.timestamp_millis("agent_ms"), "source_file": F.lit("events")})
 
@@ -29,8 +41,8 @@ def streamed_rounds(spark, sf):
     """Closed rounds and the open preview, assembled by the stateful operator."""
     from sessionledger.operators.sessionize import ROUND_KINDS
 
-    lines = line_stream(spark, sf).filter(c("kind").isin(ROUND_KINDS))
-    return live.run_to_table(live.round_stream(lines), scratch_dir(spark), "update").drop("batch")
+    lines = line_stream(spark, sf, BATCHES).filter(c("kind").isin(ROUND_KINDS))
+    return live.run_to_table(live.round_stream(lines), scratch_dir(spark), "update", ("session_id", "round_no"))
 
 
 @query("streamed_hour_buckets", "ST7 ST8 ST9", f"""
@@ -66,5 +78,5 @@ SELECT session_id, max(line_no) AS line_no, arg_max(kind, line_no) AS last_kind,
   CASE WHEN coalesce(arg_max(context_tokens, line_no) FILTER (context_tokens IS NOT NULL), 0) > 200000 THEN 'high' ELSE 'low' END AS tier, any_value(coalesce(parent_id, session_id)) AS billed_session
 FROM v_updates JOIN v_sessions USING (session_id) GROUP BY session_id""")
 def live_gauges(spark, sf):
-    d = live.run_to_table(live.gauges(line_stream(spark, sf)), scratch_dir(spark), "update").drop("batch")
+    d = live.run_to_table(live.gauges(line_stream(spark, sf, BATCHES)), scratch_dir(spark), "update", ("session_id",))
     return live.with_parents(d, b.v_sessions(spark, sf)).drop("parent_id")

@@ -177,7 +177,7 @@ SELECT doc_id, length(body) AS chars, strlen(body) // 4 AS tokens, lines FROM (S
     WHEN 2 THEN text WHEN 3 THEN 'The file /x/' || doc_id || ' has been updated successfully.' WHEN 4 THEN text ELSE 'plain' END AS body,
   CASE doc_id % 6 WHEN 1 THEN length(text) - length(replace(text, chr(10), '')) + 2 WHEN 3 THEN 1 WHEN 5 THEN 1
     ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS lines
-  FROM documents WHERE length(regexp_replace(text, '[{WSQ}]+', '', 'g')) > 0)""")
+  FROM documents)""")
 def result_sizes(spark, sf):
     g = c("doc_id") % 6
     x = c("text")
@@ -193,7 +193,7 @@ def result_sizes(spark, sf):
         g == 3, F.to_json(F.struct(F.struct(F.concat(F.lit("/x/"), c("doc_id").cast("string")).alias("absolute_path"), F.lit("a").alias("old_string"), x.alias("new_string")).alias("EditsApplied")))).when(
         g == 4, F.to_json(F.struct(F.lit("Bash").alias("type"), x.alias("output_for_prompt"), x.alias("output")))).when(
         g == 5, F.to_json(F.struct(F.lit("plain").alias("message"))))
-    d = docs(spark, sf).filter(F.length(t.strip(x)) > 0).select("doc_id", F.try_parse_json(content).alias("content"), F.try_parse_json(raw).alias("raw"))
+    d = docs(spark, sf).select("doc_id", F.try_parse_json(content).alias("content"), F.try_parse_json(raw).alias("raw"))
     return d.select("doc_id", tl.result_sizes(c("content"), c("raw")).alias("s")).select("doc_id", "s.chars", "s.tokens", "s.lines")
 
 
@@ -308,15 +308,13 @@ def recap_prompts(spark, sf):
 
 
 @query("model_hint_window", "S9", """
-WITH p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS pos, row_number() OVER (PARTITION BY session_id ORDER BY line_no DESC) AS age FROM v_updates),
-h AS (SELECT session_id, model, CAST(CASE WHEN pos <= 40 THEN 3 ELSE 4 END AS BIGINT) * 1000000000 + line_no AS o FROM p WHERE (pos <= 40 OR age <= 20) AND model IS NOT NULL)
-SELECT s.session_id, CASE WHEN m LIKE '%4.6%' THEN '4.6' WHEN m LIKE '%4.5%' THEN '4.5' END AS family, m AS first_id FROM (SELECT session_id, arg_min(model, o) AS m FROM h GROUP BY 1) s""")
+SELECT s.session_id, CASE WHEN m LIKE '%4.6%' THEN '4.6' WHEN m LIKE '%4.5%' THEN '4.5' END AS family, m AS first_id
+FROM (SELECT session_id, arg_min(model, line_no) AS m FROM v_updates WHERE model IS NOT NULL GROUP BY 1) s""")
 def model_hint_window(spark, sf):
-    """Only the first 40 and the last 20 lines of a log are asked for a model."""
+    """Every line of a log is asked for a model; the earliest answer counts."""
     from sessionledger.operators.sessions import hint_lines
-    from sessionledger.operators.sessionize import by_session
 
-    d = by_session(b.v_updates(spark, sf), hint_lines).filter(c("model").isNotNull())
+    d = hint_lines(b.v_updates(spark, sf)).filter(c("model").isNotNull())
     return ll.model_per_session(d.select("session_id", "source_rank", "line_no", F.array("model").alias("ids"))).select("session_id", "family", "first_id")
 
 

@@ -37,10 +37,13 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only when the cluster names none (unit tests, a laptop) a local folder is set.
+    In local mode (unit tests, a laptop) a local folder is set when none is named; a cluster must name one,
+    as its executors do not share their disks.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-ledger-")
         spark.conf.set(CHECKPOINT_CONF, base)
     return f"{base.rstrip('/')}/ledger-{uuid.uuid4().hex}"

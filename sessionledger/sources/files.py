@@ -15,8 +15,8 @@ from sessionledger.functions.text import strip
 
 c = F.col
 # Fields of the gauge and header files.
-GAUGE_FIELDS = ["contextTokensUsed", "contextWindowTokens", "timeToFirstTokenMs", "itlP50Ms", "itlP99Ms", "toolCallCount", "turnCount", "modelsUsed",
-                "primaryModelId", "toolsUsed", "linesAdded", "linesRemoved", "errorCount", "sessionDurationSeconds"]
+GAUGE_FIELDS = ["contextTokensUsed", "contextWindowTokens", "avgTimeToFirstTokenMs", "avgResponseTimeMs", "itlP50Ms", "itlP99Ms", "itlMeanMs",
+                "totalChunkCount", "toolCallCount", "turnCount", "sessionDurationSeconds", "modelsUsed", "primaryModelId", "toolsUsed"]
 GAUGE_LISTS = {"modelsUsed", "toolsUsed"}
 GAUGES = "struct<" + ",".join(f"{g}:{'array<string>' if g in GAUGE_LISTS else 'string' if g == 'primaryModelId' else 'double'}" for g in GAUGE_FIELDS) + ">"
 _HEAD = ["session_summary", "generated_title", "last_turn_summary", "session_kind", "agent_name", "parent_session_id", "parent_id", "created_at", "last_active_at", "updated_at"]
@@ -84,10 +84,9 @@ def read_headers(spark: SparkSession, root: str) -> DataFrame:
     return d.select("session_id", _json(c("value"), HEADER).alias("h")).select("session_id", "h.*", kind.alias("kind"))
 
 
-def read_gauges(spark: SparkSession, root: str, keep: int = 40) -> DataFrame:
-    """Gauge files cut to the fields in use; long lists keep their first entries (as shown live)."""
-    d = _files(spark, root, "signals.json", whole=True).select("session_id", _json(c("value"), GAUGES).alias("g")).select("session_id", "g.*")
-    return d.withColumns({x: F.slice(x, 1, keep) for x in GAUGE_LISTS})
+def read_gauges(spark: SparkSession, root: str) -> DataFrame:
+    """Gauge files cut to the fields in use, lists in full."""
+    return _files(spark, root, "signals.json", whole=True).select("session_id", _json(c("value"), GAUGES).alias("g")).select("session_id", "g.*")
 
 
 def read_lifecycle(spark: SparkSession, root: str) -> DataFrame:
@@ -97,22 +96,28 @@ def read_lifecycle(spark: SparkSession, root: str) -> DataFrame:
     return d.select("session_id", "line_no", e.alias("e")).select("session_id", "line_no", c("e.type").alias("kind"), "e.phase", "e.ts", "e.duration_ms", "e.tool_name").filter(c("kind").isNotNull())
 
 
-def read_recap_requests(spark: SparkSession, root: str, keep: int = 80) -> DataFrame:
-    """Recap request files of a session, newest first, at most ``keep`` (the look-back of the matching rule)."""
-    from pyspark.sql import Window as W
-
+def read_recap_requests(spark: SparkSession, root: str) -> DataFrame:
+    """Recap request files of all sessions, with their time."""
     r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
     d = r.select("value", c("_metadata.file_path").alias("path"), c("_metadata.file_modification_time").alias("mtime")).filter(c("path").contains("/recap_requests/"))
     d = d.select(F.element_at(F.split("path", "/"), -3).alias("session_id"), F.regexp_extract("path", "([^/]+)[.]json$", 1).alias("stem"), "mtime", F.try_parse_json("value").alias("j"))
-    rank = F.row_number().over(W.partitionBy("session_id").orderBy(c("mtime").desc(), "stem"))
-    d = d.withColumn("age", rank).filter(c("age") <= keep)
     return d.select("session_id", F.coalesce(F.try_variant_get("j", "$.request_id", "string"), c("stem")).alias("request_id"), "mtime",
                     F.coalesce(F.try_variant_get("j", "$.summary", "string"), F.try_variant_get("j", "$.raw_response", "string")).alias("summary"),
                     F.try_variant_get("j", "$.chat_history", "array<variant>").alias("chat_history"))
 
 
 def tool_definitions(sessions: DataFrame, overrides: DataFrame, conf_tokens: int | None = None, default_count: int = 25) -> DataFrame:
-    """Size of the tool schemas per session: setting, else the session's file, else nothing known."""
-    d = sessions.join(overrides, "session_id", "left")
-    return d.withColumns({"tool_tokens": F.coalesce(F.lit(conf_tokens), c("tokens"), F.lit(0)), "tool_count": F.coalesce(c("count"), F.lit(default_count)),
-                          "tool_source": F.when(F.lit(conf_tokens is not None), "conf").when(c("tokens").isNotNull(), "file").otherwise("default")}).drop("tokens", "count")
+    """Size of the tool schemas per session: the session's file, else the setting, else nothing known.
+
+    ``overrides`` are the rows of :func:`read_tool_definitions`.
+    """
+    d = sessions.join(overrides.withColumn("__file", F.lit(True)), "session_id", "left")
+    return d.withColumns({
+        "tool_tokens": F.coalesce(F.when(c("tokens") < 0, 0).otherwise(c("tokens")), F.lit(conf_tokens), F.lit(0)), "tool_count": F.coalesce(F.when(c("count") < 0, 0).otherwise(c("count")), F.lit(default_count)),
+        "tool_source": F.when(c("__file"), "file").when(F.lit(conf_tokens is not None), "conf").otherwise("default")}).drop("tokens", "count", "__file")
+
+
+def read_tool_definitions(spark: SparkSession, root: str) -> DataFrame:
+    """``session_id, tokens, count`` of the sessions that have a readable ``tool_definitions.json``."""
+    d = _files(spark, root, "tool_definitions.json", whole=True).select("session_id", _json(c("value"), "struct<tokens:long,count:long>").alias("j"))
+    return d.filter(c("j.tokens").isNotNull() | c("j.count").isNotNull()).select("session_id", "j.tokens", "j.count")

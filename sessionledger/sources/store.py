@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,23 +41,30 @@ def changed(current: DataFrame, manifest: DataFrame | None, version: int = VERSI
 def refresh(current: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, batch: str, buckets: int = 64, version: int = VERSION) -> DataFrame:
     """Recompute changed sessions only and return the result of all live sessions.
 
-    Every refresh appends one batch of results and one of the manifest; readers take the newest
-    batch of each session. Nothing is overwritten, so a failed refresh leaves the old state.
+    Every refresh writes one batch of results and, when they are there, one of the manifest; readers take
+    the newest batch of each session. Repeating a refresh under its batch id replaces that batch alone, so a
+    failed one leaves the old state and a retry gives no row twice.
     """
     spark = current.sparkSession
     known = read_manifest(spark, path)
     todo = changed(current, known, version)
     result = compute(todo.select("session_id"))
-    result.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{path}/results")
-    todo.withColumns({"version": F.lit(version), "batch": F.lit(batch)}).write.mode("append").partitionBy("batch").parquet(f"{path}/manifest")
+    _write_batch(result.withColumn("batch", F.lit(batch)), f"{path}/results")
+    _write_batch(todo.withColumns({"version": F.lit(version), "batch": F.lit(batch)}), f"{path}/manifest")
     return live_results(spark, path, current)
 
 
+def _write_batch(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         m = spark.read.option("basePath", f"{path}/manifest").parquet(f"{path}/manifest")
-    except Exception:  # first refresh: nothing there yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # first refresh: nothing there yet
+            return None
+        raise
     m = m.withColumn("batch", c("batch").cast("string"))
     return m.groupBy("session_id").agg(F.max_by(F.struct("size", "mtime", "version", "batch"), "batch").alias("m")).select("session_id", "m.*")
 

@@ -135,26 +135,39 @@ def round_stream(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 
 def history_watch(snapshots: DataFrame, store: str, checkpoint: str):
-    """Diff each new snapshot of a history against the last one seen; writes ``<store>/diffs``.
+    """Diff every snapshot of a history against the one before it; writes ``<store>/diffs``.
 
-    ``snapshots``: fingerprint rows with ``snapshot_id``. The last known snapshot per session is
-    a table with one version per batch, so that replaying a batch gives the same result.
+    ``snapshots``: fingerprint rows with ``snapshot_id``. Snapshots of one micro-batch are compared with their
+    neighbours, the first of them with the last one known. A batch stores the newest snapshots of its own
+    sessions only; running it again replaces what it wrote.
     """
+    from pyspark.sql import Window as W
+
     from sessionledger.operators.historydiff import diff_summary
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        heads = batch.select("session_id", "snapshot_id").distinct()
+        ids = heads.select("session_id").distinct()
+        known = None
+        if batch_id > 0:
+            versions = spark.read.parquet(f"{store}/known").filter(c("v") < batch_id).join(ids, "session_id", "left_semi")
+            last = versions.groupBy("session_id").agg(F.max("v").alias("v"))
+            known = versions.join(last, ["session_id", "v"], "left_semi").drop("v")
+            heads = heads.unionByName(known.select("session_id", "snapshot_id").distinct())
+        order = W.partitionBy("session_id").orderBy("snapshot_id")
+        pairs = heads.distinct().withColumn("before", F.lag("snapshot_id").over(order)).filter(c("before").isNotNull())
+        rows = batch if known is None else batch.unionByName(known.select(batch.columns))
+
+        def side(which: str) -> DataFrame:
+            pair = pairs.select(c("session_id").alias("__s"), c(which).alias("__at"), F.struct("session_id", "snapshot_id").alias("__pair"))
+            d = rows.join(pair, (c("session_id") == c("__s")) & (c("snapshot_id") == c("__at")))
+            return d.withColumn("session_id", c("__pair")).drop("__s", "__at", "__pair", "snapshot_id")
+
+        diffs = diff_summary(side("before"), side("snapshot_id")).withColumns({"snapshot_id": c("session_id.snapshot_id"), "session_id": c("session_id.session_id")})
+        diffs.write.mode("overwrite").parquet(f"{store}/diffs/batch={batch_id}")
         newest = batch.groupBy("session_id").agg(F.max("snapshot_id").alias("snapshot_id"))
-        new = batch.join(newest, ["session_id", "snapshot_id"], "left_semi").drop("snapshot_id")
-        if batch_id == 0:
-            new.write.mode("overwrite").parquet(f"{store}/known/v=0")
-            return
-        old = spark.read.parquet(f"{store}/known/v={batch_id - 1}")
-        touched = old.join(new.select("session_id").distinct(), "session_id", "left_semi")
-        known = new.join(old.select("session_id").distinct(), "session_id", "left_semi")
-        diff_summary(touched, known).write.mode("overwrite").parquet(f"{store}/diffs/batch={batch_id}")
-        rest = old.join(new.select("session_id").distinct(), "session_id", "left_anti")
-        rest.unionByName(new).write.mode("overwrite").parquet(f"{store}/known/v={batch_id}")
+        batch.join(newest, ["session_id", "snapshot_id"], "left_semi").write.mode("overwrite").parquet(f"{store}/known/v={batch_id}")
 
     return snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -165,8 +178,11 @@ def with_parents(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(e, "session_id", "left").withColumn("billed_session", F.coalesce("parent_id", "session_id"))
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Drain what is there and return the result table (update mode keeps the last row per batch)."""
+def run_to_table(stream: DataFrame, path: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Drain what is there and return the result table; in update mode the newest row of every ``keys``.
+
+    A batch that is run again replaces its own rows.
+    """
     spark = stream.sparkSession
     w = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
@@ -177,7 +193,11 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
 
         q = w.foreachBatch(step).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/data") if mode == "append" else spark.read.parquet(f"{path}/data")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{path}/data")
+    rows = spark.read.parquet(f"{path}/data")
+    cols = [x for x in rows.columns if x != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("r.*")
 
 
 def read_chunks(spark: SparkSession, root: str, max_bytes: str = "1500000") -> DataFrame:

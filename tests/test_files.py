@@ -12,7 +12,7 @@ from sessionledger.operators import historydiff as hd
 from sessionledger.operators import period as per
 from sessionledger.operators import sessions as so
 from sessionledger.operators.grouping import PlainGroups
-from sessionledger.sources import files
+from sessionledger.sources import files, store
 from sessionledger.streaming import appended, live
 
 c = F.col
@@ -41,7 +41,7 @@ def test_discovery_and_headers(spark, tmp_path):
     assert lines[1] == '{"a":1}' and lines[3] == "broken"
     put(root, "s1/signals.json", json.dumps({"contextTokensUsed": 5, "toolsUsed": ["t"] * 60, "junk": 1}))
     g = files.read_gauges(spark, root).first()
-    assert g.contextTokensUsed == 5 and len(g.toolsUsed) == 40
+    assert g.contextTokensUsed == 5 and len(g.toolsUsed) == 60
     put(root, "s1/recap_requests/r1.json", json.dumps({"summary": "done", "chat_history": [{"type": "user", "content": "write a recap"}]}))
     q = files.read_recap_requests(spark, root).withColumn("prompt", h.recap_prompt(c("chat_history"))).first()
     assert (q.request_id, q.summary, q.prompt) == ("r1", "done", "write a recap")
@@ -102,6 +102,54 @@ def test_history_watch(spark, tmp_path):
     assert spark.read.parquet(f"{store}/diffs").first().kind == "append"
 
 
+def test_history_watch_compares_neighbours(spark, tmp_path):
+    """Snapshots that arrive together are diffed one by one; a session without news keeps its last one."""
+    store, src = str(tmp_path / "store"), str(tmp_path / "in")
+    one, two = [rec("system", "s"), rec("user", "u", prompt_index=0)], [rec("system", "new"), rec("user", "u", prompt_index=0)]
+    three = [*two, rec("user", "more", prompt_index=1)]
+
+    def put_batch(*shots):
+        rows = [prints(spark, texts).withColumn("snapshot_id", F.lit(i)).withColumn("session_id", F.lit(s).cast("long")) for s, i, texts in shots]
+        for r in rows[1:]:
+            rows[0] = rows[0].unionByName(r)
+        rows[0].coalesce(1).write.mode("append").parquet(src)
+        live.history_watch(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src), store, str(tmp_path / "cp")).awaitTermination()
+
+    put_batch((1, 0, one), (2, 0, one))
+    put_batch((1, 1, two), (1, 2, three))
+    put_batch((2, 1, one), (1, 3, three))
+    got = {(r.session_id, r.snapshot_id): r.kind for r in spark.read.parquet(f"{store}/diffs").collect()}
+    assert got == {(1, 1): "mutate", (1, 2): "append", (1, 3): "unchanged", (2, 1): "unchanged"}
+
+
+def test_sources_without_caps(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(90):
+        put(root, f"s1/recap_requests/r{i}.json", json.dumps({"summary": f"done {i}"}))
+    assert files.read_recap_requests(spark, root).count() == 90
+    put(root, "s1/signals.json", json.dumps({"avgTimeToFirstTokenMs": 7, "totalChunkCount": 3, "itlMeanMs": 2}))
+    g = files.read_gauges(spark, root).first()
+    assert (g.avgTimeToFirstTokenMs, g.totalChunkCount, g.itlMeanMs) == (7, 3, 2)
+    put(root, "s1/tool_definitions.json", json.dumps({"tokens": 70}))
+    put(root, "s2/tool_definitions.json", "no json")
+
+    got = {r.session_id: (r.tool_tokens, r.tool_count, r.tool_source) for r in files.tool_definitions(spark.createDataFrame([("s1",), ("s2",)], "session_id string"), files.read_tool_definitions(spark, root), 55).collect()}
+    assert got == {"s1": (70, 25, "file"), "s2": (55, 25, "conf")}
+
+
+def test_refresh_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "r")
+    cur = spark.createDataFrame([(1, 10, 0), (2, 20, 0)], "session_id long, size long, mtime long")
+    more = spark.createDataFrame([(1, 11, 0), (2, 20, 0)], "session_id long, size long, mtime long")
+    for now, batch in ((cur, "1"), (more, "2"), (more, "2")):
+        out = store.refresh(now, lambda ids: ids.withColumn("x", F.lit(1)), path, batch)
+        assert sorted(r.session_id for r in out.collect()) == [1, 2]
+    # a batch whose manifest was lost with the driver
+    store._write_batch(more.select("session_id").withColumns({"x": F.lit(9), "batch": F.lit("3")}), f"{path}/results")
+    third = spark.createDataFrame([(1, 12, 0), (2, 21, 0)], "session_id long, size long, mtime long")
+    assert sorted((r.session_id, r.x) for r in store.refresh(third, lambda ids: ids.withColumn("x", F.lit(2)), path, "3").collect()) == [(1, 2), (2, 2)]
+
+
 def test_spans_and_order(spark):
     t0 = 1_700_000_000_000
     rows = [(1, 1, "user_message_chunk", t0), (1, 2, "turn_completed", t0 + 2_400_000), (1, 3, "user_message", t0 + 18_000_000), (1, 4, "turn_completed", t0 + 21_600_000), (2, 1, "tool_call", t0)]
