@@ -136,7 +136,7 @@ def normalize(lines: DataFrame, preview: int = 120) -> DataFrame:
     d = d.select(
         *keep,
         F.when(c("bad"), "parse_error").otherwise(F.nullif(c(f"{u}.sessionUpdate"), F.lit(""))).alias("kind"),
-        F.when(c("bad"), F.substring("value", 1, 200)).alias("raw_preview"),
+        F.when(c("bad"), c("value")).alias("raw_line"),
         c("j.method").alias("method"), c("j.params.sessionId").alias("log_session_id"), c(f"{p}.eventId").alias("event_id"),
         F.coalesce(meta("promptId"), c(f"{u}.prompt_id")).alias("prompt_id"), c("j.timestamp").alias("file_timestamp"),
         meta("agentTimestampMs").alias("agent_ms"), meta("streamStartMs").alias("stream_ms"),

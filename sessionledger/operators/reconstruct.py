@@ -17,6 +17,10 @@ from sessionledger.functions import pricing as p
 from sessionledger.operators.allocate import cap_and_push, fit_columns, floor0, split_exact, split_pair, take_down
 from sessionledger.operators.grouping import Groups, Run, Total
 
+# Fixed values of the rules: growth before a call's tools counts as its request text below this many tokens,
+EMIT_GROWTH_BELOW = 2_000
+# and a result thinner than this is weighed by the growth it caused, if that is so many times its size and no trifle.
+THIN_RESULT, GROWN_TIMES, GROWN_AT_LEAST = 48, 3, 32
 c = F.col
 
 
@@ -49,7 +53,7 @@ def call_weights(calls: DataFrame, tools: DataFrame, keys: list[str]) -> DataFra
     def tok(tokens: str, chars: str) -> Column:
         return F.coalesce(F.when(c(tokens) > 0, long(c(tokens))), tokens_of_chars(c(chars)))
 
-    emit = F.coalesce(F.when(c("__req") > 0, c("__req")), F.when((c("emit_delta") > 0) & (c("emit_delta") < 2000), c("emit_delta")), F.lit(0))
+    emit = F.coalesce(F.when(c("__req") > 0, c("__req")), F.when((c("emit_delta") > 0) & (c("emit_delta") < EMIT_GROWTH_BELOW), c("emit_delta")), F.lit(0))
     pool = F.coalesce(F.when(c("harness_pool") > 0, c("harness_pool")), F.when(c("__grown") > 0, c("__grown")), c("__res"), F.lit(0))
     return d.withColumns({
         "w_thought": tok("thought_tokens", "thought_chars"), "w_enc": tok("enc_tokens", "enc_chars"),
@@ -324,7 +328,7 @@ def tool_pool(tools: DataFrame, g: Groups) -> DataFrame:
 
     content = floor0(F.coalesce(F.when(c("ch_result_tokens") > 0, c("ch_result_tokens")), c("result_tokens")))
     grown = floor0(c("tool_delta"))
-    weight = F.when((content < 48) & (grown > F.greatest(content * 3, F.lit(32))), grown).when(content > 0, content).otherwise(grown)
+    weight = F.when((content < THIN_RESULT) & (grown > F.greatest(content * GROWN_TIMES, F.lit(GROWN_AT_LEAST))), grown).when(content > 0, content).otherwise(grown)
     d = g.totals(tools.withColumn("raw_w", weight), {"__signal": Total("sum", c("raw_w"))})
     pool = c("__signal") + floor0(c("late_delta"))
     w = F.when(c("__signal") > 0, c("raw_w")).otherwise(F.lit(1))
