@@ -126,23 +126,23 @@ def session_order(sessions: DataFrame) -> DataFrame:
     return depth0.unionByName(depth1.select(*depth0.columns))
 
 
-def global_numbers(rows: DataFrame, order: str, tie: str, name: str, slices: int = 1 << 12) -> DataFrame:
+def global_numbers(rows: DataFrame, order: str, tie: str, name: str) -> DataFrame:
     """Number all rows by ``(order, tie)`` without one global window.
 
-    Rows are numbered inside slices of the order column; slice sizes are added up first. The
-    running sum over slices has at most ``slices`` rows.
+    Rows are dealt to sampled ranges of ``(order, tie)``, so neither a burst of equal clocks nor one clock far
+    off fills a single range; they are numbered inside their range, and the sizes of the ranges before are added.
     """
-    span = rows.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    d = rows.crossJoin(F.broadcast(span))  # one row
-    width = F.greatest((c("__hi") - c("__lo")) / F.lit(slices), F.lit(1.0))
-    d = d.withColumn("__slice", F.floor((c(order) - c("__lo")) / width).cast("long")).drop("__lo", "__hi")
-    return _numbered(d, [], "__slice", order, tie, name)
+    return _numbered(_ranged(rows, [], order, tie), [], "__range", order, tie, name)
 
 
 def number_children(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Number children of one parent by first activity (hourly slices, so hot parents are split)."""
-    d = rows.withColumn("__slice", F.floor(c("first_ms") / 3_600_000).cast("long"))
-    return _numbered(d, keys, "__slice", "first_ms", "session_id", "child_n")
+    """Number the children of one parent by first activity; a parent with many is split over several ranges."""
+    return _numbered(_ranged(rows, keys, "first_ms", "session_id"), keys, "__range", "first_ms", "session_id", "child_n")
+
+
+def _ranged(rows: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
+    """Rows with the number of their range, written so that it stays the same whenever it is read."""
+    return materialize(rows.repartitionByRange(*keys, order, tie).withColumn("__range", F.spark_partition_id()))
 
 
 def _numbered(d: DataFrame, keys: list[str], piece: str, order: str, tie: str, name: str) -> DataFrame:

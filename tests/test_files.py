@@ -179,3 +179,11 @@ def test_result_size_counts_the_body_only(spark):
     d = spark.range(1).select(v.alias("content"), F.try_parse_json(F.lit('{"type":"x"}')).alias("raw"))
     r = d.select(tl.result_sizes(c("content"), c("raw")).alias("s")).select("s.*").first()
     assert (r.chars, r.tokens, r.lines) == (len(body), len(body) // 4, 1)
+
+
+def test_numbers_of_a_burst(spark):
+    """Nearly all rows share one clock and one clock is far off."""
+    rows = [(5, i) for i in range(500)] + [(10**15, 1), (1, 7), (5, 900)]
+    d = spark.createDataFrame(rows, "at long, tie long")
+    got = {(r.at, r.tie): r.n for r in so.global_numbers(d, "at", "tie", "n").collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(rows))}
