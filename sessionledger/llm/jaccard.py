@@ -11,8 +11,8 @@ Texts with one shingle set are one node. Two nodes link when ``100 * intersectio
 3. Matrix: one row per shingle and group for the union of its members' found-by shingles, with the range
    of their sizes. Nodes are looked up in it: only groups that share such a shingle, have a fitting size
    and are not yet of the node's own class are candidates.
-4. Bounds before sets move: 1024 parity bits of a set never differ in more places than two sets do, so they
-   rule pairs out safely. Then, at the group, a node must share enough with the union of its members.
+4. Bounds before sets move: parity bits, about one for every shingle of a set, never differ in more places
+   than two sets do, so they rule pairs out safely. Then, at the group, a node must share enough with the union of its members.
 5. Qualifying groups are opened: inside, nodes are compared by the rarest shingles of the group first.
    Pairs already in one class are not compared again, so a group of a thousand copies takes a few pivots
    and not half a million pairs. What is left unlinked was compared, or ruled out by a bound.
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from sessionledger.llm.shingles import shingle_sets
 from sessionledger.session import materialize
 
-PARITY_BYTES = 128
-LOCAL_DOCS, LOCAL_REPEATS = 2_000, 4  # a shingle in so many of so many neighbouring documents may be a frequent one
+LOCAL_DOCS, LOCAL_REPEATS = 2_000, 2  # a shingle in so many of so many neighbouring documents may be a frequent one
+FREQUENT = 4  # sightings that make it one
 FREQUENT_SENT = 500_000  # most frequent shingles that the order knows; others count as rare
 BLOCK_NODES, BLOCK_SHINGLES = 4_096, 2_000_000  # of a group that one task opens
 GROUP_BY = 3  # first shared shingles that choose a node's group
@@ -59,8 +59,23 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _parity(own: np.ndarray) -> bytes:
-    bits = np.bincount((own & np.uint64(8 * PARITY_BYTES - 1)).astype(np.int64), minlength=8 * PARITY_BYTES) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parities of the set's counts by the last bits of the hash: a power of two from half the set's size on, 64 at least."""
+    n = max(64, 1 << (len(own) // 2 - 1).bit_length())
+    bits = np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(parity: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width in words: the row of each set there (-1 if its own is narrower) and the rows; wider ones are folded."""
+    width = np.array([len(x) // 8 for x in parity])
+    out = {}
+    for w in np.unique(width).tolist():
+        row = np.full(len(parity), -1)
+        has = np.flatnonzero(width >= w)
+        row[has] = np.arange(len(has))
+        rows = [np.bitwise_xor.reduce(np.frombuffer(parity[i], dtype=np.uint64).reshape(-1, w), axis=0) for i in has]
+        out[w] = (row, np.array(rows))
+    return out
 
 
 def _measure(size: int):
@@ -145,14 +160,18 @@ def _possible(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _grouped(batches, ["block"]):
             k, n, label, own = (pdf[c].to_numpy() for c in ("k", "n", "label", "own"))
-            bits = np.frombuffer(b"".join(pdf["parity"]), dtype=np.uint64).reshape(len(pdf), -1)
+            width = np.array([len(x) // 8 for x in pdf["parity"]])
+            tables = _folded(pdf["parity"].tolist())
             keep = np.zeros(len(pdf), dtype=bool)
             for i in range(len(pdf)):
                 other = np.flatnonzero((label != label[i]) & (own | own[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-                if len(other):
-                    differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    if ((100 + percent) * differ <= (100 - percent) * (n[other] + n[i])).any():
-                        keep[i] = True
+                for w, (row, rows) in tables.items():
+                    at = other[np.minimum(width[other], width[i]) == w]
+                    if len(at):
+                        differ = np.bitwise_count(rows[row[at]] ^ rows[row[i]]).sum(axis=1, dtype=np.int64)
+                        if ((100 + percent) * differ <= (100 - percent) * (n[at] + n[i])).any():
+                            keep[i] = True
+                            break
             if keep.any():
                 yield pd.DataFrame({"block": pdf["block"].to_numpy()[keep], "k": k[keep], "label": label[keep], "own": own[keep], "m": n[keep]})
 
@@ -268,16 +287,18 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     row = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(key).alias("id"), F.col(text).alias("t"))
     measured = materialize(row.select("h", F.coalesce("t", F.lit("")).alias("t")).mapInPandas(_measure(size), "h long, k long, n int"))
     nodes_of = measured.filter("n >= 0")
-    often = (measured.filter("n < 0").groupBy("k").agg(F.sum("n").alias("n")).orderBy("n", "k").limit(FREQUENT_SENT).select("k").toPandas()["k"])
+    often = (measured.filter("n < 0").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") <= -FREQUENT).orderBy("n", "k").limit(FREQUENT_SENT).select("k").toPandas()["k"])
     late = np.sort(often.to_numpy(dtype=np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(late)
 
     firsts = materialize(row.select("t").filter("t is not null").mapInPandas(_prefixes(size, percent, sent), "k long, n int, found_by int, tokens array<long>, parity binary"))
     by_token = Window.partitionBy("token")
     rows = firsts.select("k", "n", "found_by", F.posexplode("tokens").alias("pos", "token"))
+    # size, position and flag in one number: this is the widest shuffle
+    rows = rows.select("token", "k", F.expr("shiftleft(cast(n as long), 32) + 2 * pos + int(pos < found_by)").alias("place"))
     shared = materialize(
-        rows.select("token", "k", "n", "pos", (F.col("pos") < F.col("found_by")).alias("finds"), F.min("k").over(by_token).alias("least"), F.max("k").over(by_token).alias("most"))
-        .filter("least < most").drop("most").distinct())
+        rows.select("token", "k", "place", F.min("k").over(by_token).alias("least"), F.max("k").over(by_token).alias("most")).filter("least < most").distinct()
+        .selectExpr("token", "k", "cast(shiftright(place, 32) as int) as n", "cast(place % 4294967296 div 2 as int) as pos", "place % 2 = 1 as finds", "least"))
 
     # groups by the least node met at the first shared shingles, in blocks of bounded size
     order = Window.partitionBy("k").orderBy("pos")
