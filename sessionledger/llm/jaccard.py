@@ -6,10 +6,10 @@ Texts with one shingle set are one node. Two nodes link when ``100 * intersectio
    this one keeps passages that half the corpus shares out of the search. A node's first
    ``n - ceil(t n) + 1`` shingles must hold one of any partner that is not larger, and the first
    ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller one suffice to be found by.
-2. Groups: a node's group is the least node it meets at its first shared shingles, so near copies mostly
+2. Groups: a node's group is the least node it meets at one of its shared first shingles, so near copies mostly
    meet in one group. A group over a bounded number of shingles is cut in blocks by hash.
-3. Matrix: one row per shingle and group for the union of its members' found-by shingles, with the range
-   of their sizes. Nodes are looked up in it: only groups that share such a shingle, have a fitting size
+3. Matrix: one row per shingle, group and class in it for the union of the members' found-by shingles, with the
+   range of their sizes. Nodes are looked up in it: only groups that share such a shingle, have a fitting size
    and are not yet of the node's own class are candidates.
 4. Bounds before sets move: parity bits, about one for every shingle of a set, never differ in more places
    than two sets do, so they rule pairs out safely. Then, at the group, a node must share enough with the union of its members.
@@ -42,7 +42,6 @@ LOCAL_DOCS, LOCAL_REPEATS = 2_000, 2  # a shingle in so many of so many neighbou
 FREQUENT = 4  # sightings that make it one
 FREQUENT_SENT = 500_000  # most frequent shingles that the order knows; others count as rare
 BLOCK_NODES, BLOCK_SHINGLES = 4_096, 2_000_000  # of a group that one task opens
-GROUP_BY = 3  # first shared shingles that choose a node's group
 SENT_ROWS = 300_000
 
 
@@ -294,16 +293,14 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     firsts = materialize(row.select("t").filter("t is not null").mapInPandas(_prefixes(size, percent, sent), "k long, n int, found_by int, tokens array<long>, parity binary"))
     by_token = Window.partitionBy("token")
     rows = firsts.select("k", "n", "found_by", F.posexplode("tokens").alias("pos", "token"))
-    # size, position and flag in one number: this is the widest shuffle
-    rows = rows.select("token", "k", F.expr("shiftleft(cast(n as long), 32) + 2 * pos + int(pos < found_by)").alias("place"))
+    # size and flag in one number: this is the widest shuffle
+    rows = rows.select("token", "k", F.expr("2 * cast(n as long) + int(pos < found_by)").alias("place"))
     shared = materialize(
         rows.select("token", "k", "place", F.min("k").over(by_token).alias("least"), F.max("k").over(by_token).alias("most")).filter("least < most").distinct()
-        .selectExpr("token", "k", "cast(shiftright(place, 32) as int) as n", "cast(place % 4294967296 div 2 as int) as pos", "place % 2 = 1 as finds", "least"))
+        .selectExpr("token", "k", "cast(place div 2 as int) as n", "place % 2 = 1 as finds", "least"))
 
-    # groups by the least node met at the first shared shingles, in blocks of bounded size
-    order = Window.partitionBy("k").orderBy("pos")
-    grouped = (shared.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= GROUP_BY)
-               .groupBy("k").agg(F.first("n").alias("n"), F.min("least").alias("g")))
+    # groups by the least node met, in blocks of bounded size
+    grouped = shared.groupBy("k").agg(F.first("n").alias("n"), F.min("least").alias("g"))
     sizes = grouped.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     nodes = materialize(grouped.join(sizes, "g").select("k", "n", "g", "blocks", F.xxhash64("g", F.pmod(F.xxhash64("k"), F.col("blocks"))).alias("block"), F.col("k").alias("label")))
     parity = firsts.select("k", "parity").dropDuplicates(["k"])
@@ -342,8 +339,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
         nodes = relabelled(nodes, edges)
 
     placed = shared.select("token", "k", "n", "finds").join(nodes.select("k", "block", "label"), "k")
-    matrix = placed.filter("finds").groupBy("token", F.col("block").alias("there")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    fits = (F.col("there") != F.col("block")) & (F.col("lo") <= F.col("n")) & (100 * F.col("hi") >= percent * F.col("n")) & ~((F.col("l0") == F.col("label")) & (F.col("l1") == F.col("label")))
+    matrix = placed.filter("finds").groupBy("token", F.col("block").alias("there"), F.col("label").alias("class")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    fits = (F.col("there") != F.col("block")) & (F.col("class") != F.col("label")) & (F.col("lo") <= F.col("n")) & (100 * F.col("hi") >= percent * F.col("n"))
     guests = materialize(placed.join(matrix, "token").filter(fits).select(F.col("there").alias("block"), "k", "n", "label").distinct())
     if not guests.isEmpty():
         hosts = nodes.join(guests.select("block").distinct(), "block", "left_semi").select("block", "k", "n", "label", F.lit(True).alias("own"))
