@@ -5,8 +5,9 @@ Second tier, for the rest: the pre-token's bytes form a doubly linked list; a he
 neighbouring pairs, the lowest is merged, and its neighbours' new pairs go on the heap.
 
 Pre-tokens are the matches of the pattern. A text is first cut where a match must begin: at line feeds and
-single blanks between other characters (with the pattern of public_tokenizers, which allows it). Each distinct piece is matched and encoded once per worker; texts
-with other blanks are matched as a whole. Ids are little-endian unsigned 32-bit integers.
+single blanks between other characters (with the pattern of public_tokenizers, which allows it). A worker
+remembers a bounded number of pieces and pre-tokens; texts with other blanks are matched as a whole. Ids
+are little-endian unsigned 32-bit integers.
 
 A null text is empty and has no ids. Very long texts are encoded piece by piece. Repeated rows get the same
 answer, and an empty table gives an empty result. Other columns pass through untouched.
@@ -27,7 +28,8 @@ from public_tokenizers import PATTERN
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PIECES_KEPT = 500_000  # of a worker's memory of encoded pieces, and of pre-tokens
+PIECES_KEPT = 240_000  # of a worker's memory of encoded pieces, and twice as many pre-tokens
+DECODED_AT_ONCE = 100_000  # ids
 MASK = (1 << 64) - 1
 
 
@@ -97,18 +99,25 @@ class Codec:
         self.matches = regex.compile(pattern).findall
         self.after_blank: dict[str, bytes] = {}  # pieces that follow a single blank, without it
         self.first: dict[str, bytes] = {}  # pieces that begin a line, and line feeds
-        self.tokens: dict[str, bytes] = {}  # pre-tokens
+        self.tokens: dict[str, bytes] = {}  # pre-tokens met lately
+        self.older: dict[str, bytes] = {}  # and before that
+        sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of, default=0) + 1)])
+        self.sizes, self.starts = sizes, np.concatenate(([0], sizes.cumsum()[:-1]))
+        self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(sizes))), dtype=np.uint8)
         self.parted = pattern == PATTERN
 
     def token(self, t: str) -> bytes:
         found = self.tokens.get(t)
         if found is None:
-            raw = t.encode()
-            at = self.whole.find(raw)
-            ids = [self.whole.values[at]] if self.whole.keys[at] == raw else self.merge(raw)
+            found = self.older.get(t)
+            if found is None:
+                raw = t.encode()
+                at = self.whole.find(raw)
+                ids = [self.whole.values[at]] if self.whole.keys[at] == raw else self.merge(raw)
+                found = struct.pack(f"<{len(ids)}I", *ids)
             if len(self.tokens) > PIECES_KEPT:
-                self.tokens.clear()
-            found = self.tokens[t] = struct.pack(f"<{len(ids)}I", *ids)
+                self.older, self.tokens = self.tokens, {}
+            self.tokens[t] = found
         return found
 
     def merge(self, raw: bytes) -> list[int]:
@@ -180,7 +189,16 @@ class Codec:
         return found
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        k = np.frombuffer(ids, dtype="<u4")
+        if k.size and (k.max() >= len(self.sizes) or not self.sizes[k].all()):
+            raise KeyError("an id that is not in the vocabulary")
+        out = []
+        for i in range(0, len(k), DECODED_AT_ONCE):
+            part = k[i:i + DECODED_AT_ONCE]
+            n = self.sizes[part]
+            ends = n.cumsum()
+            out.append(self.flat[np.repeat(self.starts[part] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -213,3 +231,15 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
             yield pd.Series([one.decode(x) if x is not None else None for x in batch], dtype=object)
 
     return F.pandas_udf(run, "binary")(ids)
+
+
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """struct(ids, decoded): a text's ids and the bytes that these ids stand for, in one pass over the texts."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        one = codec(path, pattern)
+        for batch in batches:
+            ids = [one.encode(t) if t is not None else b"" for t in batch]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(map(one.decode, ids), dtype=object)})
+
+    return F.pandas_udf(run, "ids binary, decoded binary")(text)

@@ -125,12 +125,9 @@ def exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids"))
-    # the generator keeps the encoder from running once for the ids and once more below the decoder
-    stored = docs.select("doc_id", F.inline(F.array(F.struct("ids"))))
-    return stored.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), ranks, public_tokenizers.PATTERN), 256).alias("decoded_sha256"))
+    both = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), ranks, public_tokenizers.PATTERN).alias("b"))
+    return both.select(
+        "doc_id", (F.octet_length("b.ids") / 4).cast("long").alias("n_tokens"), F.sha2("b.ids", 256).alias("ids_sha256"), F.sha2("b.decoded", 256).alias("decoded_sha256"))
 
 
 @query("op8_line_dedup")

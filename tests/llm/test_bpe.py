@@ -42,4 +42,6 @@ def test_columns(docs, empty, library):
     out = docs.withColumn("ids", bpe.encode(F.col("text"), PATH, P.PATTERN)).withColumn("back", bpe.decode(F.col("ids"), PATH, P.PATTERN))
     for r in out.collect():
         assert numbers(r.ids) == library.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
+    same = docs.select("text", bpe.round_trip(F.col("text"), PATH, P.PATTERN).alias("b")).collect()
+    assert all(bytes(r.b.decoded) == (r.text or "").encode() and numbers(r.b.ids) == library.encode_ordinary(r.text or "") for r in same)
     assert empty.withColumn("ids", bpe.encode(F.col("text"), PATH, P.PATTERN)).count() == 0
