@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 TRAIN_ROWS = 1_500
-TABLE_ROWS = 30_000
+TABLE_ROWS = 12_000
 MAX_N = 5
 PENALTY = 7.0
-WORDS_KEPT, CELLS_KEPT = 300_000, 4_000_000  # of a worker's memory of scored words
+WORDS_KEPT, CELLS_KEPT = 120_000, 2_000_000  # of a worker's memory of scored words
 MIN_SCORE = 0.4
 LANGUAGES = 500  # most languages learned, the largest first
 

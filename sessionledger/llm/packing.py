@@ -36,7 +36,7 @@ from sessionledger.llm.common import blocks_for, hash60
 from sessionledger.session import materialize
 
 END = 0  # follows each document
-WORDS_KEPT = 500_000  # of a worker's memory of encoded words
+WORDS_KEPT = 150_000  # of a worker's memory of encoded words
 _words: dict[str, tuple] = {}  # by tokenizer file: word -> its ids as little-endian unsigned 32-bit integers, and the encoders
 MARKS = ".,!?;:%$#&*|"
 plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+").fullmatch  # letters that NFC leaves alone and that have one small letter
