@@ -31,8 +31,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated line chunks out of the texts. Every row stays, and ``n_chars`` follows the text."""
-    left = linededup.drop_repeats(docs.select(*COLUMNS))
+    """Takes repeated line passages out of the texts. Every row stays, and ``n_chars`` follows the text."""
+    left = linededup.drop_passages(docs.select(*COLUMNS))
     size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", size).select(*COLUMNS)
 

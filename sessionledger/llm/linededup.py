@@ -1,17 +1,24 @@
-"""Dedup of line chunks with content-defined boundaries.
+"""Dedup of line passages.
 
 A text is cut into chunks of whole lines. Line hashes are hashed over a window of two lines that rolls down
 the text; a chunk ends below a line whose window hash falls in one of ``MEAN`` residues, unless the line
 above ends one. A boundary hence depends on the three lines around it alone: lines put in front of a passage do
-not move the cuts inside it. A chunk of two lines or more (of which one has a word) that stands in the corpus
-more than once is removed everywhere but at its first place, by document id, then place. Single-line chunks
-are never removed.
+not move the cuts inside it.
 
-Repeats are found by two 64-bit hashes. Then the bytes decide: repeated chunks are grouped by their text as
+``drop_passages`` takes chunks of three lines or more as seeds, and beside them every two lines that follow each
+other, wherever the cuts fall. A seed (of which one line has a word) that stands in the corpus more than once is
+removed everywhere but at its first place, by document id, then place. The pairs of a passage overlap, so together
+they cover the longest run of lines that stands at earlier places, from its first line to its last. A line's
+first place in the corpus is never inside a repeat, so every line of the corpus stays once. Lines without a word
+between two runs may stay.
+
+``drop_repeats`` removes whole chunks of two lines or more alone. Single short lines are never removed.
+
+Repeats are found by two 64-bit hashes. Then the bytes decide: repeated pieces are grouped by their text as
 well, and a hash pair that stands for two different texts is left alone.
 
 Nulls: a null text stays null; rows with a null id come last in the order. Rows equal in id and text count
-as one document and keep the same lines. Chunks are as long as the texts make them; nothing is cut short.
+as one document and keep the same lines. Passages are as long as the texts make them; nothing is cut short.
 A column named ``n_removed`` is replaced,
 others pass through untouched. An empty table gives an empty result.
 
@@ -31,39 +38,53 @@ MEAN = 2
 SENT_ROWS = 400_000  # of a join's small side that may be broadcast
 
 
-def chunks_of(text: Column) -> Column:
-    """The texts of all chunks in order; joined with line feeds they give the text again."""
+def _ends(lines: Column) -> Column:
+    """Last lines of the chunks, from 0."""
+    hashes = F.transform(lines, lambda x: F.xxhash64(x))
 
-    def ends(lines: Column) -> Column:
-        """Last lines of the chunks, from 0."""
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
+    def cut(h: Column) -> Column:
+        def hit(i: Column) -> Column:
+            return F.coalesce(F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i)), F.lit(MEAN)) == 0, F.lit(False))
 
-        def cut(h: Column) -> Column:
-            def hit(i: Column) -> Column:
-                return F.coalesce(F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i)), F.lit(MEAN)) == 0, F.lit(False))
+        marks = F.transform(h, lambda x, i: (i > 0) & hit(i))
+        return let(marks, lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == F.size(m) - 1) | (F.get(m, i) & ~F.coalesce(F.get(m, i - 1), F.lit(False)))))
 
-            marks = F.transform(h, lambda x, i: (i > 0) & hit(i))
-            return let(marks, lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == F.size(m) - 1) | (F.get(m, i) & ~F.coalesce(F.get(m, i - 1), F.lit(False)))))
+    return let(hashes, cut)
 
-        return let(hashes, cut)
 
-    def parts(lines: Column) -> Column:
-        def at(e: Column) -> Column:
-            def part(x: Column, i: Column) -> Column:
-                start = F.coalesce(F.get(e, i - 1), F.lit(-1)) + 1
-                return F.array_join(F.slice(lines, start + 1, x - start + 1), "\n")
+def _chunks(lines: Column) -> Column:
+    """Of all chunks in order: ``at`` (first line), ``size`` in lines, ``piece`` (text)."""
 
-            return F.transform(e, part)
+    def spans(e: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            start = F.coalesce(F.get(e, i - 1), F.lit(-1)) + 1
+            return F.struct(start.alias("at"), (x - start + 1).alias("size"), F.array_join(F.slice(lines, start + 1, x - start + 1), "\n").alias("piece"))
 
-        return let(ends(lines), at)
+        return F.transform(e, span)
 
-    return let(F.split(text, "\n"), parts)
+    return let(_ends(lines), spans)
+
+
+def chunks_of(text: Column) -> Column:
+    """The texts of all chunks in order; joined with line feeds they give the text again."""
+    return let(F.split(text, "\n"), lambda lines: F.transform(_chunks(lines), lambda c: c["piece"]))
+
+
+def _seeds(lines: Column) -> Column:
+    """What is looked up in the corpus, as ``_chunks``: chunks of three lines or more and every two lines that follow each other."""
+    chunks = F.filter(_chunks(lines), lambda c: c["size"] > 2)
+    pairs = F.transform(F.slice(lines, 1, F.size(lines) - 1), lambda x, i: F.struct(i.alias("at"), F.lit(2).alias("size"), F.concat(x, F.lit("\n"), F.get(lines, i + 1)).alias("piece")))
+    return F.concat(chunks, pairs)
+
+
+def _keys(text: str, key: str) -> list[Column]:
+    return [F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("k1"), F.xxhash64(F.lit(2), F.col(key), F.col(text)).alias("k2")]
 
 
 def _prepared(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"),
-        F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("k1"), F.xxhash64(F.lit(2), F.col(key), F.col(text)).alias("k2"),
+        *_keys(text, key),
         F.inline(F.array(F.struct(chunks_of(F.col(text)).alias("parts")))))
 
 
@@ -71,19 +92,30 @@ def _sent(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= SENT_ROWS else small
 
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``k1, k2, removed``: per document (by the hashes of its id and text) the numbers of the chunks to remove."""
-    chunk = _prepared(docs, text, key).select(F.col("d")[key].alias("id"), "k1", "k2", F.posexplode("parts").alias("no", "chunk")).filter(r"instr(chunk, '\n') > 0 and chunk rlike '\\S'")
-    hashed = chunk.withColumns({"h1": F.xxhash64(F.lit(3), "chunk"), "h2": F.xxhash64(F.lit(4), "chunk")})
-    places = materialize(hashed.drop("chunk"))
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "no")
-    # per task one row for each hash, so a chunk in a third of all documents is no heavy key
+def _later(pieces: DataFrame) -> DataFrame:
+    """``k1, k2, at``: of pieces ``id, k1, k2, at, piece`` with a word the places whose text stands at an earlier one too."""
+    hashed = pieces.filter(r"piece rlike '\\S'").withColumns({"h1": F.xxhash64(F.lit(3), "piece"), "h2": F.xxhash64(F.lit(4), "piece")})
+    places = materialize(hashed.drop("piece"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "at")
+    # per task one row for each hash, so a piece in a third of all documents is no heavy key
     twice = materialize(places.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1").select("h1", "h2", "first"))
-    same = hashed.select("h1", "h2", "chunk").join(_sent(twice.select("h1", "h2")), ["h1", "h2"], "left_semi")
-    texts = same.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("texts"))
+    same = hashed.select("h1", "h2", "piece").join(_sent(twice.select("h1", "h2")), ["h1", "h2"], "left_semi")
+    texts = same.groupBy("h1", "h2", "piece").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("texts"))
     sure = materialize(twice.join(texts.filter("texts = 1").select("h1", "h2"), ["h1", "h2"]))
-    again = places.join(_sent(sure), ["h1", "h2"]).filter(~order.eqNullSafe(F.col("first")))
-    return again.groupBy("k1", "k2").agg(F.collect_set("no").alias("removed"))
+    return places.join(_sent(sure), ["h1", "h2"]).filter(~order.eqNullSafe(F.col("first"))).select("k1", "k2", "at")
+
+
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``k1, k2, removed``: per document (by the hashes of its id and text) the numbers of the chunks to remove."""
+    chunk = _prepared(docs, text, key).select(F.col("d")[key].alias("id"), "k1", "k2", F.posexplode("parts").alias("at", "piece")).filter(r"instr(piece, '\n') > 0")
+    return _later(chunk).groupBy("k1", "k2").agg(F.collect_set("at").alias("removed"))
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``k1, k2, removed``: per document the spans ``at, size`` of lines that stand at an earlier place too; spans overlap."""
+    lines = docs.select(F.col(key).alias("id"), *_keys(text, key), F.inline(F.array(F.struct(F.split(F.col(text), "\n").alias("lines")))))
+    seeds = lines.select("id", "k1", "k2", F.inline(_seeds(F.col("lines")))).select("id", "k1", "k2", F.struct("at", "size").alias("at"), "piece")
+    return _later(seeds).groupBy("k1", "k2").agg(F.collect_set("at").alias("removed"))
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -98,3 +130,21 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     left = F.when(F.col("removed").isNull(), F.col("d")[text]).otherwise(without(F.col("parts"), F.col("removed")))
     cols = [left.alias(c) if c == text else F.col("d")[c].alias(c) for c in docs.columns if c != "n_removed"]
     return rows.select(*cols, F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("n_removed"))
+
+
+def drop_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text`` in full, and the count of their lines as ``n_removed``."""
+    marks = materialize(repeated_spans(docs, text, key))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), *_keys(text, key)).join(_sent(marks), ["k1", "k2"], "left")
+    gone = F.array_distinct(F.flatten(F.transform("removed", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
+    # the generator keeps the list from being copied
+    rows = rows.select("d", F.inline(F.array(F.struct(gone.alias("gone")))))
+
+    def without(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    whole = F.col("d")[text]
+    left = F.when(F.col("gone").isNull(), whole).otherwise(let(F.split(whole, "\n"), without))
+    cols = [left.alias(c) if c == text else F.col("d")[c].alias(c) for c in docs.columns if c != "n_removed"]
+    return rows.select(*cols, F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"))

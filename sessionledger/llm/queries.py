@@ -133,7 +133,7 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.drop_repeats(docs)
+    return linededup.drop_passages(docs)
 
 
 OP6_SQL = r"""

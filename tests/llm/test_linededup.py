@@ -46,3 +46,48 @@ def test_boundaries_do_not_shift(spark):
 def test_single_lines_stay(spark):
     df = spark.createDataFrame([(i, f"same line\nown {i}") for i in range(5)] + [(9, "lone"), (10, "lone")], "doc_id long, text string")
     assert {r.text for r in linededup.drop_repeats(df).collect()} == {f"same line\nown {i}" for i in range(5)} | {"lone"}
+
+
+def passages(rows):
+    """rows of (id, text): the texts that are left when every two lines with a word that stand earlier go."""
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    pairs = lambda r: list(enumerate(zip(r[1].split("\n"), r[1].split("\n")[1:])))
+    first = {}
+    for r in sorted((r for r in rows if r[1] is not None), key=order):
+        for i, p in pairs(r):
+            first.setdefault(p, (*order(r), i))
+    out = []
+    for r in rows:
+        gone = set() if r[1] is None else {j for i, p in pairs(r) if "".join(p).strip() and first[p] != (*order(r), i) for j in (i, i + 1)}
+        out.append((r[0], r[1] if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("length", [2, 3, 4, 5, 6, 8, 20])
+def test_passages_go_from_end_to_end(spark, length):
+    rows = []
+    for n in range(8):
+        body = [f"passage {length} {n} line {i}" for i in range(length)]
+        rows += [(100 * n + d, "\n".join([f"own {n} {d} above", *body, f"own {n} {d} below"])) for d in range(3)]
+    left = {r.doc_id: r.text for r in linededup.drop_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n in range(8):
+        assert left[100 * n] == rows[3 * n][1]
+        assert all(left[100 * n + d] == f"own {n} {d} above\nown {n} {d} below" for d in (1, 2))
+
+
+@pytest.mark.parametrize("sent", [0, 400_000])
+def test_passages_by_brute_force(docs, small, empty, monkeypatch, sent):
+    monkeypatch.setattr(linededup, "SENT_ROWS", sent)
+    for df in (docs, small):
+        rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+        got = [tuple(r) for r in linededup.drop_passages(df).select("doc_id", "text").collect()]
+        bare = lambda rs: sorted(((k, None if t is None else [x for x in t.split("\n") if x.strip()]) for k, t in rs), key=repr)
+        assert bare(got) == bare(passages(rows))
+        lines = lambda rs: {x for _, t in rs if t for x in t.split("\n") if x.strip()}
+        assert lines(got) == lines(rows)
+    assert linededup.drop_passages(empty).count() == 0
+
+
+def test_short_single_lines_stay_in_passages(spark):
+    df = spark.createDataFrame([(i, f"same line\nown {i}") for i in range(5)] + [(9, "lone"), (10, "lone")], "doc_id long, text string")
+    assert {r.text for r in linededup.drop_passages(df).collect()} == {f"same line\nown {i}" for i in range(5)} | {"lone"}
