@@ -6,13 +6,14 @@ above ends one. A boundary hence depends on the three lines around it alone: lin
 not move the cuts inside it.
 
 ``drop_passages`` takes chunks of three lines or more as seeds, and beside them every two lines that follow each
-other, wherever the cuts fall. A seed (of which one line has a word) that stands in the corpus more than once is
-removed everywhere but at its first place, by document id, then place. The pairs of a passage overlap, so together
-they cover the longest run of lines that stands at earlier places, from its first line to its last. A line's
-first place in the corpus is never inside a repeat, so every line of the corpus stays once. Lines without a word
-between two runs may stay.
+other, wherever the cuts fall. A line of more than ``LONG_LINE_WORDS`` words, a paragraph, is a seed of its own; this
+goes beyond the method of multi-line chunks and reaches documents of one line. A seed with a word that stands in
+the corpus more than once is removed everywhere but at its first place, by document id, then place. The pairs of a
+passage overlap, so together they cover the longest run of lines that stands at earlier places, from its first line
+to its last. A line's first place in the corpus is never inside a repeat, so every line of the corpus stays once.
+Lines without a word between two runs may stay.
 
-``drop_repeats`` removes whole chunks of two lines or more alone. Single short lines are never removed.
+``drop_repeats`` removes whole chunks of two lines or more alone. Single lines up to that length are never removed.
 
 Repeats are found by two 64-bit hashes. Then the bytes decide: repeated pieces are grouped by their text as
 well, and a hash pair that stands for two different texts is left alone.
@@ -35,6 +36,11 @@ from sessionledger.llm.common import let
 from sessionledger.session import materialize
 
 MEAN = 2
+LONG_LINE_WORDS = 50  # a line of more words is a passage of its own
+#: Thai, Lao, Burmese, Khmer, kana and Han are written without blanks: each of their characters counts as a word.
+UNSPACED = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+LONG_LINE = rf"^\s*+(?:\S++\s++){{{LONG_LINE_WORDS}}}\S"
+LONG_UNSPACED = rf"^\s*+(?:(?:[{UNSPACED}]|[^\s{UNSPACED}]++)\s*+){{{LONG_LINE_WORDS + 1}}}"
 SENT_ROWS = 400_000  # of a join's small side that may be broadcast
 
 
@@ -71,10 +77,16 @@ def chunks_of(text: Column) -> Column:
 
 
 def _seeds(lines: Column) -> Column:
-    """What is looked up in the corpus, as ``_chunks``: chunks of three lines or more and every two lines that follow each other."""
+    """What is looked up in the corpus, as ``_chunks``: chunks of three lines or more, every two lines that follow each other, and every long line."""
     chunks = F.filter(_chunks(lines), lambda c: c["size"] > 2)
     pairs = F.transform(F.slice(lines, 1, F.size(lines) - 1), lambda x, i: F.struct(i.alias("at"), F.lit(2).alias("size"), F.concat(x, F.lit("\n"), F.get(lines, i + 1)).alias("piece")))
-    return F.concat(chunks, pairs)
+    alone = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("size"), x.alias("piece")))
+
+    def long(x: Column) -> Column:
+        # 51 words have at least 101 bytes, and most lines need the plain pattern alone
+        return (F.octet_length(x) > 2 * LONG_LINE_WORDS) & (x.rlike(LONG_LINE) | (x.rlike(r"[\x{E00}-\x{3FFFF}]") & x.rlike(LONG_UNSPACED)))
+
+    return F.concat(chunks, pairs, F.filter(alone, lambda c: long(c["piece"])))
 
 
 def _keys(text: str, key: str) -> list[Column]:

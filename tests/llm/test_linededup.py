@@ -49,16 +49,20 @@ def test_single_lines_stay(spark):
 
 
 def passages(rows):
-    """rows of (id, text): the texts that are left when every two lines with a word that stand earlier go."""
+    """rows of (id, text): the texts that are left when every two lines with a word, and every long line, that stand earlier go."""
     order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     pairs = lambda r: list(enumerate(zip(r[1].split("\n"), r[1].split("\n")[1:])))
+    long = lambda x: len(x.split()) > 50
     first = {}
     for r in sorted((r for r in rows if r[1] is not None), key=order):
         for i, p in pairs(r):
             first.setdefault(p, (*order(r), i))
+        for i, x in enumerate(r[1].split("\n")):
+            first.setdefault(x, (*order(r), i))
     out = []
     for r in rows:
         gone = set() if r[1] is None else {j for i, p in pairs(r) if "".join(p).strip() and first[p] != (*order(r), i) for j in (i, i + 1)}
+        gone |= set() if r[1] is None else {i for i, x in enumerate(r[1].split("\n")) if long(x) and first[x] != (*order(r), i)}
         out.append((r[0], r[1] if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone)))
     return out
 
@@ -91,3 +95,13 @@ def test_passages_by_brute_force(docs, small, empty, monkeypatch, sent):
 def test_short_single_lines_stay_in_passages(spark):
     df = spark.createDataFrame([(i, f"same line\nown {i}") for i in range(5)] + [(9, "lone"), (10, "lone")], "doc_id long, text string")
     assert {r.text for r in linededup.drop_passages(df).collect()} == {f"same line\nown {i}" for i in range(5)} | {"lone"}
+
+
+@pytest.mark.parametrize("blank", [" ", ""])
+def test_long_single_lines_go(spark, blank):
+    word = "word" if blank else "\u8a9e"
+    long, short = blank.join([word] * 51), blank.join([word] * 50)
+    rows = [(i, f"own {i} above\n{long}\nown {i} between\n{short}\nown {i} below") for i in range(3)] + [(7, long), (8, short), (9, short)]
+    left = {r.doc_id: r.text for r in linededup.drop_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[0] == rows[0][1] and left[7] == "" and left[8] == left[9] == short
+    assert all(left[i] == f"own {i} above\nown {i} between\n{short}\nown {i} below" for i in (1, 2))
