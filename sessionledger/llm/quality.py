@@ -6,7 +6,9 @@ most common words with one place for all other words. The distance is the Jensen
 square root of the divergence in bits, from 0 to 1. A short text has ragged histograms, so each distance
 only counts from a minimum length on.
 
-A document whose language is null is held against all documents together. A language with fewer words in
+A document whose language is null is held against every language with a word reference (where none has one,
+against every language) and against all documents together, and counts as the nearest of them: the one whose
+larger distance, as a share of its limit, is the smallest. It stays if any of them would keep it. A language with fewer words in
 the corpus than ``MIN_REFERENCE_WORDS`` has no word reference: only the character classes are compared.
 A null text has no words. Repeated rows are judged alike. An empty table gives an empty result. Only
 built-in functions are used; other columns pass through untouched, but for one named ``quality``.
@@ -146,6 +148,19 @@ def _with_rest(shares: Column) -> Column:
     return let(shares, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(s, F.lit(0.0), lambda a, x: a + x)))))
 
 
+def _candidates(stored: DataFrame) -> DataFrame:
+    """``ref_lang, refs``: a language's own reference and, under ANY, all that a document of unknown language is held against."""
+    own = F.struct("ref_classes", "ref_words", "ref_shares", "ref_total")
+    named = stored.filter(F.col("ref_lang") != ANY)
+    heard = named.filter(F.col("ref_total") >= MIN_REFERENCE_WORDS)
+    if heard.isEmpty() and not named.isEmpty():
+        unknown = named
+    else:
+        unknown = heard.unionByName(stored.filter(F.col("ref_lang") == ANY))
+    together = unknown.agg(F.collect_list(own).alias("refs")).filter(F.size("refs") > 0).select(F.lit(ANY).alias("ref_lang"), "refs")
+    return named.select("ref_lang", F.array(own).alias("refs")).unionByName(together)
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` with a struct ``quality``: the counts, char_distance, word_distance, base_failed, kept.
 
@@ -153,15 +168,25 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """
     own = [c for c in docs.columns if c != "quality"]
     stored = materialize(references(docs, text, lang))
-    refs = F.broadcast(stored) if stored.count() <= LANGUAGES_SENT else stored
+    refs = _candidates(stored)
+    refs = F.broadcast(refs) if stored.count() <= LANGUAGES_SENT else refs
     key = F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit(ANY))
     # the struct keeps names of the caller apart from the ones used here
     packed = measures(docs, text, {"d": F.struct(*(F.col(f"`{c}`") for c in own)), "ref_lang": key}).join(refs, "ref_lang")
     m = F.col("m")
-    by_char = F.when(m.classes[5] >= MIN_CHARS, js_distance(_class_shares(m.classes), _class_shares(F.col("ref_classes"))))
-    by_word = F.when((m.n_words >= MIN_WORDS) & (F.col("ref_total") >= MIN_REFERENCE_WORDS),
-                     js_distance(_with_rest(_word_shares(F.col("ref_words"), m.joined, m.n_words)), _with_rest(F.col("ref_shares"))))
-    scored = packed.select("d", F.inline(F.array(F.struct(m.alias("m"), by_char.alias("char_distance"), by_word.alias("word_distance")))))
+
+    def distances(r: Column) -> Column:
+        by_char = F.when(m.classes[5] >= MIN_CHARS, js_distance(_class_shares(m.classes), _class_shares(r["ref_classes"])))
+        by_word = F.when((m.n_words >= MIN_WORDS) & (r["ref_total"] >= MIN_REFERENCE_WORDS),
+                         js_distance(_with_rest(_word_shares(r["ref_words"], m.joined, m.n_words)), _with_rest(r["ref_shares"])))
+        return F.struct(by_char.alias("char_distance"), by_word.alias("word_distance"))
+
+    def ranked(d: Column) -> Column:
+        far = F.greatest(F.coalesce(d["char_distance"], F.lit(0.0)) / MAX_CHAR_DISTANCE, F.coalesce(d["word_distance"], F.lit(0.0)) / MAX_WORD_DISTANCE)
+        return F.struct(far.alias("far"), d["char_distance"].alias("char_distance"), d["word_distance"].alias("word_distance"))
+
+    nearest = F.array_min(F.transform(F.transform("refs", distances), ranked))
+    scored = packed.select("d", F.inline(F.array(F.struct(m.alias("m"), nearest.alias("nearest"))))).select("d", "m", "nearest.char_distance", "nearest.word_distance")
     failed = (m.n_words < 20) | (100 * m.n_repeat_words > 30 * m.n_words)
     near = (F.coalesce(F.col("char_distance"), F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= MAX_WORD_DISTANCE)
     counts = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]

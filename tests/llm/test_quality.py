@@ -46,3 +46,20 @@ def test_references_and_distance(spark):
     wanted = math.sqrt(sum(a * math.log2(a / c) for a, c in zip(p, m) if a) / 2 + sum(b * math.log2(b / c) for b, c in zip(q, m) if b) / 2)
     got = spark.createDataFrame([(p, q)], "p array<double>, q array<double>").select(quality.js_distance(F.col("p"), F.col("q"))).first()[0]
     assert abs(got - wanted) < 1e-12
+
+
+def test_clean_texts_of_unknown_language_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    # one language dominates: three in four rows of the others are left out
+    docs = docs.filter((F.col("lang") == "en") | (F.col("doc_id") % 4 == 0))
+    extra = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.col("lang").alias("was")).join(labels, "doc_id").filter("doc_id % 4 = 1")
+    known = docs.join(extra.select("doc_id"), "doc_id", "left_anti")
+    both = known.unionByName(docs.limit(0)).selectExpr("doc_id", "text", "lang", "lang as was", "-1 as good").unionByName(extra.selectExpr("doc_id", "text", "cast(null as string) lang", "was", "good"))
+    rows = quality.judge(both).filter("good >= 0").select("was", "good", "quality.kept", "quality.base_failed").collect()
+    for was in {r.was for r in rows}:
+        clean = [r.kept for r in rows if r.was == was and r.good == 1 and not r.base_failed]
+        assert clean and sum(clean) / len(clean) > 0.9, (was, sum(clean), len(clean))
+    junk = [r.kept for r in rows if r.good == 0]
+    assert junk and sum(junk) / len(junk) < 0.15
