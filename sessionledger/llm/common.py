@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one task orders at a time where a rank is computed block by block.
 BLOCK_ROWS = 20_000
+#: Rows of a join's small side that may be broadcast.
+SENT_ROWS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +30,8 @@ def hash60(*cols: Column) -> Column:
 
 def blocks_for(n_rows: int) -> int:
     return n_rows // BLOCK_ROWS + 1
+
+
+def sent(small: DataFrame) -> DataFrame:
+    """``small`` marked for broadcast if it is counted below a limit; else the join shuffles."""
+    return F.broadcast(small) if small.count() <= SENT_ROWS else small

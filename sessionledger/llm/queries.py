@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionledger.llm import bpe, chat, hamming, jaccard, language, licenses, linededup, packing, quality, sharding
+from sessionledger.llm import bpe, chat, collocations, hamming, jaccard, language, licenses, linededup, packing, quality, sharding, spelling, vectortree
 from sessionledger.llm.common import table
 from sessionledger.plans.registry import Plan, Query
 
@@ -30,9 +30,11 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARDS = 16
 
 
+CRC_TABLE = """crc AS (
+      SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
 OP4_SQL = f"""
-    WITH crc AS (
-      SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    WITH {CRC_TABLE},
     bytes AS (
       SELECT doc_id, source, list_transform(range(octet_length(encode(coalesce(text, '')))), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) AS b
       FROM (SELECT *, hex(encode(coalesce(text, ''))) AS x FROM documents)),
@@ -154,3 +156,69 @@ OP6_SQL = r"""
 @query("op6_ngram_jaccard_join", OP6_SQL)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_vector_tree_search")
+def vector_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectortree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, NEIGHBORS)
+
+
+DROPPED_EVERY = 199
+
+OP12_SQL = f"""
+    WITH RECURSIVE {CRC_TABLE},
+    runs AS (
+      SELECT doc_id, run, count(*) AS c FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '{spelling.RUN}')) AS run FROM documents WHERE text IS NOT NULL)
+      GROUP BY ALL),
+    hexed AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM runs),
+    hashed AS (
+      SELECT run, c, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+        lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS BIGINT) AS h FROM hexed, crc),
+    edited AS (
+      SELECT CASE WHEN h % {DROPPED_EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+    words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+    shorter AS (SELECT word, n, length(word) AS size, unnest(range(1, length(word) + 1)) AS i FROM words),
+    cut AS (SELECT *, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM shorter),
+    pairs AS (
+      SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+      UNION SELECT DISTINCT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+      UNION SELECT DISTINCT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+    ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM pairs),
+    near AS (SELECT word, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM ranked WHERE place = 1),
+    walk AS (SELECT word, word AS at FROM words UNION ALL SELECT w.word, f.form FROM walk w JOIN near f ON f.word = w.at AND f.form IS NOT NULL),
+    ends AS (SELECT w.word, w.at AS root FROM walk w LEFT JOIN near f ON f.word = w.at WHERE f.form IS NULL)
+    SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, f.form, f.form_n, e.root FROM words w LEFT JOIN near f USING (word) JOIN ends e USING (word)"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), edit=spelling.without_every(DROPPED_EVERY)))
+
+
+OP13_SQL = r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+    split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+    sums AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+    grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM split, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+    freq AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+    longer AS (SELECT *, string_split(phrase, ' ') AS w FROM freq WHERE k > 1),
+    cuts AS (
+      SELECT c.lang, c.k, c.phrase, c.a, j AS cut, l.a AS l, r.a AS r, CAST(1000000 * c.a::HUGEINT * c.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM longer) c
+      JOIN freq l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ') JOIN freq r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ')),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    covered AS (
+      SELECT lang, phrase, max(a) AS outer_a FROM (
+        SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM longer WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM longer WHERE k = 3) GROUP BY ALL),
+    ranked AS (
+      SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, b.score
+      FROM best b LEFT JOIN covered o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.outer_a IS NULL OR 100 * o.outer_a < 50 * b.a)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sums USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
