@@ -33,11 +33,15 @@ _BLOCK = "__block"
 
 @dataclass(frozen=True)
 class Run:
-    """One running value. ``side``: before, upto (inclusive), after, from (inclusive)."""
+    """One running value. ``side``: before, upto (inclusive), after, from (inclusive).
+
+    With ``reset`` (max or min, before or upto) the value starts anew at every row for which it holds, that row included.
+    """
 
     fn: str  # sum, count, max, min, last, adjacent
     expr: Column
     side: str = "before"
+    reset: Column | None = None
 
     @property
     def forward(self) -> bool:
@@ -64,6 +68,13 @@ def _over(run: Run, frame) -> Column:
     return getattr(F, run.fn)(run.expr).over(frame)
 
 
+def _since_reset(df: DataFrame, keys: list[str], order: Column, name: str, r: Run) -> DataFrame:
+    """``name``: the running value since the last reset; ``__since``: the number of resets up to the row."""
+    seen = F.count(F.when(r.reset, 1)).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    d = df.withColumns({"__since": seen, "__since_v": r.expr})
+    return d.withColumn(name, _over(Run(r.fn, F.col("__since_v"), r.side), _frame([*keys, "__since"], order, r))).drop("__since_v")
+
+
 def _zero(fn: str, c: Column) -> Column:
     return F.coalesce(c, F.lit(0)) if fn in ("sum", "count") else c
 
@@ -93,13 +104,19 @@ class PlainGroups:
 
     def running(self, df: DataFrame, runs: Mapping[str, Run]) -> DataFrame:
         cols = {}
+        since = {n: r for n, r in runs.items() if r.reset is not None}
         for name, r in runs.items():
+            if name in since:
+                continue
             if r.fn == "adjacent":
                 w = W.partitionBy(*self.keys).orderBy(self.order)
                 cols[name] = (F.lag if r.forward else F.lead)(r.expr, 1).over(w)
             else:
                 cols[name] = _zero(r.fn, _over(r, _frame(self.keys, F.col(self.order), r)))
-        return df.withColumns(cols)
+        out = df.withColumns(cols) if cols else df
+        for name, r in since.items():
+            out = _since_reset(out, self.keys, F.col(self.order), name, r).drop("__since")
+        return out
 
     def totals(self, df: DataFrame, totals: Mapping[str, Total]) -> DataFrame:
         w = W.partitionBy(*self.keys)
@@ -162,11 +179,16 @@ class BlockedGroups:
         plain = {}
         unwrap = {}
         for n, r in runs.items():
+            if r.reset is not None:
+                df = self._since(df, n, r)
+                continue
             if r.fn == "adjacent":
                 plain[n] = Run("last", F.struct(r.expr.alias("v")), r.side)
                 unwrap[n] = F.col(n)["v"]
             else:
                 plain[n] = r
+        if not plain:
+            return df
         tagged = self._tag(df)
         keys = [*self.keys, _BLOCK]
         o = F.col(self.order)
@@ -195,6 +217,19 @@ class BlockedGroups:
         out = joined.withColumns(merged).drop(_BLOCK, *[f"__p_{n}" for n in plain])
         return out.withColumns(unwrap) if unwrap else out
 
+    def _since(self, df: DataFrame, name: str, r: Run) -> DataFrame:
+        """A running value with resets. A block is summed up as (has a reset, value since its last one); two neighbours
+        combine to the right one if that has a reset, else to the value of both, so blocks are carried like rows."""
+        keys, o, fn = [*self.keys, _BLOCK], F.col(self.order), getattr(F, r.fn)
+        tagged = self._tag(df.withColumns({"__since_r": r.reset, "__since_x": r.expr}))
+        local = _since_reset(tagged, keys, o, name, Run(r.fn, F.col("__since_x"), r.side, F.col("__since_r")))
+        ends = local.groupBy(*keys, "__since").agg(fn("__since_x").alias("__v"))
+        blocks = ends.groupBy(*keys).agg(F.max("__since").alias("__cuts"), F.max_by("__v", "__since").alias("__v"))
+        tail = _since_reset(blocks, self.keys, F.col(_BLOCK), "__tail", Run(r.fn, F.col("__v"), "upto", F.col("__cuts") > 0))
+        carry = tail.select(*keys, F.lag("__tail").over(W.partitionBy(*self.keys).orderBy(_BLOCK)).alias("__carry"))
+        both = (F.greatest if r.fn == "max" else F.least)(F.col(name), F.col("__carry"))
+        return local.join(carry, keys).withColumn(name, F.when(F.col("__since") == 0, both).otherwise(F.col(name))).drop(_BLOCK, "__since", "__since_r", "__since_x", "__carry")
+
     def totals(self, df: DataFrame, totals: Mapping[str, Total]) -> DataFrame:
         tagged = self._tag(df)
         keys = [*self.keys, _BLOCK]

@@ -113,20 +113,21 @@ def assign_calls(lines: DataFrame, g: Groups) -> DataFrame:
 def cache_baselines(lines: DataFrame, g: Groups) -> DataFrame:
     """``baseline``: the context a round inherits, on every line of the round.
 
-    It only grows from round to round, until a compaction between two rounds resets it to
-    the size the compaction left behind.
+    It only grows from round to round, until a compaction between two rounds resets it to the size the compaction left behind.
+    A compaction inside an open round moves the round's context (``moved``: where a line leaves it, ``round_ctx``: where it
+    stood before the line); the turn that closes the round takes the larger of its peak and where it stood at last.
     """
     gr = g.sub("round_no")
     d = gr.running(lines, {"__before": Run("count", F.when(c("kind").isin(ROUND_KINDS), 1))})
     between = (c("kind") == COMPACT) & (c("__before") == 0)
-    d = g.running(d.withColumn("__cut", flag(between)), {"__seg": Run("sum", c("__cut"), "upto")})
-    size = F.when(c("__cut") == 1, c("tokens_after")).when(c("kind").isin(CALL_KINDS), c("context_tokens"))
-    d = g.sub("__seg").running(d.withColumn("__size", size), {"__known": Run("max", c("__size"))})
+    moved = F.when(c("kind").isin(CALL_KINDS), c("context_tokens")).when((c("kind") == COMPACT) & ~between, c("tokens_after"))
+    d = gr.running(d.withColumns({"__cut": between, "moved": moved}), {"round_ctx": Run("last", c("moved"))})
+    size = F.when(c("__cut"), c("tokens_after")).when(c("kind").isin(CALL_KINDS), c("context_tokens")).when(c("kind") == TURN, c("round_ctx"))
+    d = g.running(d.withColumn("__size", size), {"__known": Run("max", c("__size"), reset=c("__cut"))})
     opening = c("kind").isin(ROUND_KINDS) & (c("__before") == 0)
     d = gr.running(d.withColumn("__base", F.when(opening, F.struct("__known"))), {
         "__held": Run("last", c("__base"), "upto")})
-    return d.withColumn("baseline", c("__held")["__known"]).drop(
-        "__before", "__cut", "__seg", "__size", "__known", "__base", "__held")
+    return d.withColumn("baseline", c("__held")["__known"]).drop("__before", "__cut", "__size", "__known", "__base", "__held")
 
 
 def context_cursor(lines: DataFrame, g: Groups) -> DataFrame:
@@ -136,10 +137,9 @@ def context_cursor(lines: DataFrame, g: Groups) -> DataFrame:
     is the model's emission and the cursor restarts there. Afterwards growth on a tool result
     belongs to that tool, growth on a further declaration to the model.
     """
-    gr, gc = g.sub("round_no"), g.sub("round_no", "call_no")
+    gc = g.sub("round_no", "call_no")
     d = lines.filter(c("kind").isin(CALL_KINDS))
-    d = gr.running(d, {"__round_ctx": Run("last", c("context_tokens"))})
-    d = d.withColumn("__start", F.when(c("opens_call") == 1, F.coalesce("context_tokens", "__round_ctx", "baseline")))
+    d = d.withColumn("__start", F.when(c("opens_call") == 1, F.coalesce("context_tokens", "round_ctx", "baseline")))
     is_tool = c("kind").isin(TOOL_KINDS)
     d = gc.running(d, {
         "call_start": Run("last", c("__start"), "upto"), "__tools": Run("count", F.when(is_tool, 1)),
@@ -160,7 +160,7 @@ def context_cursor(lines: DataFrame, g: Groups) -> DataFrame:
     })
     moves = c("kind").isin(STREAM_KINDS) | (c("is_phase") == 1) | (c("context_tokens") > c("cursor")) | (c("opens_call") == 1)
     d = d.withColumn("moved_to", F.when(moves, c("context_tokens")))
-    return d.drop("__round_ctx", "__start", "__tools", "__max", "__phase", "__phases", "__after", "__part", "__part_max")
+    return d.drop("round_ctx", "moved", "__start", "__tools", "__max", "__phase", "__phases", "__after", "__part", "__part_max")
 
 
 def owning_tool(d: DataFrame, g: Groups) -> DataFrame:
@@ -239,14 +239,18 @@ def drop_anonymous_tools(tools: DataFrame) -> DataFrame:
 
 
 def round_rollup(lines: DataFrame) -> DataFrame:
-    """One row per round. Input: lines with ``round_no`` and ``baseline``."""
-    d = lines.filter(c("kind").isin(ROUND_KINDS))
+    """One row per round. Input: lines of :func:`assign_calls` and :func:`cache_baselines`.
+
+    ``context_end`` is where the round stands: the last size seen or left by a compaction inside it; a closed round's is
+    never below its peak.
+    """
+    d = lines.filter(c("kind").isin(ROUND_KINDS) | ((c("kind") == COMPACT) & c("moved").isNotNull()))
     ctx = F.when(c("kind").isin(CALL_KINDS), c("context_tokens"))
     seen = F.when(ctx.isNotNull(), c("line_no"))
     a = d.groupBy("session_id", "round_no").agg(
         F.min("line_no").alias("line_no"), F.min_by("agent_ms", "line_no").alias("started_ms"),
         F.max(F.when(c("kind") == TURN, c("agent_ms"))).alias("completed_ms"), F.max("baseline").alias("baseline"),
-        F.min_by(ctx, seen).alias("__first"), F.max_by(ctx, seen).alias("__last"), F.max(ctx).alias("__max"),
+        F.min_by(ctx, seen).alias("__first"), F.max_by("moved", F.when(c("moved").isNotNull(), c("line_no"))).alias("__last"), F.max(ctx).alias("__max"),
         F.coalesce(F.sum(F.when(c("kind") == "user_message_chunk", c("chars"))), F.lit(0)).cast("long").alias("user_chars"),
         F.count(F.when(c("kind").isin(STREAM_KINDS), 1)).alias("chunks"),
         F.count(F.when(c("kind") == "tool_call", 1)).alias("tool_calls"),
@@ -256,7 +260,8 @@ def round_rollup(lines: DataFrame) -> DataFrame:
     return a.withColumns({
         "completed": c("completed_ms").isNotNull(), "context_start": start,
         "context_peak": F.greatest(start, c("__max")), "context_delta": F.coalesce("__last", start) - start,
-    }).withColumn("context_end", c("context_peak")).drop("__first", "__last", "__max")
+        "context_end": F.when(c("completed_ms").isNotNull(), F.greatest(start, "__max", "__last")).otherwise(F.coalesce("__last", start)),
+    }).drop("__first", "__last", "__max")
 
 
 def idle_gaps(rounds: DataFrame, g: Groups) -> DataFrame:

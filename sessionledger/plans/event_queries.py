@@ -134,11 +134,14 @@ def recap_requests(spark, sf):
     return an.match_requests(r, q)
 
 
-@query("side_event_rounds", "J15 T3", f"""
+SIDE_SQL = """
 SELECT session_id, line_no, kind, b4 > 0 AS mid_round, CASE WHEN round_no > 1 THEN round_no - 1 END AS after_round, CASE WHEN b4 = 0 AND aft > 0 THEN round_no END AS before_round, CASE WHEN b4 > 0 THEN round_no END AS in_round
 FROM (SELECT *, count(*) FILTER (kind NOT IN ('auto_compact_completed','session_recap','hook_execution')) OVER (PARTITION BY session_id, round_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b4,
   count(*) FILTER (kind NOT IN ('auto_compact_completed','session_recap','hook_execution')) OVER (PARTITION BY session_id, round_no ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS aft FROM v_lines)
-WHERE kind IN ('auto_compact_completed','session_recap') ORDER BY session_id, agent_ms DESC""")
+WHERE kind IN ('auto_compact_completed','session_recap')"""
+
+
+@query("side_event_rounds", "J15 T3", f"{SIDE_SQL} ORDER BY session_id, agent_ms DESC")
 def side_event_rounds(spark, sf):
     d = an.trigger_order(s.by_session(b.v_updates(spark, sf), an.attach_cards))
     return d.select("session_id", "line_no", "kind", "mid_round", "after_round", "before_round", "in_round")

@@ -27,15 +27,18 @@ b.VIEWS["v_opens"] = f"""
     FROM v_lines)"""
 b.VIEWS["v_call_lines"] = f"""
   SELECT *, CAST(sum(opens_call) OVER (PARTITION BY session_id, round_no {UPTO}) AS BIGINT) AS call_no FROM v_opens"""
+b.VIEWS["v_moves"] = f"""
+  SELECT *, last_value(moved IGNORE NULLS) OVER (PARTITION BY session_id, round_no {PREV}) AS round_ctx
+  FROM (SELECT *, CASE WHEN kind = 'auto_compact_completed' AND acts_before = 0 THEN 1 ELSE 0 END AS cut,
+      CASE WHEN in_call THEN context_tokens WHEN kind = 'auto_compact_completed' AND acts_before > 0 THEN tokens_after END AS moved
+    FROM (SELECT *, count(*) FILTER (kind IN {ACT}) OVER (PARTITION BY session_id, round_no {PREV}) AS acts_before FROM v_call_lines))"""
 b.VIEWS["v_base"] = f"""
-  SELECT session_id, round_no, first_line, (SELECT NULL) AS unused, baseline FROM (
+  SELECT session_id, round_no, first_line, baseline FROM (
     SELECT session_id, round_no, line_no AS first_line, known AS baseline,
       row_number() OVER (PARTITION BY session_id, round_no ORDER BY line_no) AS rn
-    FROM (SELECT *, max(CASE WHEN cut = 1 THEN tokens_after WHEN in_call THEN context_tokens END)
+    FROM (SELECT *, max(CASE WHEN cut = 1 THEN tokens_after WHEN in_call THEN context_tokens WHEN kind = 'turn_completed' THEN round_ctx END)
           OVER (PARTITION BY session_id, seg {PREV}) AS known
-      FROM (SELECT *, sum(cut) OVER (PARTITION BY session_id {UPTO}) AS seg
-        FROM (SELECT *, CASE WHEN kind = 'auto_compact_completed' AND count(*) FILTER (kind IN {ACT})
-            OVER (PARTITION BY session_id, round_no {PREV}) = 0 THEN 1 ELSE 0 END AS cut FROM v_call_lines)))
+      FROM (SELECT *, sum(cut) OVER (PARTITION BY session_id {UPTO}) AS seg FROM v_moves))
     WHERE kind IN {ACT}) WHERE rn = 1"""
 b.VIEWS["v_cursor"] = f"""
   SELECT *, CASE WHEN declares = 1 THEN coalesce(greatest(context_tokens - cursor, 0), 0) ELSE 0 END AS emit_delta,
@@ -54,9 +57,8 @@ b.VIEWS["v_cursor"] = f"""
             FROM (SELECT *, kind IN ('tool_call','tool_call_update') AS is_tool,
                 count(*) FILTER (kind IN ('tool_call','tool_call_update')) OVER (PARTITION BY session_id, round_no, call_no {PREV}) AS tools_before,
                 max(context_tokens) OVER (PARTITION BY session_id, round_no, call_no {PREV}) AS max_before,
-                CASE WHEN opens_call = 1 THEN coalesce(context_tokens,
-                  last_value(context_tokens IGNORE NULLS) OVER (PARTITION BY session_id, round_no {PREV}), baseline) END AS st
-              FROM v_call_lines JOIN v_base USING (session_id, round_no) WHERE in_call))))))"""
+                CASE WHEN opens_call = 1 THEN coalesce(context_tokens, round_ctx, baseline) END AS st
+              FROM v_moves JOIN v_base USING (session_id, round_no) WHERE in_call))))))"""
 
 
 @query("round_numbers", "W3", "SELECT session_id, line_no, round_no FROM v_lines")
@@ -205,16 +207,17 @@ def named_tools(spark, sf):
 
 b.VIEWS["v_round_sum"] = f"""
   SELECT *, coalesce(baseline, f) AS context_start, greatest(coalesce(baseline, f), mx) AS context_peak,
-    coalesce(l, coalesce(baseline, f)) - coalesce(baseline, f) AS context_delta, completed_ms IS NOT NULL AS completed,
+    coalesce(l, coalesce(baseline, f)) - coalesce(baseline, f) AS context_delta,
+    CASE WHEN completed_ms IS NOT NULL THEN greatest(coalesce(baseline, f), mx, l) ELSE coalesce(l, baseline, f) END AS context_end, completed_ms IS NOT NULL AS completed,
     greatest(started_ms - lag(completed_ms) OVER (PARTITION BY session_id ORDER BY round_no), 0) AS idle_gap_ms
   FROM (SELECT session_id, round_no, min(line_no) AS line_no, arg_min(agent_ms, line_no) AS started_ms,
       max(agent_ms) FILTER (kind = 'turn_completed') AS completed_ms, max(baseline) AS baseline,
       arg_min(context_tokens, line_no) FILTER (in_call AND context_tokens IS NOT NULL) AS f,
-      arg_max(context_tokens, line_no) FILTER (in_call AND context_tokens IS NOT NULL) AS l, max(context_tokens) FILTER (in_call) AS mx,
+      arg_max(moved, line_no) FILTER (moved IS NOT NULL) AS l, max(context_tokens) FILTER (in_call) AS mx,
       CAST(coalesce(sum(chars) FILTER (kind = 'user_message_chunk'), 0) AS BIGINT) AS user_chars,
       count(*) FILTER (kind IN {STREAM}) AS chunks, count(*) FILTER (kind = 'tool_call') AS tool_calls,
       CAST(sum(opens_call) AS BIGINT) AS call_count
-    FROM v_call_lines JOIN v_base USING (session_id, round_no) WHERE kind IN {ACT} GROUP BY session_id, round_no)"""
+    FROM v_moves JOIN v_base USING (session_id, round_no) WHERE kind IN {ACT} OR (kind = 'auto_compact_completed' AND moved IS NOT NULL) GROUP BY session_id, round_no)"""
 
 
 def rounds(spark, sf):
@@ -226,7 +229,7 @@ def rounds(spark, sf):
 
 
 @query("round_rollup", "A10 W7", """
-SELECT * EXCLUDE (f, l, mx), context_peak AS context_end FROM v_round_sum""")
+SELECT * EXCLUDE (f, l, mx) FROM v_round_sum""")
 def round_rollup(spark, sf):
     return rounds(spark, sf)
 

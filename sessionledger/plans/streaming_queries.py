@@ -5,44 +5,62 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionledger.functions import pricing as p
+from sessionledger.operators import sessionize as s
 from sessionledger.plans import binding as b
+from sessionledger.plans.event_queries import SIDE_SQL
 from sessionledger.plans.period_queries import SUMS_SQL
 from sessionledger.plans.registry import query
 from sessionledger.session import scratch_dir
-from sessionledger.streaming import live
+from sessionledger.streaming import live, rounds
 
 c = F.col
 
 
-BATCHES = 3
+BATCHES = 4
+FILE_ROWS = 200_000
 
 
 def line_stream(spark, sf, batches=1):
-    """The log as a stream; with ``batches`` it arrives in that many files, one per micro-batch."""
+    """The log as a stream; with ``batches`` it arrives in that many folders of files in order of time, one per micro-batch."""
     table = b.table(spark, sf, "events")
     if batches == 1:
         events = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     else:
         path = scratch_dir(spark)
+        lo, hi, rows = table.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
+        files = rows // (batches * FILE_ROWS) + 1  # as many as the rows ask for; every micro-batch reads one folder's
         for i in range(batches):
-            lo, hi = table.agg(F.min("event_id"), F.max("event_id")).first() if i == 0 else (lo, hi)
             part = F.least(F.floor((c("event_id") - lo) * batches / (hi - lo + 1)), F.lit(batches - 1)) == i
-            table.filter(part).coalesce(1).write.parquet(f"{path}/part={i}")
-        events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+            table.filter(part).repartition(files).write.parquet(f"{path}/part={i}")
+        events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")
     d = b.updates_of(events)
     return d.withColumns({"event_ts": F.timestamp_millis("agent_ms"), "source_file": F.lit("events")})
 
 
-@query("streamed_rounds", "ST1 ST2 ST3", """
-SELECT session_id, round_no, started_ms, completed_ms, CAST(coalesce(mb, f) AS BIGINT) AS context_start, CAST(CASE WHEN mb IS NULL THEN greatest(f, mx) WHEN mx IS NULL THEN mb ELSE greatest(mb, mx) END AS BIGINT) AS context_peak,
-  user_chars, chunks, tool_calls, call_count, completed
-FROM (SELECT *, max(mx) OVER (PARTITION BY session_id ORDER BY round_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mb FROM v_round_sum)""")
+def drained_sessions(spark, sf, what, *keys):
+    """One kind of rows of the stateful session stream, after ``BATCHES`` micro-batches."""
+    rounds.with_rocks(spark)
+    kinds = [*s.ROUND_KINDS, s.COMPACT, s.RECAP]
+    lines = line_stream(spark, sf, BATCHES).filter(c("kind").isin(kinds))
+    return live.run_to_table(rounds.part(rounds.session_stream(lines), what), scratch_dir(spark), "update", ("session_id", *keys))
+
+
+@query("streamed_rounds", "ST1 ST2 ST3", "SELECT * EXCLUDE (f, l, mx) FROM v_round_sum")
 def streamed_rounds(spark, sf):
-    """Closed rounds and the open preview, assembled by the stateful operator."""
-    from sessionledger.operators.sessionize import ROUND_KINDS
+    """Closed rounds and the open preview: the rows of ``round_rollup``, compactions included."""
+    return drained_sessions(spark, sf, "round", "round_no")
+
+
+@query("streamed_tools", "ST2", "SELECT * FROM v_tools")
+def streamed_tools(spark, sf):
+    """Tools with the growth they caused: the rows of ``tool_results``."""
+    return drained_sessions(spark, sf, "tool", "round_no", "call_no", "tool_no")
+
 
-    lines = line_stream(spark, sf, BATCHES).filter(c("kind").isin(ROUND_KINDS))
-    return live.run_to_table(live.round_stream(lines), scratch_dir(spark), "update", ("session_id", "round_no"))
+@query("streamed_side_events", "ST2", f"SELECT * FROM ({SIDE_SQL})")
+def streamed_side_events(spark, sf):
+    """Compactions and recaps on their rounds; one between two rounds is known by the later one only when that begins."""
+    return drained_sessions(spark, sf, "card", "line_no")
 
 
 @query("streamed_hour_buckets", "ST7 ST8 ST9", f"""

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sessionledger.functions.pricing import tier_name
-from sessionledger.operators.sessionize import CALL_KINDS, STREAM_KINDS, TURN
 
 c = F.col
 POLL = "500 milliseconds"
@@ -49,91 +44,6 @@ def gauges(lines: DataFrame) -> DataFrame:
     return d.withColumn("tier", tier_name(F.coalesce("context_stream", F.lit(0))))
 
 
-ROUND_SCHEMA = ("session_id long, round_no long, started_ms long, completed_ms long, context_start long, context_peak long, "
-                "user_chars long, chunks long, tool_calls long, call_count long, completed boolean")
-STATE_SCHEMA = ("round_no long, active boolean, started_ms long, first_ctx long, max_ctx long, user_chars long, chunks long, tool_calls long, "
-                "call_count long, stream_ms long, baseline long")
-_EMPTY = (1, False, None, None, None, 0, 0, 0, 0, None, None)
-
-
-def _int(v):
-    return None if v is None or pd.isna(v) else int(v)
-
-
-def _assemble(key, frames: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
-    """Rows of one session in one micro-batch: closed rounds, then the open one as a preview."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    d = pd.concat(list(frames)).sort_values("line_no", kind="stable")
-    st = dict(zip(STATE_FIELDS, state.get if state.exists else _EMPTY, strict=True))
-    turn = d["kind"].eq(TURN)
-    d["round_no"] = st["round_no"] + turn.cumsum().shift(fill_value=0)
-    call = d["kind"].isin(CALL_KINDS)
-    d["user_chars"] = d["chars"].where(d["kind"].eq("user_message_chunk"), 0)
-    d["ctx"] = d["context_tokens"].where(call)
-    d["chunk"], d["tool"] = d["kind"].isin(STREAM_KINDS), d["kind"].eq("tool_call")
-    # A call starts with the first call line of a round or with another stream start.
-    calls = d[call].copy()
-    calls["last"] = calls.groupby("round_no")["stream_ms"].transform(lambda s: s.ffill().shift())
-    calls["first"] = ~calls.duplicated("round_no")
-    carried = calls["round_no"].eq(st["round_no"])
-    if st["call_count"]:
-        calls.loc[carried, "last"] = calls.loc[carried, "last"].fillna(st["stream_ms"] if st["stream_ms"] is not None else float("nan"))
-        calls.loc[carried, "first"] = False
-    calls["opens"] = calls["first"] | (calls["stream_ms"].notna() & calls["stream_ms"].ne(calls["last"]))
-    opened = calls.groupby("round_no")["opens"].sum()
-    last_stream = calls.groupby("round_no")["stream_ms"].last()
-    agg = d.groupby("round_no").agg(
-        started_ms=("agent_ms", "first"), first_ctx=("ctx", "first"), max_ctx=("ctx", "max"), user_chars=("user_chars", "sum"),
-        chunks=("chunk", "sum"), tool_calls=("tool", "sum"), completed=("kind", lambda k: k.eq(TURN).any()), last_ms=("agent_ms", "last"))
-    out = []
-    base = st["baseline"]
-    for no, row in agg.iterrows():  # one step per round of the batch
-        mine = no == st["round_no"] and st["active"]
-        first = _int(st["first_ctx"]) if mine and st["first_ctx"] is not None else _int(row.first_ctx)
-        known = [x for x in (_int(row.max_ctx), st["max_ctx"] if mine else None) if x is not None]
-        top = max(known) if known else None
-        start = base if base is not None else first
-        peak = max([x for x in (start, top) if x is not None], default=None)
-        count = int(opened.get(no, 0)) + (st["call_count"] if mine else 0)
-        sums = {f: int(row[f]) + (st[f] if mine else 0) for f in ("user_chars", "chunks", "tool_calls")}
-        started = st["started_ms"] if mine else _int(row.started_ms)
-        done = bool(row.completed)
-        out.append((key[0], int(no), started, _int(row.last_ms) if done else None, start, peak, sums["user_chars"], sums["chunks"], sums["tool_calls"], count, done))
-        if done:
-            base = peak
-            st.update(zip(STATE_FIELDS, (int(no) + 1, False, None, None, None, 0, 0, 0, 0, None, base), strict=True))
-        else:
-            stream = _int(last_stream.get(no))
-            st.update(round_no=int(no), active=True, started_ms=started, first_ctx=first, max_ctx=top, call_count=count,
-                      stream_ms=stream if stream is not None else (st["stream_ms"] if mine else None), baseline=base, **sums)
-    state.update(tuple(st[f] for f in STATE_FIELDS))
-    if ttl_ms:
-        state.setTimeoutDuration(ttl_ms)
-    yield pd.DataFrame(out, columns=[x.split()[0] for x in ROUND_SCHEMA.split(", ")])
-
-
-STATE_FIELDS = [x.split()[0] for x in STATE_SCHEMA.split(", ")]
-
-
-def round_stream(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Rounds while they happen: a row per closed round and a preview of the open one.
-
-    State per session is a handful of counters; lengths are kept, never texts. How many lines
-    of a session one task sees is bounded by the trigger's ``maxBytesPerTrigger``. With
-    ``ttl_ms`` idle sessions leave the state after that time (for queries that run on; a query
-    that drains what is there needs none).
-    """
-    def assemble(key, frames, state):
-        yield from _assemble(key, frames, state, ttl_ms)
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    cols = ["session_id", "line_no", "kind", "context_tokens", "stream_ms", "agent_ms", "chars"]
-    return lines.select(*cols).groupBy("session_id").applyInPandasWithState(
-        assemble, ROUND_SCHEMA, STATE_SCHEMA, "update", timeout)
-
-
 def history_watch(snapshots: DataFrame, store: str, checkpoint: str):
     """Diff every snapshot of a history against the one before it; writes ``<store>/diffs``.
 
