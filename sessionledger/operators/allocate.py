@@ -39,8 +39,9 @@ def split_exact(df: DataFrame, g: Groups, out: str, weight: Column, target: Colu
     share = F.when(c("__al_w").isNull(), 0.0).when(c("__al_sum") > 0, c("__al_w") / c("__al_sum") * c("__al_t")).otherwise(even)
     base = F.floor(share).cast("long")
     d = d.withColumns({"__al_base": base, "__al_frac": F.when(c("__al_w").isNull(), -1.0).otherwise(share - base)})
-    d = g.totals_and_rank(d, {"__al_given": Total("sum", c("__al_base"))}, "__al_rank", c("__al_frac"))
-    extra = F.when(c("__al_w").isNotNull() & (c("__al_rank") <= c("__al_t") - c("__al_given")), 1).otherwise(0)
+    one = F.when(c("__al_w").isNotNull(), 1).otherwise(0)
+    d = g.take_largest(d, "__al_extra", c("__al_frac"), one, c("__al_t") - c("__al_given"), {"__al_given": Total("sum", c("__al_base"))})
+    extra = c("__al_extra")
     return with_only(d, df.columns, {out: (c("__al_base") + extra).cast("long")})
 
 
@@ -61,9 +62,9 @@ def split_usd(df: DataFrame, g: Groups, out: str, part: Column, target: Column)
     d = g.totals(df.withColumn("__al_p", part), {"__al_s": Total("sum", c("__al_p"))})
     scaled = F.when(target <= 0, 0.0).when(c("__al_s") > 0, c("__al_p") * target / c("__al_s"))
     d = g.number(d, "__al_no").withColumn("__al_x", F.coalesce(scaled, F.when(c("__al_no") == 1, target).otherwise(0.0)))
-    d = g.rank(g.totals(d, {"__al_sx": Total("sum", c("__al_x"))}), "__al_r", c("__al_x"))
+    d = g.take_largest(d, "__al_first", c("__al_x"), F.lit(1), F.lit(1), {"__al_sx": Total("sum", c("__al_x"))})
     drift = target - c("__al_sx")
-    fix = (c("__al_r") == 1) & (target > 0) & (c("__al_s") > 0) & (F.abs(drift) > 1e-12)
+    fix = (c("__al_first") == 1) & (target > 0) & (c("__al_s") > 0) & (F.abs(drift) > 1e-12)
     return with_only(d, df.columns, {out: c("__al_x") + F.when(fix, drift).otherwise(0.0)})
 
 
@@ -114,6 +115,5 @@ def cap_and_push(df: DataFrame, g: Groups, out: str, amount: Column, limit: Colu
 
 def take_down(df: DataFrame, g: Groups, out: str, amount: Column, need: Column) -> DataFrame:
     """Take ``need`` (one value per group) off the largest amounts first."""
-    d = g.sum_of_larger(df.withColumns({"__al_a": amount, "__al_need": need}), "__al_before", c("__al_a"))
-    take = F.least(c("__al_a"), floor0(c("__al_need") - c("__al_before")))
-    return with_only(d, df.columns, {out: (c("__al_a") - take).cast("long")})
+    d = g.take_largest(df.withColumns({"__al_a": amount, "__al_need": need}), "__al_take", c("__al_a"), c("__al_a"), c("__al_need"))
+    return with_only(d, df.columns, {out: (c("__al_a") - c("__al_take")).cast("long")})

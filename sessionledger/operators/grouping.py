@@ -1,7 +1,7 @@
 """Ordered computations inside groups, safe for groups of any size.
 
 Two interchangeable engines share one small API (``running``, ``totals``,
-``number``, ``rank``):
+``number``, ``take_largest``):
 
 * :class:`PlainGroups` uses native windows partitioned by the group key. All windows
   of one key share a single shuffle, but one group is one task.
@@ -27,6 +27,7 @@ from sessionledger.session import materialize
 
 HOT_ROWS = 2_000_000
 BLOCK_ROWS = 262_144
+BINS = 1_024  # ranges that a value range is cut into at a time
 
 _BLOCK = "__block"
 
@@ -126,11 +127,6 @@ class PlainGroups:
     def number(self, df: DataFrame, name: str) -> DataFrame:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*self.keys).orderBy(self.order)).cast("long"))
 
-    def sum_of_larger(self, df: DataFrame, name: str, value: Column) -> DataFrame:
-        """Sum of the values ranked before the row (largest first, ties by the order column)."""
-        w = W.partitionBy(*self.keys).orderBy(value.desc(), F.col(self.order)).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
-
     def describe(self, df: DataFrame, number: str, totals: Mapping[str, Total], runs: Mapping[str, Run]) -> DataFrame:
         """:meth:`number`, :meth:`totals` and neighbours of ``runs`` in one step."""
         w, o = W.partitionBy(*self.keys), F.col(self.order)
@@ -139,18 +135,14 @@ class PlainGroups:
             **{n: _zero(t.fn, _agg(t.fn, t.expr, o).over(w)) for n, t in totals.items()},
             **{n: (F.lag if r.forward else F.lead)(r.expr, 1).over(w.orderBy(self.order)) for n, r in runs.items() if r.fn == "adjacent"}})
 
-    def totals_and_rank(self, df: DataFrame, totals: Mapping[str, Total], name: str, value: Column) -> DataFrame:
-        """:meth:`totals` and :meth:`rank` in one step."""
-        w = W.partitionBy(*self.keys)
-        o = F.col(self.order)
-        return df.withColumns({
-            **{n: _zero(t.fn, _agg(t.fn, t.expr, o).over(w)) for n, t in totals.items()},
-            name: F.row_number().over(w.orderBy(value.desc(), o)).cast("long")})
-
-    def rank(self, df: DataFrame, name: str, value: Column) -> DataFrame:
-        """1-based position by ``value`` descending, ties by the order column."""
-        w = W.partitionBy(*self.keys).orderBy(value.desc(), F.col(self.order))
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
+    def take_largest(self, df: DataFrame, out: str, value: Column, weight: Column, target: Column, totals: Mapping[str, Total] | None = None) -> DataFrame:
+        """``out``: what is taken of each row's ``weight`` (0 or more) when ``target``, one number per group, is taken from the rows
+        in order of ``value`` descending, ties by the order column. ``target`` may use ``totals``, which are added too."""
+        w, o = W.partitionBy(*self.keys), F.col(self.order)
+        d = df.withColumns({"__tk_v": value, "__tk_w": weight})
+        before = F.sum("__tk_w").over(w.orderBy(F.col("__tk_v").desc(), o).rowsBetween(W.unboundedPreceding, -1))
+        d = d.withColumns({**{n: _zero(t.fn, _agg(t.fn, t.expr, o).over(w)) for n, t in (totals or {}).items()}, "__tk_before": F.coalesce(before, F.lit(0))})
+        return d.withColumn(out, F.least("__tk_w", F.greatest(target - F.col("__tk_before"), F.lit(0)))).drop("__tk_v", "__tk_w", "__tk_before")
 
 
 class BlockedGroups:
@@ -242,46 +234,56 @@ class BlockedGroups:
         ])
         return tagged.join(whole, keys).drop(_BLOCK)
 
-    def sum_of_larger(self, df: DataFrame, name: str, value: Column) -> DataFrame:
-        d = self.rank(df, "__rk_pos", value)
-        return self.reorder("__rk_pos").running(d, {name: Run("sum", value)}).drop("__rk_pos")
-
     def describe(self, df: DataFrame, number: str, totals: Mapping[str, Total], runs: Mapping[str, Run]) -> DataFrame:
         return self.running(self.totals(self.number(df, number), totals), runs)
 
-    def totals_and_rank(self, df: DataFrame, totals: Mapping[str, Total], name: str, value: Column) -> DataFrame:
-        return self.rank(self.totals(df, totals), name, value)
-
     def number(self, df: DataFrame, name: str) -> DataFrame:
         return self.running(df, {name: Run("count", F.lit(1), "upto")})
 
-    def rank(self, df: DataFrame, name: str, value: Column) -> DataFrame:
-        """Position by ``value`` descending without sorting a group in one task.
+    def take_largest(self, df: DataFrame, out: str, value: Column, weight: Column, target: Column, totals: Mapping[str, Total] | None = None) -> DataFrame:
+        """As in native windows, but by selection: no task sorts a group or its distinct values.
 
-        Counts per distinct value give each value its first position; counts per
-        ``(value, block)`` give each block its first position among equal values; only
-        rows of one value and one block are numbered by a window.
+        A histogram of ``BINS`` ranges per group tells in which range the target is reached; that range is cut into ``BINS``
+        again, until it holds one value or no more rows than a block. Rows above it give all, rows below it nothing,
+        and only rows in it are put in order, equal values by blocks of the order column.
         """
-        tagged = self._tag(df).withColumn("__rk_v", value)
-        cell = [*self.keys, "__rk_v", _BLOCK]
-        cells = tagged.groupBy(*cell).agg(F.count(F.lit(1)).alias("__rk_n"))
-        ties = cells.withColumn(
-            "__rk_tie",
-            F.coalesce(F.sum("__rk_n").over(
-                W.partitionBy(*self.keys, "__rk_v").orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        )
-        values = cells.groupBy(*self.keys, "__rk_v").agg(F.sum("__rk_n").alias("__rk_nv")).withColumn(
-            "__rk_above",
-            F.coalesce(F.sum("__rk_nv").over(
-                W.partitionBy(*self.keys).orderBy(F.col("__rk_v").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        )
-        base = ties.join(values, [*self.keys, "__rk_v"]).select(*cell, (F.col("__rk_tie") + F.col("__rk_above")).alias("__rk_base"))
-        here = F.row_number().over(W.partitionBy(*cell).orderBy(self.order))
-        return (
-            tagged.withColumn("__rk_here", here).join(base, cell)
-            .withColumn(name, (F.col("__rk_base") + F.col("__rk_here")).cast("long"))
-            .drop("__rk_v", _BLOCK, "__rk_here", "__rk_base")
-        )
+        keys, v, w = self.keys, F.col("__tk_v"), F.col("__tk_w")
+        d = self.totals(df, totals) if totals else df
+        rows = materialize(d.withColumns({"__tk_v": value.cast("double"), "__tk_w": weight, "__tk_t": target}))
+        narrow = rows.select(*keys, v, w, "__tk_t").filter(w > 0)
+        cut = narrow.groupBy(*keys).agg(F.max("__tk_t").alias("__t"), F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.count(F.lit(1)).alias("__n"), F.sum(w).alias("__all"))
+        # where there is not more than the target, all is taken: the cut lies below every row
+        short = F.col("__all") <= F.col("__t")
+        none = F.lit(float("-inf"))
+        cut = materialize(cut.select(*keys, "__t", F.when(short, none).otherwise(F.col("__lo")).alias("__lo"), F.when(short, none).otherwise(F.col("__hi")).alias("__hi"),
+                                     F.when(short, 0).otherwise(F.col("__n")).cast("long").alias("__n"), F.lit(0).cast("long").alias("__above")))
+        wide = (F.col("__n") > self.block) & (F.col("__lo") < F.col("__hi"))
+        while not (todo := cut.filter(wide)).isEmpty():
+            place = F.least(F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * BINS), F.lit(BINS - 1))
+            inside = narrow.drop("__tk_t").join(todo, keys).filter((v >= F.col("__lo")) & (v <= F.col("__hi")))
+            bins = inside.groupBy(*keys, "__t", "__above", place.alias("__bin")).agg(
+                F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.count(F.lit(1)).alias("__n"), F.sum(w).alias("__sum"))
+            # a group has BINS rows here at most
+            over = F.coalesce(F.sum("__sum").over(W.partitionBy(*keys).orderBy(F.desc("__bin")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+            bins = bins.withColumn("__above", F.col("__above") + over)
+            hit = bins.filter((F.col("__above") < F.col("__t")) & (F.col("__above") + F.col("__sum") >= F.col("__t")))
+            cut = materialize(cut.filter(~wide).unionByName(hit.select(*cut.columns)))
+        marked = rows.join(cut, keys, "left")
+        inside = (w > 0) & (v >= F.col("__lo")) & (v <= F.col("__hi")) & (F.col("__t") > 0)
+        helpers = ["__tk_v", "__tk_w", "__tk_t", "__t", "__lo", "__hi", "__n", "__above"]
+        certain = marked.filter(~F.coalesce(inside, F.lit(False)))
+        certain = certain.withColumn(out, F.when((w > 0) & (v > F.col("__hi")) & (F.col("__t") > 0), w).otherwise(F.lit(0))).drop(*helpers)
+        open_rows = materialize(marked.filter(inside))
+        few = open_rows.filter(F.col("__n") <= self.block)
+        order = W.partitionBy(*keys).orderBy(v.desc(), F.col(self.order)).rowsBetween(W.unboundedPreceding, -1)
+        parts = [few.withColumn("__tk_before", F.coalesce(F.sum(w).over(order), F.lit(0)))]
+        equal = open_rows.filter(F.col("__n") > self.block)
+        if not equal.isEmpty():
+            parts.append(self.running(equal, {"__tk_before": Run("sum", w)}))
+        taken = [x.withColumn(out, F.least(w, F.greatest(F.col("__t") - F.col("__above") - F.col("__tk_before"), F.lit(0)))).drop("__tk_before", *helpers) for x in parts]
+        for x in taken:
+            certain = certain.unionByName(x)
+        return certain
 
 
 Groups = PlainGroups | BlockedGroups

@@ -36,15 +36,32 @@ def exact_split(spark, sf):
     return by_round(b.v_calls(spark, sf), lambda d, g: a.split_exact(d, g, "x", w, c("off_in"))).select("round_id", "call_no", "x")
 
 
-@query("exact_split_of_a_hot_key", "L1", f"SELECT round_id, call_no, x FROM ({split_sql('(SELECT call_no, round_id, weight FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS call_no, 0 AS round_id, CAST(floor(l_quantity) AS BIGINT) AS weight FROM lineitem))', 'x', 'weight', '1000003')})")
-def exact_split_of_a_hot_key(spark, sf):
+_HOT_LINES = "(SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS call_no, 0 AS round_id, CAST(floor(WEIGHT) AS BIGINT) AS weight FROM lineitem)"
+
+
+def hot_split_sql(weight: str, target: int) -> str:
+    return f"SELECT round_id, call_no, x FROM ({split_sql(_HOT_LINES.replace('WEIGHT', weight), 'x', 'weight', str(target))})"
+
+
+def hot_split(spark, sf, weight, target):
     """One group over the whole table, split by the blocked engine."""
     from sessionledger.operators.sessions import global_numbers
 
     d = b.table(spark, sf, "lineitem").select(
-        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("tie"), F.floor("l_quantity").cast("long").alias("weight"))
+        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("tie"), F.floor(weight).cast("long").alias("weight"))
     d = global_numbers(d, "l_orderkey", "tie", "call_no").withColumn("round_id", F.lit(0))
-    return by_round(d, lambda x, g: a.split_exact(x, g, "x", c("weight"), F.lit(1_000_003)), mode="blocked", block=4096).select("round_id", "call_no", "x")
+    return by_round(d, lambda x, g: a.split_exact(x, g, "x", c("weight"), F.lit(target)), mode="blocked", block=4096).select("round_id", "call_no", "x")
+
+
+@query("exact_split_of_a_hot_key", "L1", hot_split_sql("l_quantity", 1_000_003))
+def exact_split_of_a_hot_key(spark, sf):
+    return hot_split(spark, sf, c("l_quantity"), 1_000_003)
+
+
+@query("exact_split_of_near_unique_weights", "L1", hot_split_sql("l_extendedprice * 100 + l_partkey", 7_000_003))
+def exact_split_of_near_unique_weights(spark, sf):
+    """Nearly every remainder is a value of its own: the cut is found by histograms."""
+    return hot_split(spark, sf, c("l_extendedprice") * 100 + c("l_partkey"), 7_000_003)
 
 
 @query("usd_fit", "L2", f"""

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionledger.operators import allocate as a
+from sessionledger.operators import grouping
 from sessionledger.operators import sessionize as s
 from sessionledger.operators.grouping import BlockedGroups, PlainGroups, Run, Total, skew_safe
 
@@ -21,14 +23,14 @@ def table(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_running_totals_and_ranks_agree(spark):
+def test_running_values_and_totals_agree(spark):
     rows, df = frame(spark)
     runs = {"before": Run("sum", c("v")), "upto": Run("max", c("v"), "upto"), "prev": Run("adjacent", c("v")), "next": Run("adjacent", c("v"), "after"),
             "known": Run("last", c("v")), "left": Run("count", F.lit(1), "from"), "later": Run("last", c("v"), "after"), "low": Run("min", c("v"), "from")}
     totals = {"t": Total("sum", c("v")), "f": Total("first", c("v")), "l": Total("last", c("v"))}
     out = []
     for g in (PlainGroups(["g"], "o"), BlockedGroups(["g"], "o", 17)):
-        d = g.rank(g.number(g.totals(g.running(df, runs), totals), "no"), "rank", F.coalesce(c("v"), F.lit(-1)))
+        d = g.number(g.totals(g.running(df, runs), totals), "no")
         out.append(table(d.select(*sorted(d.columns))))
     assert out[0] == out[1]
     mine = sorted(r for r in rows if r[0] == 0)
@@ -66,3 +68,20 @@ def test_sessionize_blocked_equals_plain(spark):
     one = table(s.by_session(df, s.sessionized, mode="plain").select(*cols).fillna(-1))
     two = table(s.by_session(df, s.sessionized, mode="blocked", block=23).select(*cols).fillna(-1))
     assert one == two
+
+
+@pytest.mark.parametrize("block,spread", [(1, 1 << 40), (9, 4), (30, 1), (10_000, 1 << 40)])
+def test_take_largest(spark, monkeypatch, block, spread):
+    """Selection gives what a sort gives: equal values, near-unique ones, values close together, weights of 0, targets beyond all."""
+    monkeypatch.setattr(grouping, "BINS", 4)
+    r = random.Random(spread)
+    rows = [(g, o, r.randrange(spread) * r.choice([1e-12, 1.0]), r.choice([0, 1, 1, 5]), t) for g, t in enumerate([0, 1, 37, 90, 10_000]) for o in r.sample(range(1000), 120)]
+    df = spark.createDataFrame(rows, "g long, o long, v double, w long, t long")
+    want, left = {}, dict(enumerate([0, 1, 37, 90, 10_000]))
+    for g, o, _, w, _ in sorted(rows, key=lambda x: (x[0], -x[2], x[1])):
+        want[g, o] = min(w, left[g])
+        left[g] -= want[g, o]
+    for engine in (PlainGroups(["g"], "o"), BlockedGroups(["g"], "o", block)):
+        d = engine.take_largest(df, "x", c("v"), c("w"), c("t") + 0 * c("n"), {"n": Total("count", c("v"))})
+        assert sorted(d.columns) == sorted([*df.columns, "x", "n"])
+        assert {(x.g, x.o): x.x for x in d.collect()} == want
