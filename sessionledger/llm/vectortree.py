@@ -7,7 +7,8 @@ is then put into the leaf that a walk to the nearest centres leads to, and a lea
 A query walks the tree with a priority queue of nodes by the distance of their centres: the nearest node is taken off, its children
 are put on, and leaves come off in the order in which they are to be visited. How many are visited is calibrated:
 for ``CALIBRATION`` of the queries all vectors are searched, and the number of visits is widened until they find a share
-``RECALL`` of their true neighbours. Within the visited leaves the search is exact, on the original vectors in double precision.
+``RECALL`` of their true neighbours. Within the visited leaves the search is exact, on the original vectors in double precision. Leaves are
+visited in ``WAVES`` of growing size, and a later wave sends only what is as near as the k-th vector of the waves before.
 
 Equal vectors are one entry of the index with its ``k + 1`` smallest ids, as no query can return more of them, and equal
 queries are searched once; so copies of one vector, however many, are neither a hot leaf nor a hot query.
@@ -40,6 +41,7 @@ LEAF_ROWS = 200  # vectors that a leaf should hold while the sample allows for s
 FANOUT, ROUNDS = 8, 12
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 512
 CALIBRATION, RECALL = 256, 0.97
+WAVES = 3
 SEED = 11
 
 
@@ -142,14 +144,11 @@ def _least(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFram
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= k)
 
 
-def _nearest(rows: np.ndarray, ids: list, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and ids of the best k entries' ids; ids: up to k of each row."""
+def _nearest(rows: np.ndarray, ids: list, query: np.ndarray, k: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the best k entries' ids within a distance; ids: up to k of each row."""
     d = exact(query, rows)
-    if len(d) > k:
-        cut = np.partition(d, k - 1)[k - 1]
-        near = np.flatnonzero(d <= cut)
-    else:
-        near = np.arange(len(d))
+    cut = min(bound, np.partition(d, k - 1)[k - 1]) if len(d) > k else bound
+    near = np.flatnonzero(d <= cut)
     own = [np.asarray(ids[i], dtype=np.int64) for i in near]
     flat = np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
     far = np.repeat(d[near], [len(x) for x in own])
@@ -232,6 +231,12 @@ def calibrated_visits(tree: Tree, index: DataFrame, asked: DataFrame, dims: int,
     return visits
 
 
+def waves(visits: int) -> list[tuple[int, int]]:
+    """Visits in a few waves of growing size: what a wave finds bounds what the next one has to send."""
+    cuts = sorted({0, visits, *(round(visits ** (i / WAVES)) for i in range(1, WAVES))} if visits > WAVES else {0, visits})
+    return list(zip(cuts, cuts[1:]))
+
+
 def _search_one(index: DataFrame, asked: DataFrame, dims: int, k: int, recall: float) -> DataFrame:
     """``qh, distance, id`` of all queries of one vector length."""
     tree = build(index, dims)
@@ -254,24 +259,33 @@ def _search_one(index: DataFrame, asked: DataFrame, dims: int, k: int, recall: f
             pdf["leaf"] = leaves
             yield pdf
 
-    to_see = asked.select("qh", "v").mapInPandas(order, "qh long, v array<double>, leaf array<long>").select("qh", F.explode("leaf").alias("leaf"))
-    to_see = materialize(to_see)
-    sizes = index.groupBy("leaf").agg((F.floor(F.count("*") / BLOCK_ROWS) + 1).alias("blocks"))
-    calls = to_see.groupBy("leaf").agg((F.floor(F.count("*") / BLOCK_QUERIES) + 1).alias("turns"))
-    plan = materialize(sizes.join(calls, "leaf"))  # a row per leaf, a bounded number
+    to_see = materialize(asked.select("qh", "v").mapInPandas(order, "qh long, v array<double>, leaf array<long>").select("qh", F.posexplode("leaf").alias("visit", "leaf")))
+    sizes = materialize(index.groupBy("leaf").agg((F.floor(F.count("*") / BLOCK_ROWS) + 1).alias("blocks")))
     row_block, turn = F.pmod(F.xxhash64("vh"), F.col("blocks")), F.pmod(F.xxhash64("qh"), F.col("turns"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    held = index.join(F.broadcast(plan), "leaf").select("leaf", row_block.alias("block"), every("turns").alias("turn"), F.lit(False).alias("asking"), F.lit(0).cast("long").alias("qh"), "v", "ids")
-    calling = to_see.join(asked.select("qh", "v"), "qh").join(F.broadcast(plan), "leaf").select("leaf", every("blocks").alias("block"), turn.alias("turn"), F.lit(True).alias("asking"), "qh", "v", F.lit(None).cast("array<long>").alias("ids"))
 
     def scan(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         queries, own = pdf[pdf["asking"]], pdf[~pdf["asking"]]
-        out = []
         rows, ids = _matrix(own["v"].tolist(), dims), own["ids"].tolist()
-        for h, q in zip(queries["qh"], _matrix(queries["v"].tolist(), dims)):
-            d, found = _nearest(rows, ids, q, k)
-            out.append(pd.DataFrame({"qh": h, "distance": d, "id": found}))
-        return pd.concat(out) if out else pd.DataFrame({"qh": [], "distance": [], "id": []})
+        names, far, near = [], [], []
+        for h, bound, q in zip(queries["qh"], queries["bound"], _matrix(queries["v"].tolist(), dims)):
+            d, found = _nearest(rows, ids, q, k, bound)
+            names.append(np.full(len(d), h, dtype=np.int64))
+            far.append(d)
+            near.append(found)
+        return pd.DataFrame({"qh": np.concatenate(names), "distance": np.concatenate(far), "id": np.concatenate(near)})
 
-    near = held.unionByName(calling).groupBy("leaf", "block", "turn").applyInPandas(scan, "qh long, distance double, id long")
-    return materialize(_least(near, ["qh"], ["distance", "id"], k).select("qh", "distance", "id"))
+    found = None
+    for first, last in waves(visits):
+        seeing = to_see.filter((F.col("visit") >= first) & (F.col("visit") < last)).select("qh", "leaf")
+        asking = asked.select("qh", "v", F.lit(float("inf")).alias("bound"))
+        if found is not None:  # the k-th distance so far, if there are k
+            known = found.groupBy("qh").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
+            asking = asked.select("qh", "v").join(known, "qh", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        calls = seeing.groupBy("leaf").agg((F.floor(F.count("*") / BLOCK_QUERIES) + 1).alias("turns"))
+        plan = materialize(sizes.join(calls, "leaf"))  # a row per leaf, a bounded number
+        held = index.join(F.broadcast(plan), "leaf").select("leaf", row_block.alias("block"), every("turns").alias("turn"), F.lit(False).alias("asking"), F.lit(0).cast("long").alias("qh"), F.lit(0.0).alias("bound"), "v", "ids")
+        calling = seeing.join(asking, "qh").join(F.broadcast(plan), "leaf").select("leaf", every("blocks").alias("block"), turn.alias("turn"), F.lit(True).alias("asking"), "qh", "bound", "v", F.lit(None).cast("array<long>").alias("ids"))
+        near = held.unionByName(calling).groupBy("leaf", "block", "turn").applyInPandas(scan, "qh long, distance double, id long")
+        found = materialize(_least(near if found is None else near.unionByName(found), ["qh"], ["distance", "id"], k).select("qh", "distance", "id"))
+    return found
