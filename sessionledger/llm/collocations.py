@@ -37,8 +37,8 @@ from sessionledger.session import materialize
 
 UNKNOWN = "und"
 LONGEST = 3
-SLICE = 1 << 20  # bytes hashed at a time
-ENTRIES = 1_500_000  # phrases that a task counts at a time
+SLICE = 1 << 19  # bytes hashed at a time
+ENTRIES, ROWS_OUT, KEPT_LANGS = 500_000, 100_000, 1_000  # phrases that a task holds before it counts them; rows that leave at a time
 FILTER_BITS = 27  # of the number of bits of a filter: 16 MB, whatever the input
 PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587)  # the largest below 2^31; products fit 62 bits
 BASES = (911_382_323, 972_663_749, 1_370_589_211)
@@ -146,16 +146,31 @@ def _lang_hash(lang: str) -> int:
     return int.from_bytes(lang.encode()[:7].ljust(7, b"~"), "little") * 0x2545F4914F6CDD1D & ((1 << 64) - 1)
 
 
-_COUNTED = "lang string, fp long, clo int, chi int, p long, q long, m long"
+_COUNTED = "lang string, fp long, check int, p long, q long, m long"
+
+
+def _compact(entries: list[np.ndarray]) -> list[np.ndarray]:
+    """Entries ``fp, check, p, q, m`` with one row for each fingerprint and check; its pointer is that of one occurrence."""
+    fp, check, p, q, m = entries
+    order = np.argsort(fp, kind="stable")
+    f, k = fp[order], check[order]
+    head = np.concatenate(([True], f[1:] != f[:-1]))
+    if ((f[1:] == f[:-1]) & (k[1:] != k[:-1])).any():  # two phrases under one fingerprint
+        order = np.lexsort((check, fp))
+        f, k = fp[order], check[order]
+        head = np.concatenate(([True], (f[1:] != f[:-1]) | (k[1:] != k[:-1])))
+    at = np.flatnonzero(head)
+    one = order[at]
+    return [f[at], k[at], p[one], q[one], np.add.reduceat(m[order], at)]
 
 
 def _counter(n: int, primes: tuple[int, ...], sieve=None):
-    """Rows of ``_COUNTED`` per task: a fingerprint's count, least and greatest check, and a pointer. Fingerprint -1 counts words."""
+    """Rows of ``_COUNTED`` per task: a fingerprint's count, its check and a pointer. Fingerprint -1 counts words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(primes)
         bits = None if sieve is None else np.frombuffer(sieve.value, dtype=np.uint8)
-        held: dict[str, list] = {}
+        held: dict[str, list[list[np.ndarray]]] = {}
         words: dict[str, int] = {}
         n_held = 0
 
@@ -172,24 +187,23 @@ def _counter(n: int, primes: tuple[int, ...], sieve=None):
             if n == 1:
                 words[lang] = words.get(lang, 0) + count
             if len(fp):
-                held.setdefault(lang, []).append((fp, check.astype(np.int32), base[part], (start + offset[part]) << 31 | (end - start)))
+                held.setdefault(lang, []).append([fp, check.astype(np.int32), base[part], (start + offset[part]) << 31 | (end - start), np.ones(len(fp), dtype=np.int64)])
                 n_held += len(fp)
 
-        def counted() -> Iterator[pd.DataFrame]:
+        def counted(everything: bool) -> Iterator[pd.DataFrame]:
+            """Counts what is held; counts that repeat much stay for the next round, others leave."""
             nonlocal n_held
-            for lang, chunks in held.items():
-                fp, check, p, q = (np.concatenate([c[i] for c in chunks]) for i in range(4))
-                order = np.argsort(fp, kind="stable")
-                fp, check = fp[order], check[order]
-                head = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
-                if (np.minimum.reduceat(check, head) != np.maximum.reduceat(check, head)).any():  # two phrases, two rows
-                    order = order[np.lexsort((check, fp))]
-                    fp, check = np.concatenate([c[0] for c in chunks])[order], np.concatenate([c[1] for c in chunks])[order]
-                    head = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1]))))
-                one = order[head]
-                yield pd.DataFrame({"lang": lang, "fp": fp[head], "clo": check[head], "chi": check[head], "p": p[one], "q": q[one], "m": np.diff(np.append(head, len(fp)))})
-            held.clear()
             n_held = 0
+            for lang in list(held):
+                entries = _compact([np.concatenate(x) for x in zip(*held.pop(lang))])
+                if not everything and len(held) < KEPT_LANGS and len(entries[0]) <= ENTRIES // 2:
+                    held[lang] = [entries]
+                    n_held += len(entries[0])
+                    continue
+                for i in range(0, len(entries[0]), ROWS_OUT):
+                    yield pd.DataFrame({"lang": lang, **{c: x[i:i + ROWS_OUT] for c, x in zip(("fp", "check", "p", "q", "m"), entries)}})
+            if n_held > ENTRIES // 2:
+                yield from counted(True)
 
         for pdf in batches:
             for lang, rows in pdf.groupby("lang", sort=False):
@@ -200,23 +214,26 @@ def _counter(n: int, primes: tuple[int, ...], sieve=None):
                             add(lang, parts, pointers)
                             parts, pointers, size = [], [], 0
                             if n_held > ENTRIES:
-                                yield from counted()
+                                yield from counted(False)
                         parts.append((data, own))
                         pointers.append((p, offset))
                         size += len(data) + 1
                 if parts:
                     add(lang, parts, pointers)
                 if n_held > ENTRIES:
-                    yield from counted()
-        yield from counted()
+                    yield from counted(False)
+        yield from counted(True)
         if words:
-            yield pd.DataFrame({"lang": list(words), "fp": -1, "clo": 0, "chi": 0, "p": 0, "q": 0, "m": list(words.values())})
+            yield pd.DataFrame({"lang": list(words), "fp": -1, "check": 0, "p": 0, "q": 0, "m": list(words.values())})
 
     return run
 
 
-def _added(rows: DataFrame, *by: str | Column) -> DataFrame:
-    return rows.groupBy(*by).agg(F.min("clo").alias("clo"), F.max("chi").alias("chi"), F.min_by("q", "p").alias("q"), F.min("p").alias("p"), F.sum("m").alias("m")).select("lang", "fp", "clo", "chi", "p", "q", "m")
+def _added(rows: DataFrame, *by: str) -> DataFrame:
+    """Sums by fingerprint. Tasks have counted what they hold, so rows are dealt out before Spark adds them up, as another count on
+    their side would find little to add and take much memory."""
+    sums = rows.repartition("lang", "fp").groupBy(*by).agg(F.min("check").alias("clo"), F.max("check").alias("chi"), F.min_by("q", "p").alias("q"), F.min("p").alias("p"), F.sum("m").alias("m"))
+    return sums.select("lang", "fp", "clo", "chi", "p", "q", "m")
 
 
 def _sieve(frequent: DataFrame) -> bytes:
@@ -278,7 +295,7 @@ def frequent_phrases(docs: DataFrame, least: int = 10, text: str = "text", key:
         found = found.filter("fp >= 0")
         clash = found.filter("clo <> chi").select("lang", "fp")
         if not clash.isEmpty():
-            again = _added(counted.join(sent(clash), ["lang", "fp"], "left_semi"), "lang", "fp", F.col("clo").alias("check")).filter(F.col("m") >= least)
+            again = _added(counted.join(sent(clash), ["lang", "fp"], "left_semi"), "lang", "fp", "check").filter(F.col("m") >= least)
             tables.append(materialize(again))
             tables.append(found.filter("clo = chi"))
         else:
