@@ -40,6 +40,7 @@ LONGEST = 3
 SLICE = 1 << 19  # bytes hashed at a time
 ENTRIES, ROWS_OUT, KEPT_LANGS = 500_000, 100_000, 1_000  # phrases that a task holds before it counts them; rows that leave at a time
 FILTER_BITS = 27  # of the number of bits of a filter: 16 MB, whatever the input
+BLOCK_WORDS = 1 << 12  # 64-bit words of a filter that come to the driver in one row
 PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587)  # the largest below 2^31; products fit 62 bits
 BASES = (911_382_323, 972_663_749, 1_370_589_211)
 
@@ -252,11 +253,16 @@ def _sieve(frequent: DataFrame) -> bytes:
             if len(at):
                 yield pd.DataFrame({"w": at, "bits": whole[at]})
 
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """At most ``BLOCK_WORDS`` rows as one string of bytes."""
+        block = np.zeros(BLOCK_WORDS, dtype=np.int64)
+        block[pdf["w"].to_numpy() % BLOCK_WORDS] = pdf["bits"].to_numpy()
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [block.tobytes()]})
+
     rows = frequent.select("lang", "fp").mapInPandas(mark, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits"))
-    whole = np.zeros(words, dtype=np.int64)
-    pdf = rows.toPandas()  # at most 2^(FILTER_BITS - 6) rows, whatever the input
-    whole[pdf["w"].to_numpy()] = pdf["bits"].to_numpy()
-    return whole.tobytes()
+    blocks = rows.withColumn("block", F.expr(f"cast(w div {BLOCK_WORDS} as int)")).groupBy("block").applyInPandas(packed, "block int, bits binary")
+    found = {r["block"]: bytes(r["bits"]) for r in blocks.collect()}  # the filter's own size, whatever the input
+    return b"".join(found.get(i, bytes(8 * BLOCK_WORDS)) for i in range(words // BLOCK_WORDS))
 
 
 def _read_back(docs: DataFrame, frequent: DataFrame, primes: tuple[int, ...]) -> DataFrame:
