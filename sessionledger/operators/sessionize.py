@@ -310,6 +310,25 @@ def hook_slot(event_name: Column) -> Column:
     )
 
 
+def place_hooks(lines: DataFrame, g: Groups) -> DataFrame:
+    """Hooks with the round and the call they belong to. Input: lines of :func:`assign_calls` with ``event_name, tokens_est``.
+
+    A hook inside an open round goes to the call in progress (``place`` call), unless it stands with the user's prompt (user) or
+    no call has begun (before_llm, and after for hooks that answer the user). A hook between two rounds waits for the next one;
+    while there is none it is pending. Only hooks on a call that do not end it can reach the model: ``to_llm_tokens``.
+    """
+    act = F.when(c("kind").isin(ROUND_KINDS), 1)
+    d = g.sub("round_no").running(lines, {"__before": Run("count", act), "__after": Run("count", act, "after")})
+    d = d.filter(c("kind") == HOOK).withColumn("slot", hook_slot(c("event_name")))
+    in_call = (c("__before") > 0) & (c("call_no") > 0) & (c("slot") != "user")
+    known = (c("__before") > 0) | (c("__after") > 0)
+    place = F.when(~known, "pending").when(c("slot") == "user", "user").when(in_call, "call").when(c("slot") == "to_user", "after").otherwise("before_llm")
+    ends = F.lower(F.coalesce("event_name", F.lit("hook"))).isin("stop", "session_stop", "agent_stop")
+    return d.withColumns({
+        "place": place, "round_no": F.when(known, c("round_no")), "call_no": F.when(in_call, c("call_no")),
+        "to_llm_tokens": F.when(in_call & ~ends, c("tokens_est")).otherwise(0).cast("long")}).drop("__before", "__after")
+
+
 def hook_totals(hooks: DataFrame, keys: list[str]) -> DataFrame:
     """Elapsed time and token size of hooks, and the share that can reach the model."""
     ev = F.lower(F.coalesce("event_name", F.lit("hook")))

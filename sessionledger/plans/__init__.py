@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pricing", "period", "sessionize", "text", "session", "allocation", "event", "segment", "streaming", "store"]
+MODULES = ["pricing", "period", "sessionize", "text", "session", "allocation", "event", "segment", "log", "streaming", "store"]
 
 
 def load_all():

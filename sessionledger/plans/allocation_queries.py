@@ -96,16 +96,21 @@ def capped_amounts(spark, sf):
 
 
 # ---- reconstruction -------------------------------------------------------------------
-b.VIEWS["v_facts"] = f"""
+def facts_sql(calls: str) -> str:
+    """Twin of ``reconstruct.round_facts`` over any calls with the columns of the bound ones."""
+    return f"""
   SELECT *, prior IS NULL OR prior <= 0 AS cold, reread IS NOT NULL AS missed, i = n AS is_last, user_unc AS user_i, coalesce(reread, 0) AS reread_i,
     greatest(off_in - least(off_cache, off_in), 0) AS off_unc,
     lag("end") OVER ({P} ORDER BY call_no) AS prev_end, lag(w_thought + w_enc + w_emit + w_message) OVER ({P} ORDER BY call_no) AS prev_out,
     lag(w_harness) OVER ({P} ORDER BY call_no) AS prev_h
-  FROM (SELECT *, row_number() OVER ({P} ORDER BY call_no) AS i, count(*) OVER ({P}) AS n FROM (
+  FROM (SELECT *, row_number() OVER ({P} ORDER BY call_no) AS i, count(*) OVER ({P}) AS n FROM ({calls}))"""
+
+
+b.VIEWS["v_facts"] = facts_sql("""
     SELECT round_id, call_no, session_id, start, start + weight * 13 AS "end", w_thought, w_message, w_emit, w_enc, w_tool * 3 AS w_harness, off_in,
       off_in * (round_id % 100) // 100 AS off_cache, CASE WHEN round_id % 5 = 0 THEN 20 ELSE 100 + round_id % 700 END AS off_out,
       CASE WHEN round_id % 4 <> 0 THEN off_in // 3 END AS prior, CASE WHEN round_id % 7 = 0 THEN off_in // 5 END AS reread,
-      round_id % 50 AS user_unc, round_id % 900 AS system_unc, CASE WHEN round_id % 3 = 0 THEN '4.6' ELSE '4.5' END AS family FROM v_calls))"""
+      round_id % 50 AS user_unc, round_id % 900 AS system_unc, CASE WHEN round_id % 3 = 0 THEN '4.6' ELSE '4.5' END AS family FROM v_calls""")
 
 
 def recon_calls(spark, sf):
@@ -158,7 +163,7 @@ _o4 = down_sql(f"({_o3})", "r1", "r0", "ths")
 _o5 = down_sql(f"(SELECT *, sum(r0) OVER ({P}) AS rs, sum(e0) OVER ({P}) AS es FROM ({_o4}))", "o_emit", "e0", "greatest(ths - rs, 0)")
 _o6 = down_sql(f"({_o5})", "o_message", "m0", "greatest(ths - rs - es, 0)")
 _o7 = split_sql(f"(SELECT *, sum(r1 + o_emit + o_message) OVER ({P}) AS got FROM ({_o6}))", "back", "sc", "off_out - got")
-b.VIEWS["v_outputs"] = f"""SELECT * EXCLUDE (fixed, encs, ths, bag, pm, m0, e0, sc, r0, r1, rs, es, got, back), w_thought AS o_thought, r1 + back AS o_reason,
+b.VIEWS["v_outputs"] = f"""SELECT * EXCLUDE (fixed, encs, ths, bag, pm, m0, e0, sc, r0, r1, rs, es, got, back), CASE WHEN off_out > 0 THEN w_thought ELSE 0 END AS o_thought, r1 + back AS o_reason,
    r1 + back + o_emit + o_message AS output FROM ({_o7})"""
 
 
@@ -213,10 +218,14 @@ _SUMS = {"input_tokens": "input", "uncached_tokens": "paid", "cached_tokens": "c
          "out_in_tokens": "out_in", "out_to_harness_tokens": "o_emit", "out_to_user_tokens": "o_message", "reasoning_tokens": "o_reason", "thought_tokens": "o_thought"}
 _USD = {"harness_usd": "in_usd", "paid_usd": "paid_usd", "cached_usd": "cache_usd", "output_usd": "out_usd", "out_to_harness_usd": "emit_usd", "out_to_user_usd": "message_usd",
         "reasoning_usd": "reason_usd", "thought_usd": "thought_usd", "api_usd": "api_usd", "out_in_usd": "out_in_usd"}
-b.VIEWS["v_breakdown"] = f"""SELECT round_id, any_value(session_id) AS session_id, any_value(family) AS family, count(*) AS calls, {', '.join(f'CAST(sum({v}) AS BIGINT) AS {k}' for k, v in _SUMS.items())},
+def breakdown_sql() -> str:
+    return f"""SELECT round_id, any_value(session_id) AS session_id, any_value(family) AS family, count(*) AS calls, {', '.join(f'CAST(sum({v}) AS BIGINT) AS {k}' for k, v in _SUMS.items())},
   max(cache_omitted) AS cache_omitted, max(user_cache_share) AS user_cache_share, CAST(max(user_reserved) AS BIGINT) AS user_reserved, bool_or(cold) AS cold, bool_or(missed) AS missed, max(prior) AS prior,
   max(reread) AS reread, max(off_in) AS off_in, max(off_cache) AS off_cache, max(user_unc) AS user_unc, max(system_unc) AS system_unc, max("end") AS context_end, min(CASE WHEN i = 1 THEN start END) AS start0,
   max(CASE WHEN is_last THEN o_thought + o_reason + o_message END) AS answer, {', '.join(f'sum({v}) AS {k}' for k, v in _USD.items())} FROM v_recon GROUP BY round_id"""
+
+
+b.VIEWS["v_breakdown"] = breakdown_sql()
 _BCOLS = ["calls", *_SUMS, "cache_omitted", "user_cache_share", "user_reserved", "cold"]
 
 

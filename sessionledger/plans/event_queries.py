@@ -21,7 +21,9 @@ b.VIEWS["v_miss_in"] = """
     prior, prior + (o_custkey % 50) * 900 AS context_end, CASE WHEN o_orderkey % 37 <> 0 THEN prior * (o_orderkey % 13) // 10 END AS start0,
     CASE WHEN o_orderkey % 41 <> 0 THEN (o_orderkey % 40) * 60000 END AS idle_gap_ms, o_orderkey % 300 AS user_new, o_custkey % 600 AS user_chars
   FROM (SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS off_in, (o_custkey % 97) * 1500 AS prior FROM orders)"""
-b.VIEWS["v_miss"] = """
+def miss_sql(rounds: str) -> str:
+    """Twin of ``anomaly.detect_miss`` over rounds of any source."""
+    return f"""
   SELECT *, CASE WHEN miss_kind IS NOT NULL THEN least(prior, extra) END AS reread FROM (
   SELECT *, CASE WHEN completed AND NOT is_first AND off_in > 0 AND prior >= 1000 AND coalesce(start0 >= floor(prior * 0.5), true) THEN CASE
       WHEN off_cache < floor(prior * 0.15) AND off_unc >= floor(prior * 0.5) THEN 'classic_cache_miss'
@@ -29,7 +31,10 @@ b.VIEWS["v_miss"] = """
       WHEN holds AND extra >= floor(prior * 0.7) AND off_unc >= floor(prior * 0.7) AND growth < floor(prior * 0.4) THEN 'first_call_reread'
       WHEN idle_gap_ms >= 1200000 AND extra >= floor(prior * 0.5) AND growth < floor(prior * 0.3) AND start0 >= floor(prior * 0.5) THEN 'idle_context_reread' END END AS miss_kind
   FROM (SELECT *, greatest(off_unc - growth, 0) AS extra, coalesce(start0 >= floor(prior * 0.85), false) AS holds
-    FROM (SELECT *, greatest(off_in - least(off_cache, off_in), 0) AS off_unc, greatest(context_end - prior, 0) AS growth FROM v_miss_in)))"""
+    FROM (SELECT *, greatest(off_in - least(off_cache, off_in), 0) AS off_unc, greatest(context_end - prior, 0) AS growth FROM {rounds})))"""
+
+
+b.VIEWS["v_miss"] = miss_sql("v_miss_in")
 
 
 def miss_in(spark, sf):

@@ -135,12 +135,13 @@ def context_cursor(spark, sf):
         "session_id", "line_no", "round_no", "call_no", "call_start", "cursor", "emit_delta", "tool_delta", "moved_to")
 
 
-b.VIEWS["v_tools"] = f"""
+b.VIEWS["v_owned"] = f"""
+  SELECT *, CASE WHEN declares = 1 THEN tool_no ELSE coalesce(last_value(CASE WHEN declares = 1 THEN tool_no END IGNORE NULLS)
+      OVER (PARTITION BY session_id, round_no, call_no, tool_call_id {UPTO}), tool_no) END AS owner FROM v_cursor WHERE is_tool"""
+b.VIEWS["v_tools"] = """
   SELECT session_id, round_no, call_no, owner AS tool_no, min(line_no) AS line_no, arg_min(tool_call_id, line_no) AS tool_call_id,
     CAST(sum(tool_delta) AS BIGINT) AS tool_delta, count(*) FILTER (declares = 0) AS updates
-  FROM (SELECT *, CASE WHEN declares = 1 THEN tool_no ELSE coalesce(last_value(CASE WHEN declares = 1 THEN tool_no END IGNORE NULLS)
-      OVER (PARTITION BY session_id, round_no, call_no, tool_call_id {UPTO}), tool_no) END AS owner FROM v_cursor WHERE is_tool)
-  GROUP BY ALL"""
+  FROM v_owned GROUP BY ALL"""
 
 
 @query("tool_results", "J1 A8", "SELECT * FROM v_tools")
