@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionledger.llm.common import sent
+from sessionledger.llm.common import SENT_ROWS, sent
 from sessionledger.session import materialize
 
 UNKNOWN = "und"
@@ -267,8 +267,10 @@ def _sieve(frequent: DataFrame) -> bytes:
 
 def _read_back(docs: DataFrame, frequent: DataFrame, primes: tuple[int, ...]) -> DataFrame:
     """``lang, phrase, a`` of ``frequent``: texts at its pointers, checked against the fingerprints."""
+    frequent = materialize(frequent)
     wanted = frequent.groupBy("p").agg(F.collect_list(F.struct("lang", "fp", "clo", "q", "m")).alias("found"))  # at most a text's own phrases
-    held = docs.join(sent(materialize(wanted)), "p").dropDuplicates(["p"])
+    few = frequent.count() <= SENT_ROWS  # counted in phrases, as a text may hold many
+    held = docs.join(F.broadcast(wanted) if few else wanted, "p").dropDuplicates(["p"])
 
     one = held.select(F.inline(F.array(F.struct(_normal_column(F.col("t")).alias("data"), F.col("found")))))
     spans = one.select("data", F.inline("found"))
