@@ -86,17 +86,31 @@ def compaction_cards(events: DataFrame) -> DataFrame:
 def deferred_reload(first_calls: DataFrame) -> DataFrame:
     """Tokens the first call after a compaction pays to load tools and system text again.
 
-    Needs ``emit_delta, arg_tokens, caused_in, tool_in`` of that call. They move from the call
-    to the compaction.
+    Needs ``emit_delta, arg_tokens, caused_in, tool_in`` of that call, and uses ``residual_in``, input that no tool or answer
+    explains, where it is given: such input is the reload. They move from the call to the compaction.
     """
     arg = floor0(c("arg_tokens"))
     big = c("emit_delta") > F.greatest(arg, F.lit(1)) * 3
     raw = F.when(big, floor0(c("emit_delta") - arg)).otherwise(floor0(c("caused_in") - c("tool_in")))
+    if "residual_in" in first_calls.columns:
+        raw = F.when(c("residual_in") > 0, c("residual_in")).otherwise(raw)
     reload = F.when(c("caused_in") > 0, F.least(raw, c("caused_in"))).otherwise(raw)
     return first_calls.withColumn("reload_tokens", reload.cast("long")).withColumn(
         "call_in_left", floor0(c("caused_in") - c("reload_tokens")).cast("long"))
 
 
+def reprice_after_reload(first_calls: DataFrame) -> DataFrame:
+    """Dollars of a :func:`deferred_reload`: the reload at the tier of the new window, the call without it at the tier of its own prompt.
+
+    Needs ``paid, input, cache_usd, out_usd, family`` of the call and ``tokens_before, tokens_after`` of the compaction.
+    """
+    after = F.coalesce(*[F.when(c(x) > 0, c(x)) for x in ("tokens_after", "tokens_before")], F.lit(1))
+    peak = F.coalesce(F.when(c("input") > 0, c("input")), after)
+    d = first_calls.withColumns({"reload_usd": p.price_tokens("input", c("reload_tokens"), c("family"), after), "paid_left": floor0(c("paid") - c("reload_tokens")).cast("long")})
+    d = d.withColumns({"in_usd_left": p.price_tokens("input", c("call_in_left"), c("family"), peak), "paid_usd_left": p.price_tokens("input", c("paid_left"), c("family"), peak)})
+    return d.withColumn("call_usd_left", c("in_usd_left") + c("cache_usd") + c("out_usd"))
+
+
 def context_as_of(lines: DataFrame, g: Groups) -> DataFrame:
     """Context size in force at each line: the last one seen, or what a compaction left."""
     from sessionledger.operators.sessionize import CALL_KINDS, COMPACT

@@ -17,7 +17,7 @@ from sessionledger.functions.text import tokens_of_chars
 from sessionledger.operators import reconstruct as r
 from sessionledger.operators import sessionize as s
 from sessionledger.operators.allocate import floor0, split_exact
-from sessionledger.operators.anomaly import detect_miss
+from sessionledger.operators.anomaly import attach_cards, compaction_cards, deferred_reload, detect_miss, reprice_after_reload
 from sessionledger.operators.grouping import Groups, skew_safe
 from sessionledger.session import materialize
 
@@ -154,3 +154,21 @@ def phase_tree(calls: DataFrame, items: DataFrame) -> DataFrame:
     rows = F.array(node("tool_request", 0, 4, c("request_w"), c("request"), share, tool), node("tool", 1, 2, c("est"), c("tokens"), usd, tool), node("hook", 1, 3, c("est"), c("tokens"), usd, ~tool))
     lines = items.select(*CALL, "name", "line_no", F.explode(rows).alias("x")).select(*CALL, "name", "line_no", "x.*").filter("shown").drop("shown")
     return flat.unionByName(lines)
+
+
+def compaction_bills(lines: DataFrame, book: Ledger, calls: DataFrame, items: DataFrame) -> DataFrame:
+    """Compactions between two rounds with what they cost: the window read once more, the history written, and the reload that the
+    first call of the next round paid, which moves from that call to the compaction.
+
+    ``lines`` carry ``tokens_before, tokens_after``. Of several compactions before a round the last one counts.
+    """
+    cards = s.by_session(lines, attach_cards).filter((c("kind") == s.COMPACT) & c("before_round").isNotNull())
+    last = cards.groupBy("session_id", c("before_round").alias("round_no")).agg(
+        F.max_by(F.struct("line_no", "agent_ms", "tokens_before", "tokens_after"), "line_no").alias("x")).select(*ROUND, "x.*")
+    missed = book.rounds.select("session_id", (c("round_no") + 1).alias("round_no"), c("miss_kind").isNotNull().alias("prev_missed"))
+    explained = items.groupBy(*CALL).agg(F.sum("tokens").alias("explained"))
+    first = calls.filter("i = 1").join(explained, CALL, "left").withColumns({
+        "caused_in": c("harness_in"), "tool_in": c("tool_pool"), "residual_in": floor0(c("harness_in") - c("out_in") - F.coalesce("explained", F.lit(0)))})
+    first = first.select(*ROUND, "emit_delta", "arg_tokens", "caused_in", "tool_in", "residual_in", "paid", "input", "cache_usd", "out_usd", "family")
+    d = last.join(first, ROUND).join(missed, ROUND, "left").withColumn("prev_missed", F.coalesce("prev_missed", F.lit(False)))
+    return compaction_cards(reprice_after_reload(deferred_reload(d)).withColumnRenamed("out_usd", "call_out_usd"))

@@ -148,10 +148,12 @@ b.VIEWS["v_log_tree"] = " UNION ALL ".join([
 TREE = ["session_id", "round_no", "call_no", "phase", "rank", "line_no", "kind", "name", "est_tokens", "tokens"]
 
 
-def tree_nodes(book, calls):
-    items = skew_safe(calls.select(*bills.CALL, "o_emit", "emit_usd", "tools_in", "tier_ctx", "family"), bills.CALL, "call_no",
+def tree_items(book, calls):
+    return skew_safe(calls.select(*bills.CALL, "o_emit", "emit_usd", "tools_in", "tier_ctx", "family"), bills.CALL, "call_no",
                       lambda x, g: bills.harness_items(x, book.tools, book.hooks, g.reorder("line_no")), mode="plain")
-    return bills.phase_tree(calls, items)
+
+def tree_nodes(book, calls):
+    return bills.phase_tree(calls, tree_items(book, calls))
 
 
 @query("call_phase_tree", "L18 L17", f"SELECT {', '.join(TREE)}, {b.r8('usd')} AS usd FROM v_log_tree")
@@ -161,6 +163,40 @@ def call_phase_tree(spark, sf):
     return tree_nodes(book, calls).select(*TREE, p.gold(c("usd"), 8).alias("usd"))
 
 
+_AFTER = "CASE WHEN tokens_after > 0 THEN tokens_after WHEN tokens_before > 0 THEN tokens_before ELSE 1 END"
+_RATE = "(SELECT ri FROM rate_card r WHERE r.family = x.family AND {0} > r.lo AND {0} <= r.hi)"
+b.VIEWS["v_log_reloads"] = f"""
+  SELECT *, CASE WHEN reload_tokens > 0 THEN reload_tokens * rate_after / 1e6 ELSE 0.0 END AS reload_usd, CASE WHEN left_in > 0 THEN left_in * rate_call / 1e6 ELSE 0.0 END AS in_usd_left,
+    CASE WHEN left_in > 0 THEN left_in * rate_call / 1e6 ELSE 0.0 END + cache_usd + out_usd AS call_usd_left
+  FROM (SELECT *, greatest(harness_in - reload_tokens, 0) AS left_in, greatest(paid - reload_tokens, 0) AS paid_left
+    FROM (SELECT *, CASE WHEN harness_in > 0 THEN least(raw, harness_in) ELSE raw END AS reload_tokens
+      FROM (SELECT x.*, CASE WHEN residual > 0 THEN residual WHEN emit_delta > greatest(arg_tokens, 1) * 3 THEN greatest(emit_delta - arg_tokens, 0) ELSE greatest(harness_in - tool_pool, 0) END AS raw,
+          r1.ri AS rate_after, r2.ri AS rate_call
+        FROM (SELECT *, {_AFTER} AS after_, CASE WHEN input > 0 THEN input ELSE {_AFTER} END AS peak_ FROM (
+          SELECT c.session_id, c.round_no, c.line_no, c.tokens_before, c.tokens_after, f.* EXCLUDE (session_id, round_no), coalesce(m.miss_kind IS NOT NULL, false) AS prev_missed,
+            greatest(f.harness_in - f.out_in - coalesce(e.explained, 0), 0) AS residual
+          FROM (SELECT s.session_id, s.before_round AS round_no, max(s.line_no) AS line_no, arg_max(k * 3000, s.line_no) AS tokens_before, arg_max_null(tokens_after, s.line_no) AS tokens_after
+            FROM ({eq.SIDE_SQL}) s JOIN v_updates u ON u.session_id = s.session_id AND u.line_no = s.line_no WHERE s.kind = 'auto_compact_completed' AND before_round IS NOT NULL GROUP BY ALL) c
+          JOIN (SELECT session_id, round_no, call_no, emit_delta, arg_tokens, harness_in, out_in, tool_pool, paid, input, cache_usd, out_usd, family FROM v_log_recon WHERE i = 1) f ON f.session_id = c.session_id AND f.round_no = c.round_no
+          LEFT JOIN (SELECT session_id, round_no, call_no, sum(tokens) AS explained FROM v_log_items GROUP BY ALL) e ON e.session_id = f.session_id AND e.round_no = f.round_no AND e.call_no = f.call_no
+          LEFT JOIN v_log_rounds m ON m.session_id = c.session_id AND m.round_no = c.round_no - 1)) x
+        JOIN rate_card r1 ON r1.family = x.family AND after_ > r1.lo AND after_ <= r1.hi JOIN rate_card r2 ON r2.family = x.family AND peak_ > r2.lo AND peak_ <= r2.hi)))"""
+RELOAD = ["session_id", "line_no", "round_no", "reload_tokens", "pre_in_tokens", "pre_cached_tokens", "out_tokens"]
+
+
+@query("log_compaction_bills", "D4 D3", f"""
+SELECT session_id, line_no, round_no, CAST(reload_tokens AS BIGINT) AS reload_tokens, CASE WHEN prev_missed THEN tokens_before ELSE 0 END AS pre_in_tokens, CASE WHEN prev_missed THEN 0 ELSE tokens_before END AS pre_cached_tokens,
+  CAST(CASE WHEN tokens_after > 0 THEN greatest(1, tokens_after - reload_tokens) ELSE 0 END AS BIGINT) AS out_tokens, CAST(left_in AS BIGINT) AS call_in_left, CAST(paid_left AS BIGINT) AS paid_left,
+  {b.r8('reload_usd')} AS reload_usd, {b.r8('in_usd_left')} AS in_usd_left, {b.r8('call_usd_left')} AS call_usd_left FROM v_log_reloads""")
+def log_compaction_bills(spark, sf):
+    """Compactions of the log with the reload that moves to them from the next round's first call, which is priced again."""
+    lines = log_lines(spark, sf).withColumn("tokens_before", F.when(c("kind") == s.COMPACT, c("k") * 3000))
+    book = bills.ledger(lines)
+    calls = bills.priced_calls(book)
+    d = bills.compaction_bills(lines, book, calls, tree_items(book, calls))
+    return d.select(*RELOAD, "call_in_left", "paid_left", *[p.gold(c(x), 8).alias(x) for x in ("reload_usd", "in_usd_left", "call_usd_left")])
+
+
 # ---- stacks per bucket ----------------------------------------------------------------------
 _SIDE = "SELECT key, k, label, usd, tok, agent_ms AS event_ms FROM v_side_segs WHERE stack = 'parts'"
 _BUCKETS = f"""SELECT key, CASE WHEN grouping(bucket_ms) = 0 THEN bucket_ms END AS bucket_ms, any_value(k) AS k, any_value(label) AS label, sum(usd) AS usd, sum(tok) AS tok

@@ -63,3 +63,24 @@ def test_hook_places(spark, groups):
     got = {r.line_no: (r.place, r.round_no, r.call_no, r.to_llm_tokens) for r in d.collect()}
     assert got == {1: ("user", 1, None, 0), 3: ("before_llm", 1, None, 0), 5: ("call", 1, 1, 50), 6: ("call", 1, 1, 0), 7: ("call", 1, 1, 70), 9: ("after", 2, None, 0), 10: ("user", 2, None, 0),
                    12: ("before_llm", 2, None, 0), 14: ("pending", None, None, 0)}
+
+
+def test_reload_moves_from_call_to_compaction(spark, book):
+    full, calls, _ = book
+    lines = lq.log_lines(spark, SMALL).withColumn("tokens_before", F.when(c("kind") == s.COMPACT, c("k") * 3000))
+    rows = bills.compaction_bills(lines, full, calls, lq.tree_items(full, calls)).collect()
+    for r in rows:
+        assert r.caused_in == 0 or r.call_in_left + r.reload_tokens == r.caused_in
+        assert r.pre_in_tokens + r.pre_cached_tokens == r.tokens_before and r.call_usd_left == r.in_usd_left + r.cache_usd + r.call_out_usd
+
+
+def test_residual_input_is_the_reload(spark):
+    """Input that nothing explains comes first, then what was emitted beyond the arguments, then what tools leave."""
+    from sessionledger.operators.anomaly import deferred_reload, reprice_after_reload
+
+    rows = [(1, 500, 10, 900, 100, 300), (2, 500, 10, 900, 100, 0), (3, 20, 10, 900, 100, 0), (4, 500, 10, 200, 100, 0), (5, 20, 10, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "id int, emit_delta long, arg_tokens long, caused_in long, tool_in long, residual_in long").withColumns({
+        "paid": F.lit(1000), "input": F.lit(250_000), "cache_usd": F.lit(0.5), "out_usd": F.lit(0.25), "family": F.lit("4.5"), "tokens_before": F.lit(300_000), "tokens_after": F.lit(6_000)})
+    got = {r.id: r for r in reprice_after_reload(deferred_reload(df)).collect()}
+    assert {i: (r.reload_tokens, r.call_in_left, r.paid_left) for i, r in got.items()} == {1: (300, 600, 700), 2: (490, 410, 510), 3: (800, 100, 200), 4: (200, 0, 800), 5: (0, 0, 1000)}
+    assert got[1].reload_usd == pytest.approx(300 * 2 / 1e6) and got[1].in_usd_left == pytest.approx(600 * 4 / 1e6) and got[1].call_usd_left == pytest.approx(600 * 4 / 1e6 + 0.75)
