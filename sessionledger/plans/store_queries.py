@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from sessionledger.functions import logline as ll
 from sessionledger.operators import sessionize as s
 from sessionledger.plans import binding as b
+from sessionledger.plans.allocation_queries import split_sql
 from sessionledger.plans.registry import query
 from sessionledger.session import scratch_dir
-from sessionledger.sources import store
+from sessionledger.sources import sqlfunctions, store
 
 c = F.col
 
@@ -58,6 +59,46 @@ def sql_surface(spark, sf):
     return spark.sql("SELECT session_id, count(*) AS turns, sum(input) AS input FROM ledger_turns WHERE agent_ms >= :since GROUP BY session_id", {"since": 1704844800000})
 
 
+def surface(spark, sf):
+    tables = {"turns": b.v_turns(spark, sf), "updates": b.v_updates(spark, sf), "sessions": b.v_sessions(spark, sf), "calls": b.v_calls(spark, sf)}
+    sqlfunctions.register(spark, tables)
+
+
+_SINCE, _UNTIL = 1704153600000, 1706745600000
+
+
+@query("sql_usage_buckets", "X3 J6 C1", f"""
+SELECT bucket_ms, s.is_child, count(*) AS turns, CAST(sum(inp - ca) AS BIGINT) AS tokens_in, CAST(sum(ca) AS BIGINT) AS tokens_cached, {b.r6('sum(li + lc + lo_usd)')} AS cost_usd
+FROM (SELECT *, {_SINCE} + (agent_ms - {_SINCE}) // 21600000 * 21600000 AS bucket_ms FROM v_rated WHERE agent_ms >= {_SINCE} AND agent_ms < {_UNTIL})
+JOIN (SELECT session_id, parent_id IS NOT NULL AS is_child FROM v_sessions) s USING (session_id) GROUP BY ALL""")
+def sql_usage_buckets(spark, sf):
+    """Written in SQL alone: turns priced and bucketed through the functions, joined with the sessions view."""
+    surface(spark, sf)
+    return spark.sql("""
+        SELECT ledger_bucket_start(t.event_ms, 21600000, :since) AS bucket_ms, s.parent_id IS NOT NULL AS is_child, count(*) AS turns, sum(t.tokens_in) AS tokens_in, sum(t.tokens_cached) AS tokens_cached,
+          round(sum(t.cost_usd) + 3.7e-11D, 6) AS cost_usd
+        FROM ledger_priced_turns(:since, :until) t JOIN ledger_sessions s ON s.session_id = t.session_id GROUP BY 1, 2""", {"since": _SINCE, "until": _UNTIL})
+
+
+@query("sql_remainders", "X3 L1", f"""
+SELECT round_id, call_no, x FROM ({split_sql('v_calls', 'x', 'weight', 'off_in')})""")
+def sql_remainders(spark, sf):
+    """Official input of a round over its few calls, by the SQL function."""
+    surface(spark, sf)
+    return spark.sql("""
+        SELECT round_id, call_no, ledger_largest_remainder(ws, off_in)[i] AS x FROM (
+          SELECT round_id, off_in, transform(calls, c -> cast(c.weight AS DOUBLE)) AS ws, posexplode(calls) AS (i, c) FROM (
+            SELECT round_id, max(off_in) AS off_in, array_sort(collect_list(struct(call_no, weight))) AS calls FROM ledger_calls GROUP BY round_id)) LATERAL VIEW explode(array(c.call_no)) AS call_no""")
+
+
+@query("sql_daily_usage", "X3 A4", f"""
+SELECT {_SINCE} + (agent_ms - {_SINCE}) // 86400000 * 86400000 AS bucket_ms, count(*) AS turns, CAST(sum(outp) AS BIGINT) AS tokens_out, {b.r6('sum(li + lc + lo_usd)')} AS cost_usd
+FROM v_rated WHERE agent_ms >= {_SINCE} AND agent_ms < {_UNTIL} GROUP BY 1""")
+def sql_daily_usage(spark, sf):
+    surface(spark, sf)
+    return spark.sql(f"SELECT bucket_ms, turns, tokens_out, round(cost_usd + 3.7e-11D, 6) AS cost_usd FROM ledger_usage_buckets({_SINCE}, {_UNTIL}, 86400000)")
+
+
 @query("tool_schema_sizes", "S8", """
 SELECT session_id, CASE WHEN session_id % 3 = 0 THEN session_id * 10 ELSE 0 END AS tool_tokens, CASE WHEN session_id % 3 = 0 THEN 7 ELSE 25 END AS tool_count, CASE WHEN session_id % 3 = 0 THEN 'file' ELSE 'default' END AS tool_source FROM v_sessions""")
 def tool_schema_sizes(spark, sf):
