@@ -20,18 +20,42 @@ BATCHES = 4
 FILE_ROWS = 200_000
 
 
-def line_stream(spark, sf, batches=1):
-    """The log as a stream; with ``batches`` it arrives in that many folders of files in order of time, one per micro-batch."""
+LATER_DAYS = 1_000
+
+
+def heartbeat(spark, table):
+    """Two log lines of no real session, long after all others: they move the watermark past every open window and waiting row."""
+    last = table.agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id")).withColumn("ts", c("ts") + F.expr(f"INTERVAL {LATER_DAYS} DAYS"))
+    rows = last.select("*", F.explode(F.array(
+        F.struct(F.lit(NOBODY + 4).alias("user_id"), F.lit("purchase").alias("event_type")), F.struct(F.lit(NOBODY + 3).alias("user_id"), F.lit("click").alias("event_type")))).alias("x"))
+    return rows.select(*[(F.coalesce(F.lit(None), c("x")[f.name]) if f.name in ("user_id", "event_type") else c(f.name) if f.name in ("ts", "event_id")
+                          else F.lit('{"k": 10}') if f.name == "props" else F.lit(1)).cast(f.dataType).alias(f.name) for f in table.schema])
+
+
+NOBODY = 5_000_000_000  # sessions from here on are heartbeats
+
+
+def line_stream(spark, sf, batches=1, closing=False):
+    """The log as a stream; with ``batches`` it arrives in that many folders of files in order of time, one per micro-batch.
+
+    With ``closing`` heartbeats come with the last lines, so what waits for the watermark is given out at the end of the log.
+    """
     table = b.table(spark, sf, "events")
     if batches == 1:
         events = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        if closing:
+            path = scratch_dir(spark)
+            heartbeat(spark, table).write.parquet(path)
+            events = events.unionByName(spark.readStream.schema(table.schema).parquet(path))
     else:
         path = scratch_dir(spark)
         lo, hi, rows = table.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
         files = rows // (batches * FILE_ROWS) + 1  # as many as the rows ask for; every micro-batch reads one folder's
         for i in range(batches):
             part = F.least(F.floor((c("event_id") - lo) * batches / (hi - lo + 1)), F.lit(batches - 1)) == i
-            table.filter(part).repartition(files).write.parquet(f"{path}/part={i}")
+            own = table.filter(part)
+            own = own.unionByName(heartbeat(spark, table)) if closing and i + 1 == batches else own
+            own.repartition(files).write.parquet(f"{path}/part={i}")
         events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")
     d = b.updates_of(events)
     return d.withColumns({"event_ts": F.timestamp_millis("agent_ms"), "source_file": F.lit("events")})
@@ -64,31 +88,30 @@ def streamed_side_events(spark, sf):
 
 
 @query("streamed_hour_buckets", "ST7 ST8 ST9", f"""
-SELECT bucket_ms, {SUMS_SQL} FROM (SELECT *, event_ms // 3600000 * 3600000 AS bucket_ms FROM v_priced) GROUP BY bucket_ms
-HAVING bucket_ms + 3600000 <= (SELECT max(agent_ms) - 600000 FROM v_turns)""")
+SELECT bucket_ms, {SUMS_SQL} FROM (SELECT *, event_ms // 3600000 * 3600000 AS bucket_ms FROM v_priced) GROUP BY bucket_ms""")
 def streamed_hour_buckets(spark, sf):
-    """Final hourly buckets: every hour the watermark has passed."""
+    """Final hourly buckets, the youngest too: the log is closed by a heartbeat."""
     from sessionledger.operators.period import rounded_usage
 
-    lines = live.once_per_line(line_stream(spark, sf).filter(c("kind") == "turn_completed"))
+    lines = live.once_per_line(line_stream(spark, sf, closing=True).filter(c("kind") == "turn_completed"))
     turns = p.price_turns(lines).filter(p.has_usage())
     return rounded_usage(live.run_to_table(live.bucket_stream(turns, "1 hour", delay=None), scratch_dir(spark)))
 
 
 @query("sliding_windows", "ST7", """
 SELECT w AS bucket_ms, count(*) AS turns, CAST(sum(tokens_in) AS BIGINT) AS tokens_in FROM (SELECT *, unnest([event_ms // 1800000 * 1800000, event_ms // 1800000 * 1800000 - 1800000]) AS w FROM v_priced)
-GROUP BY w HAVING w + 3600000 <= (SELECT max(agent_ms) - 600000 FROM v_turns)""")
+GROUP BY w""")
 def sliding_windows(spark, sf):
-    turns = p.price_turns(line_stream(spark, sf).filter(c("kind") == "turn_completed")).filter(p.has_usage())
+    turns = p.price_turns(line_stream(spark, sf, closing=True).filter(c("kind") == "turn_completed")).filter(p.has_usage())
     return live.run_to_table(live.bucket_stream(turns, "1 hour", "30 minutes"), scratch_dir(spark)).select("bucket_ms", "turns", "tokens_in")
 
 
 @query("activity_windows", "ST10", """
 WITH x AS (SELECT *, CASE WHEN agent_ms - lag(agent_ms) OVER (PARTITION BY session_id ORDER BY agent_ms) < 7200000 THEN 0 ELSE 1 END AS o FROM v_updates),
 y AS (SELECT *, sum(o) OVER (PARTITION BY session_id ORDER BY agent_ms) AS g FROM x)
-SELECT session_id, min(agent_ms) AS start_ms, max(agent_ms) + 7200000 AS end_ms, count(*) AS lines FROM y GROUP BY session_id, g HAVING max(agent_ms) + 7200000 <= (SELECT max(agent_ms) - 600000 FROM v_updates)""")
+SELECT session_id, min(agent_ms) AS start_ms, max(agent_ms) + 7200000 AS end_ms, count(*) AS lines FROM y GROUP BY session_id, g""")
 def activity_windows(spark, sf):
-    return live.run_to_table(live.activity_windows(line_stream(spark, sf), "2 hours"), scratch_dir(spark))
+    return live.run_to_table(live.activity_windows(line_stream(spark, sf, closing=True), "2 hours"), scratch_dir(spark))
 
 
 @query("live_gauges", "ST4 ST5", """
@@ -98,3 +121,15 @@ FROM v_updates JOIN v_sessions USING (session_id) GROUP BY session_id""")
 def live_gauges(spark, sf):
     d = live.run_to_table(live.gauges(line_stream(spark, sf, BATCHES)), scratch_dir(spark), "update", ("session_id",))
     return live.with_parents(d, b.v_sessions(spark, sf)).drop("parent_id")
+
+
+@query("streamed_child_bills", "ST5", """
+SELECT t.session_id AS child_id, w.parent_id, count(*) AS turns, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(ticks) AS BIGINT) AS ticks
+FROM v_turns t LEFT JOIN (SELECT DISTINCT session_id AS parent_id, child_id FROM v_waits) w ON w.child_id = t.session_id WHERE t.session_id % 5 = 4 GROUP BY ALL""")
+def streamed_child_bills(spark, sf):
+    """Bills of sub-agents under the sessions that spawned them, both found in one stream; bills come before their edge as often as after."""
+    lines = line_stream(spark, sf, BATCHES, closing=True)
+    bills = lines.filter((c("kind") == s.TURN) & (c("session_id") % 5 == 4)).select(c("session_id").alias("child_id"), "line_no", "input", "output", "ticks", "event_ts")
+    edges = lines.filter((c("kind") == "tool_call") & (c("k") % 10 == 0) & (c("session_id") % 5 == 3)).select((c("session_id") + 1).alias("child_id"), c("session_id").alias("parent_id"), "event_ts")
+    d = live.run_to_table(live.with_found_parents(bills, edges, "90 days"), scratch_dir(spark)).filter(c("child_id") < NOBODY)
+    return d.groupBy("child_id", "parent_id").agg(F.count("*").alias("turns"), *[F.sum(x).alias(x) for x in ("input", "output", "ticks")])

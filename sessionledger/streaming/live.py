@@ -36,7 +36,7 @@ def activity_windows(lines: DataFrame, gap: str = "10 minutes", delay: str = "10
 
 
 def gauges(lines: DataFrame) -> DataFrame:
-    """Latest state per session: context (the gauge file wins over the stream), last kind, prompt, tier."""
+    """Latest state per session from the stream: context, last kind, prompt, tier. Gauge files are not joined here."""
     at = c("line_no")
     d = lines.groupBy("session_id").agg(
         F.max_by("context_tokens", F.when(c("context_tokens").isNotNull(), at)).alias("context_stream"), F.max_by("kind", at).alias("last_kind"),
@@ -88,6 +88,18 @@ def with_parents(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(e, "session_id", "left").withColumn("billed_session", F.coalesce("parent_id", "session_id"))
 
 
+def with_found_parents(bills: DataFrame, edges: DataFrame, within: str) -> DataFrame:
+    """``bills`` (``child_id, event_ts, ..``) with the ``parent_id`` of an edge (``child_id, parent_id, event_ts``) that comes before or after them.
+
+    A bill waits in the state until an edge of its child shows up, at most for the time ``within`` around it; a bill that
+    found none is given out without a parent once the watermark says that none can come. An edge that is repeated counts once.
+    """
+    left = bills.withColumnRenamed("event_ts", "bill_ts").withWatermark("bill_ts", within)
+    right = edges.select(c("child_id").alias("__child"), "parent_id", c("event_ts").alias("edge_ts")).withWatermark("edge_ts", within).dropDuplicatesWithinWatermark(["__child", "parent_id"])
+    near = c("edge_ts").between(c("bill_ts") - F.expr(f"INTERVAL {within}"), c("bill_ts") + F.expr(f"INTERVAL {within}"))
+    return left.join(right, (c("child_id") == c("__child")) & near, "left_outer").drop("__child", "edge_ts")
+
+
 def run_to_table(stream: DataFrame, path: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Drain what is there and return the result table; in update mode the newest row of every ``keys``.
 
