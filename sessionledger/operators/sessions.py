@@ -102,6 +102,38 @@ def parent_edges(sessions: DataFrame, spawned: DataFrame) -> DataFrame:
         "session_id", F.coalesce("parent_id", "__named").alias("parent_id"))
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """``session_id, ancestor_id, depth`` for every session above a session, trees of any depth.
+
+    Pointer jumping: each round joins all pairs known with the pointers of twice the length, so a tree of depth d takes log2(d)
+    rounds. A session that comes to itself (a cycle of broken parents) is cut there: no session is its own ancestor, and depth is the
+    shortest way.
+    """
+    from sessionledger.session import materialize
+
+    up = edges.filter(c("parent_id").isNotNull() & (c("parent_id") != c("session_id")))
+    pairs = materialize(up.select("session_id", c("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")).distinct())
+    known = pairs.count()
+    while True:
+        further = pairs.select(c("session_id").alias("ancestor_id"), c("ancestor_id").alias("__top"), c("depth").alias("__more"))
+        longer = pairs.join(further, "ancestor_id").filter(c("__top") != c("session_id")).select("session_id", c("__top").alias("ancestor_id"), (c("depth") + c("__more")).alias("depth"))
+        pairs = materialize(pairs.unionByName(longer).groupBy("session_id", "ancestor_id").agg(F.min("depth").alias("depth")))
+        now = pairs.count()
+        if now == known:
+            return pairs
+        known = now
+
+
+def tree_bills(edges: DataFrame, bills: DataFrame, measures: list[str]) -> DataFrame:
+    """Per session of ``bills`` (one row each): its own measures, those of all sessions below it, and both together."""
+    below = ancestors(edges).join(bills, "session_id").groupBy(c("ancestor_id").alias("session_id")).agg(
+        F.count(F.lit(1)).alias("descendants"), F.max("depth").alias("levels"), *[F.sum(m).alias(f"children_{m}") for m in measures])
+    d = bills.join(below, "session_id", "left")
+    d = d.withColumns({"descendants": F.coalesce("descendants", F.lit(0).cast("long")), "levels": F.coalesce("levels", F.lit(0)), **{f"children_{m}": F.coalesce(f"children_{m}", F.lit(0.0)) for m in measures}})
+    return d.withColumns({f"combined_{m}": c(m) + c(f"children_{m}") for m in measures})
+
+
+
 def session_order(sessions: DataFrame) -> DataFrame:
     """Display order: roots by first activity, children behind their parent, orphans last.
 

@@ -257,3 +257,38 @@ def tool_label_totals(spark, sf):
     """One bar per category of the tools stack, without the users."""
     d = sg.label_totals(tool_stack(spark, sf), ["user"])
     return d.select("key", "label", "rank", p.gold(c("usd")).alias("usd"), F.round("tok", 4).alias("tok"))
+
+
+# ---- bills of session trees -----------------------------------------------------------------
+MEASURES = ["official_usd", "round_usd", "recap_usd"]
+
+
+@query("session_tree_bills", "A13", f"""
+WITH RECURSIVE own AS (
+  SELECT s.session_id, coalesce(o, 0) AS official_usd, coalesce(r, 0) AS round_usd, coalesce(p, 0) AS recap_usd FROM v_sessions s
+  LEFT JOIN (SELECT session_id, sum(official_usd) AS o FROM v_priced GROUP BY 1) USING (session_id)
+  LEFT JOIN (SELECT session_id, sum(total_usd) AS r FROM v_log_bills GROUP BY 1) USING (session_id)
+  LEFT JOIN (SELECT session_id, sum(cost_usd) AS p FROM v_recaps GROUP BY 1) USING (session_id)),
+up AS (SELECT session_id, session_id - 1 - session_id % 3 // 2 AS parent_id FROM v_sessions WHERE session_id % 10 <> 0),
+anc AS (SELECT session_id, parent_id AS ancestor_id, 1 AS depth FROM up UNION ALL SELECT a.session_id, u.parent_id, a.depth + 1 FROM anc a JOIN up u ON u.session_id = a.ancestor_id),
+below AS (SELECT ancestor_id AS session_id, count(*) AS n, max(depth) AS levels, sum(official_usd) AS o, sum(round_usd) AS r, sum(recap_usd) AS p FROM anc JOIN own USING (session_id) GROUP BY 1)
+SELECT w.session_id, coalesce(n, 0) AS descendants, coalesce(levels, 0) AS levels, {', '.join(b.r6(x) + ' AS ' + x for x in MEASURES)},
+  {', '.join(f"{b.r6(f'coalesce({y}, 0)')} AS children_{x}, {b.r6(f'{x} + coalesce({y}, 0)')} AS combined_{x}" for x, y in zip(MEASURES, 'orp'))}
+FROM own w LEFT JOIN below l USING (session_id)""")
+def session_tree_bills(spark, sf):
+    """Official, round and recap bills of every session, of all sessions below it, and together. Here a session hangs below one of the
+    two before it, and every tenth starts a tree."""
+    from sessionledger.operators import sessions as o
+    from sessionledger.plans.pricing_queries import priced
+    from sessionledger.session import materialize
+
+    def per_session(d, usd, name):
+        return d.groupBy("session_id").agg(F.sum(usd).alias(name))
+
+    own = b.v_sessions(spark, sf).select("session_id")
+    for d in (per_session(priced(spark, sf), "official_usd", MEASURES[0]), per_session(billed(spark, sf)[2], "total_usd", MEASURES[1]), per_session(eq.recaps(spark, sf), "cost_usd", MEASURES[2])):
+        own = own.join(d, "session_id", "left")
+    own = materialize(own.fillna(0.0, MEASURES))
+    up = own.filter(c("session_id") % 10 != 0).select("session_id", (c("session_id") - 1 - F.floor(c("session_id") % 3 / 2)).cast("long").alias("parent_id"))
+    d = o.tree_bills(up, own, MEASURES)
+    return d.select("session_id", "descendants", "levels", *[p.gold(c(f"{k}{m}")).alias(f"{k}{m}") for m in MEASURES for k in ("", "children_", "combined_")])
