@@ -276,11 +276,14 @@ def new_compaction_records(spark, sf):
     return hd.new_glue(*snaps(spark, sf)).select("session_id", "idx", "hash")
 
 
-@query("history_diffs", "A14 D6", """
+HISTORY_DIFF_SQL = """
 SELECT d.session_id, kind, old_n, new_n, prefix, cache_break_index, CASE WHEN kind = 'append' THEN greatest(new_n - old_n, 0) ELSE coalesce(ins, 0) END AS added, coalesce(del, 0) AS removed, coalesce(ed, 0) AS changed,
   CASE WHEN kind IN ('unchanged', 'append') THEN NULL WHEN g > 0 THEN 'compact glue' END AS compact_why, CASE WHEN kind IN ('unchanged', 'append') THEN false ELSE coalesce(g > 0, false) END AS from_compact
 FROM v_diff d LEFT JOIN (SELECT session_id, count(*) FILTER (op = 'insert') AS ins, count(*) FILTER (op = 'delete') AS del, count(*) FILTER (op = 'edit') AS ed FROM v_changes GROUP BY 1) USING (session_id)
-LEFT JOIN (SELECT session_id, count(*) AS g FROM v_history_new WHERE lower(text) LIKE '%ran out of context%' GROUP BY 1) USING (session_id)""")
+LEFT JOIN (SELECT session_id, count(*) AS g FROM v_history_new WHERE lower(text) LIKE '%ran out of context%' GROUP BY 1) USING (session_id)"""
+
+
+@query("history_diffs", "A14 D6", HISTORY_DIFF_SQL)
 def history_diffs(spark, sf):
     d = hd.diff_summary(*snaps(spark, sf))
     return d.select("session_id", "kind", "old_n", "new_n", "prefix", "cache_break_index", "added", "removed", "changed", "compact_why", "from_compact")

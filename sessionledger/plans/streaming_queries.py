@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sessionledger.functions import pricing as p
 from sessionledger.operators import sessionize as s
 from sessionledger.plans import binding as b
-from sessionledger.plans.event_queries import SIDE_SQL
+from sessionledger.plans.event_queries import HISTORY_DIFF_SQL, SIDE_SQL, snaps
 from sessionledger.plans.period_queries import SUMS_SQL
 from sessionledger.plans.registry import query
 from sessionledger.session import scratch_dir
@@ -133,3 +135,32 @@ def streamed_child_bills(spark, sf):
     edges = lines.filter((c("kind") == "tool_call") & (c("k") % 10 == 0) & (c("session_id") % 5 == 3)).select((c("session_id") + 1).alias("child_id"), c("session_id").alias("parent_id"), "event_ts")
     d = live.run_to_table(live.with_found_parents(bills, edges, "90 days"), scratch_dir(spark)).filter(c("child_id") < NOBODY)
     return d.groupBy("child_id", "parent_id").agg(F.count("*").alias("turns"), *[F.sum(x).alias(x) for x in ("input", "output", "ticks")])
+
+
+_BACK = {"v_history_old": "v_history_new", "v_history_new": "v_history_old", "v_diff": "v_diff_back", "v_changes": "v_changes_back"}
+
+
+def rolled_back(sql):
+    """The same comparison from the new snapshot to the old one."""
+    return re.sub(r"\b(" + "|".join(_BACK) + r")\b", lambda m: _BACK[m[0]], sql)
+
+
+for _name in ("v_diff", "v_changes"):
+    b.VIEWS[_BACK[_name]] = rolled_back(b.VIEWS[_name])
+
+
+@query("watched_histories", "ST6", f"""SELECT * EXCLUDE (compact_why, from_compact) FROM (
+  SELECT 1 AS snapshot_id, * FROM ({HISTORY_DIFF_SQL}) UNION ALL SELECT 2, * FROM ({rolled_back(HISTORY_DIFF_SQL)}) UNION ALL SELECT 3, * FROM ({HISTORY_DIFF_SQL}))""")
+def watched_histories(spark, sf):
+    """Four snapshots of every history in three micro-batches: the old one; the new one and a roll-back together; the new one again."""
+    old, new = snaps(spark, sf)
+    path = scratch_dir(spark)
+    files = old.count() // FILE_ROWS + 1
+    for i, shots in enumerate([[(0, old)], [(1, new), (2, old)], [(3, new)]]):
+        rows = [d.withColumn("snapshot_id", F.lit(n)) for n, d in shots]
+        both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+        both.repartition(files).write.parquet(f"{path}/in/part={i}")
+    shots = spark.readStream.schema(spark.read.parquet(f"{path}/in/part=0").schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in/part=*")
+    live.history_watch(shots, f"{path}/store", f"{path}/checkpoint").awaitTermination()
+    d = spark.read.parquet(f"{path}/store/diffs")
+    return d.select("snapshot_id", "session_id", "kind", "old_n", "new_n", "prefix", "cache_break_index", "added", "removed", "changed")
