@@ -1,6 +1,6 @@
 """Session folders: finding them and reading their files.
 
-Layout: ``<root>/<session>/…`` or ``<root>/<workspace>/<session>/…`` with ``updates.jsonl``,
+Layout: ``<root>/…/<session>/…``, any number of folders above the session, with ``updates.jsonl``,
 ``events.jsonl``, ``chat_history.jsonl``, ``signals.json``, ``summary.json``,
 ``recap_requests/*.json`` and ``tool_definitions.json``.
 """
@@ -8,6 +8,7 @@ Layout: ``<root>/<session>/…`` or ``<root>/<workspace>/<session>/…`` with ``
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionledger.functions.logline import LINE_SCHEMA, parse_lines  # noqa: F401
@@ -23,22 +24,20 @@ _HEAD = ["session_summary", "generated_title", "last_turn_summary", "session_kin
 HEADER = "struct<" + ",".join(f"{h}:string" for h in _HEAD) + ",info:struct<cwd:string,parent_session_id:string,parent_id:string,session_kind:string>>"
 
 
-def _files(spark: SparkSession, root: str, name: str, whole: bool) -> DataFrame:
-    """Texts of all files called ``name`` at most two folders below ``root``, in one scan."""
+def _folder(path: str) -> Column:
+    return F.element_at(F.split(path, "/"), -2)
+
+
+def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Texts of all small files called ``name`` below ``root``, in one scan."""
     r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-    d = r.text(root, wholetext=whole).select("value", c("_metadata.file_path").alias("path"), c("_metadata.file_size").alias("size"),
-                                             c("_metadata.file_modification_time").alias("mtime"))
-    parts = F.split(F.regexp_replace("path", "^file:/*", "/"), "/")
-    depth = F.size(parts) - len([x for x in root.removeprefix("file:").split("/") if x]) - 2
-    return d.withColumns({"session_id": F.element_at(parts, -2), "depth": depth})
+    return r.text(root, wholetext=True).select("value", c("_metadata.file_path").alias("path")).withColumn("session_id", _folder("path"))
 
 
 def session_files(spark: SparkSession, root: str) -> DataFrame:
-    """Sessions that have a log: id, path, size and time, without reading the logs."""
+    """Sessions that have a log, in folders of any depth: id, path, size and time, without reading the logs."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "updates.jsonl").load(root)
-    parts = F.split(F.regexp_replace("path", "^file:/*", "/"), "/")
-    depth = F.size(parts) - len([x for x in root.removeprefix("file:").split("/") if x]) - 2
-    return d.select(F.element_at(parts, -2).alias("session_id"), "path", c("length").alias("size"), c("modificationTime").alias("mtime"), depth.alias("depth")).filter(c("depth") <= 2)
+    return d.select(_folder("path").alias("session_id"), "path", c("length").alias("size"), c("modificationTime").alias("mtime"))
 
 
 def histories_to_watch(spark: SparkSession, root: str) -> DataFrame:
@@ -49,23 +48,39 @@ def histories_to_watch(spark: SparkSession, root: str) -> DataFrame:
                                                  F.bool_or(c("path").endswith("updates.jsonl")).alias("has_log")).filter("has_history")
 
 
-def read_log(spark: SparkSession, root: str, name: str = "updates.jsonl") -> DataFrame:
-    """Lines of all logs with their 1-based line number inside the file.
+def read_log(spark: SparkSession, root: str, name: str = "updates.jsonl", complete: bool = False) -> DataFrame:
+    """``session_id, source_file, line_no, value`` of all logs below ``root``, line numbers from 1 inside a file.
 
-    One file is one task here. For logs of any size use :func:`read_log_by_position` (splits
-    files by byte range) or chunk files that carry their line numbers.
+    Files are read by split, however large they are: a line's number is its place in its split plus the lines of the splits before,
+    which are counted first (one row per split). With ``complete`` a last line that is not yet ended by a line feed is left out: it
+    is there when a file's lines, each with a line feed, are longer than the file.
     """
-    d = _files(spark, root, name, whole=True).filter(c("depth") <= 2)
-    return d.select("session_id", c("path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value")).withColumn("line_no", c("line_no").cast("long") + 1)
-
-
-def read_log_by_position(spark: SparkSession, pattern: str, max_bytes: int = 64 << 20) -> DataFrame:
-    """Lines of all matching logs, files split into byte ranges; ``line_no`` is the position of
-    the line in its file. The files must be visible to every executor."""
-    from sessionledger.streaming.appended import AppendedLines
+    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("lineSep", "\n").text(root)
+    d = r.select("value", c("_metadata.file_path").alias("source_file"), c("_metadata.file_block_start").alias("__start"), c("_metadata.file_size").alias("__size"), F.monotonically_increasing_id().alias("__id"))
+    split = ["source_file", "__start"]
+    counts = d.groupBy(*split).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"), F.sum(F.octet_length("value") + 1).alias("__bytes"), F.max("__size").alias("__size"))
+    file, before = W.partitionBy("source_file"), W.partitionBy("source_file").orderBy("__start").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*split, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"), F.sum("__n").over(file).alias("__lines"), (F.sum("__bytes").over(file) > c("__size")).alias("__open"))
+    d = d.drop("__size").join(counts, split).withColumn("line_no", c("__id") - c("__first") + c("__ahead") + 1)
+    if complete:
+        d = d.filter(~(c("__open") & (c("line_no") == c("__lines"))))
+    return d.select(_folder("source_file").alias("session_id"), "source_file", "line_no", "value")
+
+
+def tail_log(spark: SparkSession, root: str, store: str, batch: int, name: str = "updates.jsonl") -> DataFrame:
+    """Complete lines that no batch before ``batch`` has given; what this one gives is noted in ``store``.
+
+    A batch that is run again gives its lines again. A line that is still being written waits for its line feed.
+    """
+    from sessionledger.session import materialize
 
-    spark.dataSource.register(AppendedLines)
-    return spark.read.format("appended_lines").option("pattern", pattern).option("maxbytes", str(max_bytes)).load()
+    d = read_log(spark, root, name, complete=True)
+    if batch > 0:
+        known = spark.read.parquet(f"{store}/batch=*").groupBy("source_file").agg(F.max(F.when(c("batch") < batch, c("lines"))).alias("__known"))
+        d = d.join(known, "source_file", "left").filter(c("line_no") > F.coalesce("__known", F.lit(0)))
+    d = materialize(d.select("session_id", "source_file", "line_no", "value"))
+    d.groupBy("source_file").agg(F.max("line_no").alias("lines")).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{store}/batch={batch:09d}")
+    return d
 
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -79,21 +94,21 @@ def _json(value: Column, schema: str) -> Column:
 
 def read_headers(spark: SparkSession, root: str) -> DataFrame:
     """Session headers; a byte-order mark is tolerated, a file that is no JSON gives an empty header."""
-    d = _files(spark, root, "summary.json", whole=True)
+    d = _files(spark, root, "summary.json")
     kind = F.coalesce(F.nullif(F.lower(F.trim("h.session_kind")), F.lit("")), F.lower("h.info.session_kind"))
     return d.select("session_id", _json(c("value"), HEADER).alias("h")).select("session_id", "h.*", kind.alias("kind"))
 
 
 def read_gauges(spark: SparkSession, root: str) -> DataFrame:
     """Gauge files cut to the fields in use, lists in full."""
-    return _files(spark, root, "signals.json", whole=True).select("session_id", _json(c("value"), GAUGES).alias("g")).select("session_id", "g.*")
+    return _files(spark, root, "signals.json").select("session_id", _json(c("value"), GAUGES).alias("g")).select("session_id", "g.*")
 
 
 def read_lifecycle(spark: SparkSession, root: str) -> DataFrame:
-    """Lifecycle events: phase changes, first token, turn and tool completion."""
+    """Lifecycle events: phase changes, first token, turn and tool completion, with model, turn number and outcome."""
     d = read_log(spark, root, "events.jsonl").filter(F.length(strip(c("value"))) > 0)
-    e = F.from_json("value", "struct<type:string,phase:string,ts:string,duration_ms:long,tool_name:string>")
-    return d.select("session_id", "line_no", e.alias("e")).select("session_id", "line_no", c("e.type").alias("kind"), "e.phase", "e.ts", "e.duration_ms", "e.tool_name").filter(c("kind").isNotNull())
+    e = F.from_json("value", "struct<type:string,phase:string,ts:string,duration_ms:long,tool_name:string,model_id:string,turn_number:long,outcome:string>")
+    return d.select("session_id", "line_no", e.alias("e")).select("session_id", "line_no", c("e.type").alias("kind"), "e.phase", "e.ts", "e.duration_ms", "e.tool_name", "e.model_id", "e.turn_number", "e.outcome").filter(c("kind").isNotNull())
 
 
 def read_recap_requests(spark: SparkSession, root: str) -> DataFrame:
@@ -119,5 +134,5 @@ def tool_definitions(sessions: DataFrame, overrides: DataFrame, conf_tokens: int
 
 def read_tool_definitions(spark: SparkSession, root: str) -> DataFrame:
     """``session_id, tokens, count`` of the sessions that have a readable ``tool_definitions.json``."""
-    d = _files(spark, root, "tool_definitions.json", whole=True).select("session_id", _json(c("value"), "struct<tokens:long,count:long>").alias("j"))
+    d = _files(spark, root, "tool_definitions.json").select("session_id", _json(c("value"), "struct<tokens:long,count:long>").alias("j"))
     return d.filter(c("j.tokens").isNotNull() | c("j.count").isNotNull()).select("session_id", "j.tokens", "j.count")

@@ -13,7 +13,7 @@ from sessionledger.operators import period as per
 from sessionledger.operators import sessions as so
 from sessionledger.operators.grouping import PlainGroups
 from sessionledger.sources import files, store
-from sessionledger.streaming import appended, live
+from sessionledger.streaming import live
 
 c = F.col
 
@@ -33,7 +33,7 @@ def test_discovery_and_headers(spark, tmp_path):
     put(root, "ws/deep/s3/updates.jsonl", "{}\n")
     put(root, "ws/s4/chat_history.jsonl", "{}\n")
     put(root, "s1/summary.json", "\ufeff" + json.dumps({"session_summary": "Best", "generated_title": "Other", "session_kind": " SubAgent "}))
-    assert {r.session_id for r in files.session_files(spark, root).collect()} == {"s1", "s2"}
+    assert {r.session_id for r in files.session_files(spark, root).collect()} == {"s1", "s2", "s3"}
     assert {os.path.basename(r.folder) for r in files.histories_to_watch(spark, root).collect()} == {"s4"}
     head = files.read_headers(spark, root).first()
     assert (head.session_summary, head.kind) == ("Best", "subagent")
@@ -45,29 +45,51 @@ def test_discovery_and_headers(spark, tmp_path):
     put(root, "s1/recap_requests/r1.json", json.dumps({"summary": "done", "chat_history": [{"type": "user", "content": "write a recap"}]}))
     q = files.read_recap_requests(spark, root).withColumn("prompt", h.recap_prompt(c("chat_history"))).first()
     assert (q.request_id, q.summary, q.prompt) == ("r1", "done", "write a recap")
-    put(root, "s1/events.jsonl", '{"type":"tool_completed","duration_ms":12}\n')
-    assert files.read_lifecycle(spark, root).first().duration_ms == 12
-
-
-def test_appended_lines(spark, tmp_path):
-    path = put(str(tmp_path), "s1/updates.jsonl", "one\ntwo\npart")
-    size = os.path.getsize(path)
-    got = [x for p in appended.pieces({}, {path: size}, 3) for x in appended.lines_of(p)]
-    assert [t for _, t in got] == ["one", "two"]
-    put(str(tmp_path), "s1/updates.jsonl", "ial\n")
-    more = [x for p in appended.pieces({path: size}, {path: os.path.getsize(path)}, 1000) for x in appended.lines_of(p)]
-    assert more == [(8, "partial")]
-    assert [(p.start, p.end) for p in appended.pieces({path: 50}, {path: 4}, 10)] == [(0, 4)]
-    spark.dataSource.register(appended.AppendedLines)
-    q = spark.readStream.format("appended_lines").option("pattern", f"{tmp_path}/*/updates.jsonl").load().writeStream.format("memory").queryName("tailed").start()
-    q.processAllAvailable()
-    put(str(tmp_path), "s1/updates.jsonl", "next\n")
-    q.processAllAvailable()
-    q.stop()
-    rows = sorted((r.session_id, r.line_no, r.value) for r in spark.table("tailed").collect())
-    batch = files.read_log_by_position(spark, f"{tmp_path}/*/updates.jsonl", 3)
-    assert sorted((r.session_id, r.line_no, r.value) for r in batch.collect()) == rows
-    assert rows == [("s1", 0, "one"), ("s1", 4, "two"), ("s1", 8, "partial"), ("s1", 16, "next")]
+    put(root, "s1/events.jsonl", '{"type":"turn_ended","duration_ms":12,"model_id":"m-4.6","turn_number":3,"outcome":"cancelled"}\n\nno json\n')
+    e = files.read_lifecycle(spark, root).first()
+    assert (e.duration_ms, e.model_id, e.turn_number, e.outcome) == (12, "m-4.6", 3, "cancelled")
+
+
+def test_logs_of_many_splits(spark, tmp_path):
+    """Line numbers of files cut into many splits, lines longer than a split and small files packed together."""
+    root = str(tmp_path)
+    texts = {"s1": [f"line {i} " + "x" * (i * 37 % 211) for i in range(300)], "ws/s2": ["é" * 900, "", "", "end\r"], "s3": ["only"], "a/b/c/s4": [""] * 5}
+    for rel, lines in texts.items():
+        put(root, f"{rel}/updates.jsonl", "\n".join(lines) + "\n")
+    put(root, "s5/updates.jsonl", "")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for limit in ("128", "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+            spark.conf.set("spark.sql.files.openCostInBytes", "16")
+            d = files.read_log(spark, root)
+            whole = spark.read.option("recursiveFileLookup", "true").text(root)
+            assert limit != "128" or whole.select("_metadata.file_block_start").distinct().count() > 20
+            got = {}
+            for r in d.collect():
+                got.setdefault(r.session_id, {})[r.line_no] = r.value
+            assert got == {rel.split("/")[-1]: dict(enumerate(lines, 1)) for rel, lines in texts.items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_tail(spark, tmp_path):
+    """New lines once each; a line in the middle of being written waits; a batch can be repeated."""
+    root, store_at = str(tmp_path / "logs"), str(tmp_path / "store")
+
+    def tail(batch):
+        return sorted((r.session_id, r.line_no, r.value) for r in files.tail_log(spark, root, store_at, batch).collect())
+
+    put(root, "s1/updates.jsonl", "one\ntwo\npart")
+    assert tail(0) == [("s1", 1, "one"), ("s1", 2, "two")]
+    put(root, "s1/updates.jsonl", "ial\nnext\n")
+    put(root, "s2/updates.jsonl", "é\n\n")
+    want = [("s1", 3, "partial"), ("s1", 4, "next"), ("s2", 1, "é"), ("s2", 2, "")]
+    assert tail(1) == want and tail(1) == want
+    assert tail(2) == []
+    put(root, "s2/updates.jsonl", "last")
+    assert tail(3) == [] and ("s2", 3, "last") in {(r.session_id, r.line_no, r.value) for r in files.read_log(spark, root).collect()}
 
 
 def prints(spark, texts, snapshot=0):
