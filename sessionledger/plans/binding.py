@@ -256,19 +256,21 @@ def r8(expr: str) -> str:
 
 
 def with_views(sql: str) -> str:
-    """Prefix ``sql`` with the views it mentions, following views used by views."""
-    need: set[str] = set()
+    """Prefix ``sql`` with the views it mentions, each after the views it uses itself, whatever module came first."""
+    seen: set[str] = set()
+    order: list[str] = []
 
     def visit(text: str) -> None:
-        for name, body in VIEWS.items():
-            if name not in need and re.search(rf"\b{name}\b", text):
-                need.add(name)
-                visit(body)
+        for name in re.findall(r"\w+", text):
+            if name in VIEWS and name not in seen:
+                seen.add(name)
+                visit(VIEWS[name])
+                order.append(name)
 
     visit(sql)
-    if not need:
+    if not order:
         return sql
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in need)
+    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
     body = sql.strip()
     if body[:15].upper() == "WITH RECURSIVE ":
         return f"WITH RECURSIVE {ctes},\n{body[15:]}"

@@ -18,7 +18,12 @@ class Query:
     name: str
     covers: tuple[str, ...]
     plan: Plan
-    sql: str | None
+    text: str | None
+
+    @property
+    def sql(self) -> str | None:
+        """The SQL twin with its views, which may come from modules that are loaded later."""
+        return with_views(self.text) if self.text else None
 
 
 CATALOGUE: dict[str, Query] = {}
@@ -34,7 +39,7 @@ def query(name: str, covers: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(pin_utc(spark), sf_dir)
 
-        CATALOGUE[name] = Query(name, tuple(covers.split()), run, with_views(sql) if sql else None)
+        CATALOGUE[name] = Query(name, tuple(covers.split()), run, sql)
         return fn
 
     return deco
