@@ -5,13 +5,15 @@ the text; a chunk ends below a line whose window hash falls in one of ``MEAN`` r
 above ends one. A boundary hence depends on the three lines around it alone: lines put in front of a passage do
 not move the cuts inside it.
 
-``drop_passages`` takes chunks of three lines or more as seeds, and beside them every two lines that follow each
-other, wherever the cuts fall. A line of more than ``LONG_LINE_WORDS`` words, a paragraph, is a seed of its own; this
-goes beyond the method of multi-line chunks and reaches documents of one line. A seed with a word that stands in
-the corpus more than once is removed everywhere but at its first place, by document id, then place. The pairs of a
-passage overlap, so together they cover the longest run of lines that stands at earlier places, from its first line
-to its last. A line's first place in the corpus is never inside a repeat, so every line of the corpus stays once.
-Lines without a word between two runs may stay.
+``drop_passages`` takes chunks of three lines or more as seeds. The lines around a repeated chunk are looked at two by
+two, wherever the cuts fall: every two neighbouring lines are seeds beside them. A line of more than ``LONG_LINE_WORDS``
+words, a paragraph, is a seed of its own; this goes beyond the method of multi-line chunks and reaches documents of one
+line. A seed with a word that stands in the corpus more than once is a repeat everywhere but at its first place, by
+document id, then place. Repeats that touch or overlap in a text make a run, from the first line of a passage to its
+last. A run goes when a chunk is part of it and it has ``CHUNK_WORDS`` words or more; a run that no chunk reaches, as
+passages of two or three lines are, goes from ``RUN_WORDS`` words on. So closing braces and other lines that say next to
+nothing stay where they are. A run may have been put together from several earlier places. A line's first place in the corpus is
+never inside a repeat, so every line of the corpus stays once. Lines without a word between two runs may stay.
 
 ``drop_repeats`` removes whole chunks of two lines or more alone. Single lines up to that length are never removed.
 
@@ -20,8 +22,8 @@ well, and a hash pair that stands for two different texts is left alone.
 
 Nulls: a null text stays null; rows with a null id come last in the order. Rows equal in id and text count
 as one document and keep the same lines. Passages are as long as the texts make them; nothing is cut short.
-A column named ``n_removed`` is replaced,
-others pass through untouched. An empty table gives an empty result.
+Columns named ``n_removed`` and, for
+passages, ``n_by_chunks`` are replaced, others pass through untouched. An empty table gives an empty result.
 
 The lists of repeated hashes and of what to remove are broadcast when they are counted and short; beyond
 that the same joins shuffle.
@@ -37,10 +39,12 @@ from sessionledger.session import materialize
 
 MEAN = 2
 LONG_LINE_WORDS = 50  # a line of more words is a passage of its own
+CHUNK_WORDS, RUN_WORDS = 5, 10  # fewest words of a run that goes, with a chunk in it and without
 #: Thai, Lao, Burmese, Khmer, kana and Han are written without blanks: each of their characters counts as a word.
 UNSPACED = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 LONG_LINE = rf"^\s*+(?:\S++\s++){{{LONG_LINE_WORDS}}}\S"
 LONG_UNSPACED = rf"^\s*+(?:(?:[{UNSPACED}]|[^\s{UNSPACED}]++)\s*+){{{LONG_LINE_WORDS + 1}}}"
+WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
 SENT_ROWS = 400_000  # of a join's small side that may be broadcast
 
 
@@ -144,19 +148,46 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return rows.select(*cols, F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("n_removed"))
 
 
+def _runs(lines: Column, removed: Column) -> Column:
+    """Of the runs of lines that go: ``at`` (first line), ``size`` in lines, ``chunk`` (whether one is part of it)."""
+
+    def runs(gone: Column) -> Column:
+        first = F.filter(gone, lambda x, i: F.coalesce(F.get(gone, i - 1) < x - 1, F.lit(True)))
+        last = F.filter(gone, lambda x, i: F.coalesce(F.get(gone, i + 1) > x + 1, F.lit(True)))
+        return F.zip_with(first, last, lambda f, e: F.struct(f.alias("at"), (e - f + 1).alias("size")))
+
+    def marked(chunks: Column) -> Column:
+        # a chunk lies in the run of its first line, so the runs that chunks start in are found by their lines
+        return F.transform(
+            let(F.array_sort(F.array_distinct(F.flatten(F.transform(removed, lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))), runs),
+            lambda r: F.struct(r["at"].alias("at"), r["size"].alias("size"), F.arrays_overlap(F.sequence(r["at"], r["at"] + r["size"] - 1), chunks).alias("chunk")))
+
+    def enough(r: Column) -> Column:
+        words = F.regexp_count(F.array_join(F.slice(lines, r["at"] + 1, r["size"]), "\n"), F.lit(WORD))
+        return words >= F.when(r["chunk"], CHUNK_WORDS).otherwise(RUN_WORDS)
+
+    return F.filter(let(F.transform(F.filter(removed, lambda s: s["size"] > 2), lambda s: s["at"]), marked), enough)
+
+
 def drop_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text`` in full, and the count of their lines as ``n_removed``."""
+    """``docs`` with repeated passages taken out of ``text``; ``n_removed`` counts their lines, ``n_by_chunks`` those of runs with a chunk."""
     marks = materialize(repeated_spans(docs, text, key))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), *_keys(text, key)).join(_sent(marks), ["k1", "k2"], "left")
-    gone = F.array_distinct(F.flatten(F.transform("removed", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
+    found = let(F.split(F.col("d")[text], "\n"), lambda lines: _runs(lines, F.col("removed")))
     # the generator keeps the list from being copied
-    rows = rows.select("d", F.inline(F.array(F.struct(gone.alias("gone")))))
+    rows = rows.select("d", F.inline(F.array(F.struct(F.when(F.col("removed").isNotNull(), found).alias("runs")))))
+    hit = F.coalesce(F.size("runs") > 0, F.lit(False))
+    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["size"] - 1)))
 
     def without(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     whole = F.col("d")[text]
-    left = F.when(F.col("gone").isNull(), whole).otherwise(let(F.split(whole, "\n"), without))
-    cols = [left.alias(c) if c == text else F.col("d")[c].alias(c) for c in docs.columns if c != "n_removed"]
-    return rows.select(*cols, F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"))
+    left = F.when(hit, let(F.split(whole, "\n"), without)).otherwise(whole)
+
+    def count(runs: Column) -> Column:
+        return F.when(hit, F.aggregate(runs, F.lit(0), lambda n, r: n + r["size"])).otherwise(0)
+
+    cols = [left.alias(c) if c == text else F.col("d")[c].alias(c) for c in docs.columns if c not in ("n_removed", "n_by_chunks")]
+    return rows.select(*cols, count(F.col("runs")).alias("n_removed"), count(F.filter("runs", lambda r: r["chunk"])).alias("n_by_chunks"))
