@@ -42,6 +42,6 @@ def events(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", ["activity_windows", "hourly_priced_buckets", "month_day_buckets", "clipped_week_buckets", "totals_buckets_sessions", "session_bills",
-                                  "window_sessions", "streamed_hour_buckets", "sliding_windows", "priced_turns"])
+                                  "window_sessions", "streamed_hour_buckets", "sliding_windows", "priced_turns", "stream_phases"])
 def test_events(spark, duck, events, name):
     assert compare.check(spark, duck(events, "events"), events, catalogue()[name])[1] == "ok"
