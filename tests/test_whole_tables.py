@@ -45,3 +45,16 @@ def events(spark, tmp_path_factory):
                                   "window_sessions", "streamed_hour_buckets", "sliding_windows", "priced_turns", "stream_phases"])
 def test_events(spark, duck, events, name):
     assert compare.check(spark, duck(events, "events"), events, catalogue()[name])[1] == "ok"
+
+
+def test_the_earliest_of_equally_large_results_counts(spark, duck, events, tmp_path):
+    sf = str(tmp_path)
+    spark.read.parquet(f"{events}/events.parquet").write.parquet(f"{sf}/events.parquet")
+    lengths = [41, 43, 42, 40, 12]  # the first four have 10 tokens each
+    turns = [(conv, 5 * i + t, "user", "x" * (n + t)) for conv in range(1, 8) for i, n in enumerate(lengths) for t in range(5)]
+    texts = spark.createDataFrame([(v, t, r, x[:43] if len(x) > 40 else x) for v, t, r, x in turns], "conv_id long, turn long, role string, text string")
+    texts.orderBy("conv_id", "turn").coalesce(1).write.parquet(f"{sf}/conversations.parquet")
+    q = catalogue()["history_tool_results"]
+    assert compare.check(spark, duck(sf, "events", "conversations"), sf, q)[1] == "ok"
+    first = q.plan(spark, sf).filter("result_tokens = 10").groupBy().agg({"result_chars": "min"}).first()[0]
+    assert first == 41
