@@ -59,6 +59,13 @@ def test_output_identity(spark):
     assert sum(x.thought_usd + x.reason_usd + x.emit_usd + x.message_usd for x in rows) == pytest.approx(sum(x.out_usd for x in rows))
 
 
+def test_calls_without_sizes_share_the_input_evenly(spark):
+    """As in the SQL: a compaction may leave a round whose calls all start at 0."""
+    rows = run(calls(spark, [0, 0], 203_971, 155_017, 100, w_harness=[0, 600]))
+    assert [x.input for x in rows] == [101_986, 101_985] and [x.tier for x in rows] == ["low", "low"]
+    assert sum(x.paid for x in rows) == 48_954 and all(x.paid <= x.input for x in rows)
+
+
 def test_stream_start_is_the_input(spark):
     df = calls(spark, [10000], 10000, 0, 0).withColumn("context_start", F.lit(999999))
     assert run(df)[0].input == 10000
