@@ -71,6 +71,7 @@ class Session(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         st = dict(zip(STATE, self.open.get())) if self.open.exists() else {"last_line": None, "round_no": 1, "known": None, "prev_end_ms": None, **NEW_ROUND}
         out = Changes(key[0], self)
+        self.held = Held(self, st["declared"] > 0)
         for line in sorted(rows, key=lambda r: r["line_no"]):
             if st["last_line"] is None or line["line_no"] > st["last_line"]:
                 st["last_line"] = line["line_no"]
@@ -79,6 +80,7 @@ class Session(StatefulProcessor):
             out.rounds[st["round_no"]] = self.round(st, None)
         yield from out.closed()
         yield from out.side_events()
+        self.held.write()
         self.open.update(tuple(st[f] for f in STATE))
         if self.idle_ms:
             for t in list(self.handle.listTimers()):
@@ -108,7 +110,7 @@ class Session(StatefulProcessor):
             card = {"line_no": line["line_no"], "kind": kind, "mid_round": st["active"], "after_round": no - 1 if no > 1 else None, "before_round": None, "in_round": no if st["active"] else None}
             out.cards[card["line_no"]] = card
             if not st["active"]:
-                self.waiting.appendValue(tuple(card[n] for n in CARD))
+                self.held.wait(tuple(card[n] for n in CARD))
             if kind == COMPACT:
                 if not st["active"]:
                     st["known"] = line["tokens_after"]
@@ -119,9 +121,8 @@ class Session(StatefulProcessor):
             return
         if not st["active"]:
             st.update(active=True, line_no=line["line_no"], started_ms=line["agent_ms"], baseline=st["known"])
-            if self.waiting.exists():  # the side events before this round know it now
-                out.cards.update({x[0]: dict(zip(CARD, x)) | {"before_round": st["round_no"]} for x in self.waiting.get()})
-                self.waiting.clear()
+            # the side events before this round know it now
+            out.cards.update({x[0]: dict(zip(CARD, x)) | {"before_round": st["round_no"]} for x in self.held.waited()})
         if kind == "user_message_chunk":
             st["user_chars"] += line["chars"] or 0
         elif kind in CALL_KINDS:
@@ -130,7 +131,7 @@ class Session(StatefulProcessor):
             st["known"] = _most(st["known"], st["moved"])
             out.rounds[st["round_no"]] = self.round(st, line["agent_ms"])
             st.update(round_no=st["round_no"] + 1, prev_end_ms=line["agent_ms"], **NEW_ROUND)
-            self.forget_tools()
+            self.held.forget()
             if len(out) > 1_000:  # closed rounds and their tools leave at once
                 yield from out.closed()
 
@@ -138,7 +139,7 @@ class Session(StatefulProcessor):
         kind, stream = line["kind"], line["stream_ms"]
         if not st["call_count"] or (stream is not None and stream != st["stream_ms"]):
             st.update(call_count=st["call_count"] + 1, call_start=_first(ctx, st["moved"], st["baseline"]), **NEW_CALL)
-            self.forget_tools()
+            self.held.forget()
         st["chunks"] += kind in STREAM_KINDS
         st["tool_calls"] += kind == "tool_call"
         phase = False
@@ -165,18 +166,63 @@ class Session(StatefulProcessor):
             own = st["declared"]
             tool = (st["round_no"], st["call_count"], own, line["line_no"], name, 0, 0)
             if name is not None:
-                self.by_id.updateValue((name,), (own,))
+                self.held.by_id[name] = own
         else:
-            own = self.by_id.getValue((name,))[0] if name is not None and self.by_id.containsKey((name,)) else st["declared"]
-            tool = self.tools.getValue((own,))
+            own = self.held.number(name) or st["declared"]
+            tool = self.held.tool(own)
             tool = (*tool[:5], tool[5] + grown, tool[6] + 1)
-        self.tools.updateValue((own,), tool)
+        self.held.tools[own] = tool
         out.tools[tool[:3]] = tool
 
-    def forget_tools(self) -> None:
+
+class Held:
+    """What a micro-batch has seen of a session's maps and list. The state is asked for what an earlier batch left, and written
+    once at the end: a call of it costs more than a line, so their number must not grow with the lines."""
+
+    def __init__(self, owner: Session, stored: bool):
+        self.owner, self.stored = owner, stored  # whether the maps hold tools of the open call
+        self.tools: dict[int, tuple] = {}
+        self.by_id: dict[str, int] = {}
+        self.waiting: list[tuple] = []
+        self.asked = False  # whether the list was emptied by this batch
+
+    def number(self, name: str | None) -> int | None:
+        if name is not None and name not in self.by_id and self.stored and self.owner.by_id.containsKey((name,)):
+            self.by_id[name] = self.owner.by_id.getValue((name,))[0]
+        return self.by_id.get(name)
+
+    def tool(self, own: int) -> tuple:
+        return self.tools[own] if own in self.tools else self.owner.tools.getValue((own,))
+
+    def forget(self) -> None:
+        if self.stored:
+            self.owner.tools.clear()
+            self.owner.by_id.clear()
+            self.stored = False
         self.tools.clear()
         self.by_id.clear()
 
+    def wait(self, card: tuple) -> None:
+        self.waiting.append(card)
+
+    def waited(self) -> list[tuple]:
+        before: list[tuple] = []
+        if not self.asked:
+            self.asked = True
+            if self.owner.waiting.exists():
+                before = [tuple(x) for x in self.owner.waiting.get()]
+                self.owner.waiting.clear()
+        now, self.waiting = before + self.waiting, []
+        return now
+
+    def write(self) -> None:
+        for own, tool in self.tools.items():
+            self.owner.tools.updateValue((own,), tool)
+        for name, own in self.by_id.items():
+            self.owner.by_id.updateValue((name,), (own,))
+        for card in self.waiting:
+            self.owner.waiting.appendValue(card)
+
 
 class Changes:
     """What a micro-batch changed of one session; each row leaves once, as it is at last."""

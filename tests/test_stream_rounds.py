@@ -132,6 +132,21 @@ def test_stream_equals_batch(spark, seed):
     assert streamed(rows, [40, 41, 150], repeat=True) == streamed(rows, [])
 
 
+def test_state_calls_do_not_grow_with_lines(monkeypatch):
+    """A call of the state is a message to another process: their number follows sessions and batches, not lines."""
+    calls = []
+    for kind in (Value, Many, Table):
+        for name in ("exists", "get", "update", "clear", "appendValue", "updateValue", "getValue", "containsKey"):
+            if hasattr(kind, name):
+                monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name): (calls.append(1), f(self, *a))[1])
+    made = []
+    for n in (260, 2_600):
+        calls.clear()
+        streamed(lines(4, n), [n // 2])
+        made.append(len(calls))
+    assert made[1] < 2 * made[0]
+
+
 def test_blocked_engine_agrees(spark):
     """Blocks of a few lines: compactions inside rounds fall before, on and behind their edges."""
     df = spark.createDataFrame(lines(3, 120), SCHEMA).cache()
