@@ -101,40 +101,43 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     now: list | None = None
 
     def done(s):
-        tail = s["end"] if s["open"] else 0
-        return (s["id"], s["n"], s["turns"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["sum"] + tail)
+        return (s["id"], s["n"], s["turns"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["formatted"])
 
     for pdf in batches:
         out = []
-        for conv, role, text, reply, end in zip(pdf["conv_id"], pdf["role"], pdf["text"], pdf["reply"], pdf["seg_end"]):
+        for conv, role, text, reply, formatted in zip(pdf["conv_id"], pdf["role"], pdf["text"], pdf["reply"], pdf["formatted_chars"]):
             conv = None if pd.isna(conv) else int(conv)
             if now is None or now["id"] != conv:
                 if now is not None:
                     out.append(done(now))
-                now = {"id": conv, "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "sum": 0, "end": 0, "open": False}
+                now = {"id": conv, "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": int(formatted)}
             now["n"] += 1
             now["turns"].update(f"{role}\n{text}\n".encode())
-            now["end"], now["open"] = int(end), reply is None
             if reply is not None:
                 now["loss"].update(reply.encode())
                 now["chars"] += len(reply)
-                now["sum"] += int(end)
         if out:
             yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
     if now is not None:
         yield pd.DataFrame([done(now)], columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
 
-def digests(segs: DataFrame) -> DataFrame:
-    """What the rendering says, read back from it: turns and replies by their hashes, per conversation.
+def digests(segs: DataFrame, exs: DataFrame | None = None) -> DataFrame:
+    """What the examples say, read back from their spans of the rendering: turns and replies by their hashes, per conversation.
 
-    ``formatted_chars`` counts the characters of all examples of the conversation.
+    Turns are those of the longest example, replies what the loss masks cover, and ``formatted_chars`` counts the
+    characters of all examples. ``exs`` are :func:`examples` of ``segs`` unless given. Both are read more than once.
     """
+    exs = examples(segs) if exs is None else exs
     head = F.instr("segment", "\n")
     body = F.length("segment") - len(CLOSE) - 1
+    whole = exs.groupBy(F.col("conv_id").alias("c1")).agg(F.max("text_end").alias("covered"), F.sum("text_end").alias("formatted_chars"))
+    masks = exs.filter("target_seq is not null").select(F.col("conv_id").alias("c2"), "target_seq", "reply_start", "reply_end")
+    d = segs.join(masks, segs.conv_id.eqNullSafe(F.col("c2")) & (segs.seq == F.col("target_seq")), "left")
+    d = d.join(whole, segs.conv_id.eqNullSafe(F.col("c1"))).filter("seg_end <= covered")
     # instr and length count code points, as substring does
-    back = with_loss(segs).select(
-        "conv_id", "seq", "seg_end",
+    back = d.select(
+        segs.conv_id, "seq", "formatted_chars",
         unescape_role(F.substring(F.col("segment"), F.lit(len(OPEN) + 1), head - len(OPEN) - 1)).alias("role"),
         unescape(F.substring(F.col("segment"), head + 1, body - head)).alias("text"),
         F.when(F.col("reply_start").isNotNull(), unescape(F.substring(F.col("segment"), F.col("reply_start") - F.col("seg_start") + 1, F.col("reply_end") - F.col("reply_start")))).alias("reply"))

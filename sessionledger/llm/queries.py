@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sessionledger.llm import bpe, chat, collocations, hamming, jaccard, language, licenses, linededup, packing, quality, sharding, spelling, vectortree
 from sessionledger.llm.common import table
 from sessionledger.plans.registry import Plan, Query
+from sessionledger.session import materialize
 
 CATALOGUE: dict[str, Query] = {}
 
@@ -83,7 +84,8 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = f"{chat.CLOSE}{chat.OPEN}assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.digests(chat.segments(turns.unionByName(more)))
+    segs = materialize(chat.segments(turns.unionByName(more)))
+    return chat.digests(segs, chat.examples(segs))
 
 
 @query("op10_quality_rules")

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionledger.llm import chat
 
@@ -70,3 +71,15 @@ def test_examples_as_texts(rows, segs):
 def test_empty(segs):
     none = segs.limit(0)
     assert chat.examples(none).count() == 0 and chat.digests(none).count() == 0
+
+
+def test_digests_read_the_examples(segs):
+    """Replies come from the loss masks and turns from the longest text: without its last example a conversation ends before that."""
+    exs = chat.examples(segs)
+    cut = exs.filter(~(F.col("conv_id").eqNullSafe(9) & (F.col("target_seq") == 39)) | F.col("target_seq").isNull())
+    full, got = ({r.conv_id: r for r in chat.digests(segs, x).collect()} for x in (exs, cut))
+    assert (full[9].n_turns, full[9].loss_chars) == (40, sum(len(f"turn {i}") for i in range(1, 40, 2)))
+    assert (got[9].n_turns, got[9].loss_chars) == (38, full[9].loss_chars - len("turn 39"))
+    last = max(x.text_end for x in exs.filter("conv_id = 9").collect())
+    assert got[9].formatted_chars == full[9].formatted_chars - last
+    assert {c: r for c, r in got.items() if c != 9} == {c: r for c, r in full.items() if c != 9}
