@@ -91,13 +91,13 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict:
         for pdf in batches:
             for k, t in zip(pdf["lang"], pdf["text"]):
                 words.setdefault(k, Counter()).update(words_of(t))
-        for k, c in words.items():
-            tables = [Counter() for _ in range(MAX_N)]
-            for w, m in c.items():
-                for n in range(1, MAX_N + 1):
+        for k in list(words):
+            c = words.pop(k)
+            for n in range(MAX_N + 1 if c else 0):  # one table at a time: a worker does not give memory back
+                t = c if n == 0 else Counter()
+                for w, m in c.items() if n else ():
                     for g in grams(w, n):
-                        tables[n - 1][g] += m
-            for n, t in enumerate([c, *tables] if c else []):
+                        t[g] += m
                 yield pd.DataFrame({"lang": k, "n": n, "token": list(t), "m": list(t.values())})
 
     counts = sample.mapInPandas(count, "lang string, n int, token string, m long").groupBy("lang", "n", "token").agg(F.sum("m").alias("m"))
