@@ -30,9 +30,14 @@ def bucket_stream(turns: DataFrame, length: str, slide: str | None = None, delay
 
 
 def activity_windows(lines: DataFrame, gap: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Periods of activity of a session, closed by a gap."""
-    d = lines.withWatermark("event_ts", delay).groupBy("session_id", F.session_window("event_ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("lines"))
-    return d.select("session_id", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "lines")
+    """Periods of activity of a session, closed by a gap: a line exactly ``gap`` after the one before begins the next period.
+
+    Spark's session windows still join lines at exactly their gap, so theirs is one microsecond (the unit of its clock) shorter.
+    """
+    w = F.session_window("event_ts", f"{gap} -1 microsecond").alias("w")
+    d = lines.withWatermark("event_ts", delay).groupBy("session_id", w).agg(F.count(F.lit(1)).alias("lines"))
+    end = c("w.end") + F.expr("INTERVAL 1 MICROSECOND")
+    return d.select("session_id", F.unix_millis("w.start").alias("start_ms"), F.unix_millis(end).alias("end_ms"), "lines")
 
 
 def gauges(lines: DataFrame) -> DataFrame:

@@ -58,3 +58,12 @@ def test_the_earliest_of_equally_large_results_counts(spark, duck, events, tmp_p
     assert compare.check(spark, duck(sf, "events", "conversations"), sf, q)[1] == "ok"
     first = q.plan(spark, sf).filter("result_tokens = 10").groupBy().agg({"result_chars": "min"}).first()[0]
     assert first == 41
+
+
+def test_a_line_exactly_the_gap_later_begins_the_next_period(spark, duck, tmp_path):
+    sf = str(tmp_path)
+    rows = [event(i, minutes, user, "view", 1.0, 1) for i, (user, minutes) in enumerate([(1, 0), (1, 120), (2, 0), (2, 119), (3, 0), (3, 121), (4, 0), (4, 120), (4, 130), (4, 250)])]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{sf}/events.parquet")
+    q = catalogue()["activity_windows"]
+    assert compare.check(spark, duck(sf, "events"), sf, q)[1] == "ok"
+    assert [r.lines for r in q.plan(spark, sf).filter("session_id < 5").orderBy("session_id", "start_ms").collect()] == [1, 1, 2, 1, 1, 1, 2, 1]
