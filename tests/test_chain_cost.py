@@ -41,3 +41,8 @@ def test_splits_in_one_step_equal_single_ones(spark, engine):
     one = a.split_exact(df, engine, "x", c("v"), F.lit(1003))
     one = a.split_exact(engine.totals(one, {"s": Total("sum", c("v"))}), engine, "y", c("w"), c("s") * 3, c("o") % 2 == 0)
     assert sorted(both.select("g", "o", "x", "y", "s").collect()) == sorted(one.select("g", "o", "x", "y", "s").collect())
+
+
+def test_round_io_reconstructs_once(static_plans):
+    plan = load_all()["round_io"].plan(static_plans, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") <= 21  # twice as many with the chain of the system card beside it
